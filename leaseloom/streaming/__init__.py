@@ -1,0 +1,2 @@
+"""Intentionally empty: the capabilities re-expressed here are batch only (no event time,
+no watermark, no stateful stream), so there is nothing to run on Structured Streaming."""
