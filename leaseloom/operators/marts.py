@@ -14,6 +14,7 @@ from leaseloom.operators.rollups import (
     lease_charge_rollup, with_category,
 )
 from leaseloom.operators.scan import grouped_median_disc
+from leaseloom.sources.literals import literal_rows
 from leaseloom.tables import Tables
 
 
@@ -347,7 +348,7 @@ def expiration_concentration(T: Tables, share_th: float = 0.15, min_dated: int =
 
 
 def metric_meta(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(S.METRICS, "metric string, label string, unit string, worse_when string")
+    return literal_rows(spark, S.METRICS, "metric string, label string, unit string, worse_when string")
 
 
 def metric_values(profitability: DataFrame) -> DataFrame:
@@ -382,7 +383,8 @@ def property_anomaly(
     values = metric_values(profitability)
     x = F.col("value").cast("double")
     peers = values.groupBy("snapshot_id", "metric").agg(
-        F.count(F.lit(1)).alias("peer_books"), F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_sd")
+        F.count(F.lit(1)).alias("peer_books"), F.sum("value").alias("_sum"), F.avg(x).alias("_mean"),
+        F.stddev_samp(x).alias("_sd"),
     ).filter(F.col("peer_books") >= min_books)
     z = F.round((x - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0)), 2)
     size = F.abs(F.col("z"))
@@ -393,7 +395,7 @@ def property_anomaly(
         .join(metric_meta(spark), "metric")
         .select(
             "snapshot_id", "property_id", "property_code", "property_name", "units", "metric", "label",
-            "unit", "worse_when", "value", F.round("_mean", 4).alias("peer_mean"),
+            "unit", "worse_when", "value", ratio(F.col("_sum"), F.col("peer_books"), 4).alias("peer_mean"),
             F.round("_sd", 4).alias("peer_sd"), "peer_books", "z",
             (((F.col("worse_when") == "low") & (F.col("z") < 0))
              | ((F.col("worse_when") == "high") & (F.col("z") > 0))).alias("adverse"),

@@ -102,17 +102,13 @@ OCCUPIED_STATUSES = ("occupied", "notice")
 NON_REVENUE_STATUSES = ("model", "down")
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-INSIGHT = _struct(
+INSIGHT = (
     "insight_id bigint, snapshot_id int, scope string, property_code string, asset_key string, "
     "category string, priority string, headline string, detail string, "
     "evidence array<struct<metric:string,value:string,comparison:string>>, model string, "
     "prompt_sha256 string, generated_at timestamp"
 )
-AUDIT = _struct(
+AUDIT = (
     "charge_code string, old_category string, new_category string, old_description string, "
     "new_description string, old_verified boolean, new_verified boolean, note string, "
     "changed_by string, changed_at timestamp"

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from leaseloom import schemas as S
 from leaseloom.functions.scalars import canonical_json, is_concession
+from leaseloom.sources.literals import literal_rows
 
 
 def charge_code_seed(spark: SparkSession, existing: DataFrame | None = None) -> DataFrame:
     """The seeded charge-code dimension; codes already present keep their own classification."""
-    seed = spark.createDataFrame(S.CHARGE_CODES, S.CHARGE_CODE_SCHEMA).withColumn(
+    seed = literal_rows(spark, S.CHARGE_CODES, S.CHARGE_CODE_SCHEMA).withColumn(
         "is_concession", is_concession(F.col("charge_code"))
     )
     if existing is None:
