@@ -21,23 +21,15 @@ def as_text(c: Column) -> Column:
 
 
 def _number_text(c: Column) -> Column:
-    """Cell text without separators, a parenthesised figure turned into a signed one."""
-    bare = strip(F.translate(strip(c), ",$%", ""))
-    inner = F.regexp_extract(bare, r"^\((.*)\)$", 1)
-    # (5) is -5 and (-5) is 5: the parentheses negate whatever sign the digits carry
-    negated = F.when(strip(inner).startswith("-"), F.lit("")).otherwise(F.lit("-"))
-    return F.when(
-        bare.startswith("(") & bare.endswith(")"),
-        F.when(strip(inner) == "", F.lit("")).otherwise(
-            F.concat(negated, F.regexp_replace(strip(inner), r"^[-+]", ""))
-        ),
-    ).otherwise(bare)
+    """Cell text without separators; `(x)` becomes `-x`, `(-x)` becomes `x`, blank becomes `0`."""
+    bare = strip(F.translate(F.coalesce(c, F.lit("")), ",$%", ""))
+    signed = F.regexp_replace(bare, r"^\(\s*([^()]*?)\s*\)$", "-$1")
+    return F.regexp_replace(F.regexp_replace(signed, r"^-(?=-)-", ""), r"^$", "0")
 
 
 def as_decimal(c: Column) -> Column:
     """Money or percent text to a decimal; blank is 0, junk is null (see `as_decimal_error`)."""
-    text = F.coalesce(_number_text(c), F.lit(""))
-    return F.when(text == "", F.lit(0).cast(NUMBER)).otherwise(text.try_cast(NUMBER))
+    return _number_text(c).try_cast(NUMBER)
 
 
 def as_decimal_error(c: Column) -> Column:
@@ -46,33 +38,27 @@ def as_decimal_error(c: Column) -> Column:
 
 def as_date(c: Column) -> Column:
     """`MM/dd/yyyy`, then `yyyy-MM-dd`, then `MM/dd/yy` (69-99 belong to the 1900s)."""
-    s = strip(c)
-
-    def parsed(shape: str, fmt: str) -> Column:
-        return F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt)).cast("date"))
-
-    short = parsed(r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy")
-    short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
-    return F.coalesce(
-        parsed(r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-        parsed(r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-        short,
-    )
+    iso = strip(c)
+    for shape, form in (
+        (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2"),
+        (r"^(\d{1,2})/(\d{1,2})/(69|[789]\d)$", "19$3-$1-$2"),
+        (r"^(\d{1,2})/(\d{1,2})/(\d{2})$", "20$3-$1-$2"),
+    ):
+        iso = F.regexp_replace(iso, shape, form)
+    return F.regexp_extract(iso, r"^\d{4}-\d{1,2}-\d{1,2}$", 0).try_cast("date")
 
 
 def as_date_error(c: Column) -> Column:
-    return as_text(c).isNotNull() & as_date(c).isNull()
+    return F.coalesce(strip(c) != "", F.lit(False)) & as_date(c).isNull()
 
 
 def as_int(c: Column) -> Column:
     """Whole numbers only; an empty cell is null, a blank-but-present one is 0."""
-    d = as_decimal(c)
-    return F.when((c != "") & (d == F.floor(d)), d.try_cast("int"))
+    return F.when(c != "", F.regexp_replace(_number_text(c), r"\.0*$", "").try_cast("int"))
 
 
 def as_int_error(c: Column) -> Column:
-    d = as_decimal(c)
-    return F.coalesce((c != "") & (d.isNull() | (d != F.floor(d))), F.lit(False))
+    return F.coalesce(c != "", F.lit(False)) & as_int(c).isNull()
 
 
 def derive_status(section: Column, sentinel: Column, move_out: Column) -> Column:

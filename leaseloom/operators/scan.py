@@ -12,12 +12,26 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 1 << 16
+from leaseloom.sources.folders import shared_root
+
+CHUNK_ROWS = 1 << 20
 CHUNK = "_chunk"
 
 
-def with_chunks(df: DataFrame, keys: Sequence[str], pos: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Add the chunk column and place each chunk of each key in one partition."""
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint `df` in the shared folder, so that what is built on it reads it instead of repeating
+    it and survives lost executors."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_root(df.sparkSession))
+    return df.checkpoint()
+
+
+def with_chunks(df: DataFrame, keys: Sequence[str], pos: str, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+    """Add the chunk column and place each chunk of each key in one partition. Without `chunk_rows` the
+    rows stay whole: only for keys known to hold no more rows than one chunk."""
+    if chunk_rows is None:
+        return df.repartition(*keys)
     chunked = df.withColumn(CHUNK, F.floor(F.col(pos) / F.lit(chunk_rows)))
     return chunked.repartition(*keys, CHUNK)
 
@@ -38,8 +52,25 @@ def prefix_scan(
     """
     lasts, prior_lasts, sums = dict(lasts or {}), dict(prior_lasts or {}), dict(sums or {})
     wanted = {**lasts, **prior_lasts, **sums}
-    staged = df.withColumns({f"_in_{n}": c for n, c in wanted.items()})
-    group = [*keys, CHUNK]
+    chunked = CHUNK in df.columns
+    # the chunk totals and the rows both read the input: cut it, or every scan doubles the work before it
+    staged = (cut(df) if chunked else df).withColumns({f"_in_{n}": c for n, c in wanted.items()})
+    group = [*keys, CHUNK] if chunked else list(keys)
+
+    local = Window.partitionBy(*group).orderBy(pos)
+    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = local.rowsBetween(Window.unboundedPreceding, -1)
+    rows = staged.withColumns(
+        {
+            **{f"_l_{n}": F.last(f"_in_{n}", ignorenulls=True).over(upto) for n in lasts},
+            **{f"_l_{n}": F.last(f"_in_{n}", ignorenulls=True).over(earlier) for n in prior_lasts},
+            **{f"_l_{n}": F.sum(f"_in_{n}").over(upto) for n in sums},
+        }
+    )
+    if not chunked:
+        return rows.select(
+            *df.columns, *[F.col(f"_l_{n}").alias(n) for n in (*lasts, *prior_lasts)],
+            *[F.coalesce(F.col(f"_l_{n}"), F.lit(0)).alias(n) for n in sums])
 
     # what each chunk hands to the later chunks of its key
     totals = staged.groupBy(*group).agg(
@@ -55,17 +86,6 @@ def prefix_scan(
         *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in (*lasts, *prior_lasts)],
         *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums],
     ).filter(F.col(CHUNK) > 0)
-
-    local = Window.partitionBy(*group).orderBy(pos)
-    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = local.rowsBetween(Window.unboundedPreceding, -1)
-    rows = staged.withColumns(
-        {
-            **{f"_l_{n}": F.last(f"_in_{n}", ignorenulls=True).over(upto) for n in lasts},
-            **{f"_l_{n}": F.last(f"_in_{n}", ignorenulls=True).over(earlier) for n in prior_lasts},
-            **{f"_l_{n}": F.sum(f"_in_{n}").over(upto) for n in sums},
-        }
-    )
     return rows.join(carry, group, "left").select(
         *df.columns,
         *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in (*lasts, *prior_lasts)],

@@ -9,8 +9,14 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leaseloom import schemas as S
+from leaseloom.operators import grammar as G
 from leaseloom.operators import marts as M
 from leaseloom.plans import driver_tables as D
+from leaseloom.plans import report_grids
+from leaseloom.sources.folders import shared_folder
+from leaseloom.sources.grids import grid_source
+from leaseloom.sources.sinks import bulk_write
 from leaseloom.tables import Tables
 
 
@@ -32,6 +38,33 @@ class Context:
     def matrix(self) -> DataFrame:
         return M.property_profitability(self.T)
 
+    @cached_property
+    def lines(self) -> DataFrame:
+        """Charge lines with their printed order."""
+        return D.numbered_charges(self.T.lease_charge)
+
+    def _stored(self, grid: DataFrame, n_cols: int) -> DataFrame:
+        # a grid is input data: it is stored once and read back through the grid source
+        path = shared_folder(self.spark)
+        bulk_write(grid, path)
+        return grid_source(self.spark, path, n_cols)
+
+    @cached_property
+    def rent_grid(self) -> DataFrame:
+        return self._stored(report_grids.rent_roll_grid(self.T, self.lines), S.RENT_ROLL_COLUMNS)
+
+    @cached_property
+    def availability_grid(self) -> DataFrame:
+        return self._stored(report_grids.availability_grid(self.T), S.AVAILABILITY_COLUMNS)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return G.classify_rows(self.rent_grid)
+
+    @cached_property
+    def parsed(self) -> G.ParsedRentRolls:
+        return G.parse_rent_rolls(self.rent_grid)
+
     def raw(self, name: str) -> DataFrame:
         return D.read(self.spark, self.sf_dir, name)
 

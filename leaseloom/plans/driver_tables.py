@@ -31,6 +31,7 @@ _SCHEMAS = {
                 "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
                 "l_linestatus string, l_shipdate timestamp_ntz",
     "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "pages": "page_id long, url string, html string",
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
 }
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +22,6 @@ def charge_code_seed(spark: SparkSession, existing: DataFrame | None = None) ->
     return existing.unionByName(seed.join(existing.select("charge_code"), "charge_code", "left_anti"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path under the cluster's shared checkpoint folder (a local one only when none is set)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="leaseloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/leaseloom/{uuid.uuid4().hex}"
-
-
 def bulk_write(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     writer = df.write.mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
