@@ -21,7 +21,7 @@ from leaseloom.tables import Tables
 
 
 class Context:
-    """The core frames of one data directory, built once per session."""
+    """The loaded core frames of one data directory; loaded once per application."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -38,11 +38,6 @@ class Context:
     def matrix(self) -> DataFrame:
         return M.property_profitability(self.T)
 
-    @cached_property
-    def lines(self) -> DataFrame:
-        """Charge lines with their printed order."""
-        return D.numbered_charges(self.T.lease_charge)
-
     def _stored(self, grid: DataFrame, n_cols: int) -> DataFrame:
         # a grid is input data: it is stored once and read back through the grid source
         path = shared_folder(self.spark)
@@ -51,7 +46,7 @@ class Context:
 
     @cached_property
     def rent_grid(self) -> DataFrame:
-        return self._stored(report_grids.rent_roll_grid(self.T, self.lines), S.RENT_ROLL_COLUMNS)
+        return self._stored(report_grids.rent_roll_grid(self.T), S.RENT_ROLL_COLUMNS)
 
     @cached_property
     def availability_grid(self) -> DataFrame:
@@ -105,10 +100,10 @@ def present(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*[one(n, k) for n, k in columns.items()])
 
 
-_contexts: dict[tuple[int, str], Context] = {}
+_contexts: dict[tuple[str, str], Context] = {}
 
 
 def run(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctx = _contexts.setdefault((id(spark), sf_dir), Context(spark, sf_dir))
+    ctx = _contexts.setdefault((spark.sparkContext.applicationId, sf_dir), Context(spark, sf_dir))
     entry = ENTRIES[key]
     return present(entry.build(ctx), entry.columns)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leaseloom import schemas as S
 from leaseloom.functions.scalars import (
@@ -18,7 +19,8 @@ from leaseloom.operators.rollups import (
     BOOK, book_code_charges, book_detail, book_spine,
 )
 from leaseloom.operators.scan import two_level_row_number
-from leaseloom.sources.sinks import charge_code_seed
+from leaseloom.sources.folders import shared_folder
+from leaseloom.sources.sinks import bulk_write, charge_code_seed
 from leaseloom.tables import Tables
 
 EMPTY_BOOK = 24
@@ -137,7 +139,7 @@ _LINE_CODES = {1: "PARKING", 2: "PETFEEM", 3: "TRASH", 4: "CONRENT", 5: "RENTHAP
 
 
 def charge_frame(heads: DataFrame, lineitem: DataFrame) -> DataFrame:
-    """Charge lines, without their printed order; `line_order` is what orders them in the block."""
+    """Charge lines with the columns that order them in their block."""
     state = ["lease_id", "snapshot_id", "property_id", "section", "occupancy_status"]
     billed = heads.filter(_bills(F.col("occupancy_status"), F.col("property_id")))
     rent = billed.filter(_rent_line(F.col("market_rent"))).select(
@@ -168,7 +170,7 @@ def numbered_charges(lines: DataFrame) -> DataFrame:
     return two_level_row_number(
         lines, ["lease_id"], {"_slot": F.col("slot"), "_part": F.floor(F.col("partkey") / 4096)},
         [F.col(c) for c in _LINE_ORDER], "line_no",
-    )
+    ).drop(*_LINE_ORDER)
 
 
 def snapshot_frame(orders: DataFrame) -> DataFrame:
@@ -324,24 +326,44 @@ def insight_frame(spark: SparkSession, matrix: DataFrame) -> DataFrame:
     )
 
 
-def core_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    nation, customer = read(spark, sf_dir, "nation"), read(spark, sf_dir, "customer")
-    orders, lineitem = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+def derived_facts(spark: SparkSession, sf_dir: str) -> Tables:
+    """Leases and charge lines straight from the driver's tables, with the dimensions they need."""
+    customer, orders, lineitem = (read(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
     heads = lease_heads(orders, customer)
-    lease = lease_frame(heads, lineitem)
-    T = Tables(
-        snapshot=snapshot_frame(orders),
-        property=property_frame(nation),
-        charge_code=charge_code_seed(spark),
-        lease=lease,
-        lease_charge=charge_frame(heads, lineitem),
-        unit=heads.select("property_id", "unit_code", "unit_type_code", "unit_sqft"),
-        unit_type=heads.select("property_id", "unit_type_code").distinct(),
-        resident=heads.filter(F.col("resident_id").isNotNull()).select(
-            "resident_id", F.concat(F.lit("Resident "), F.col("lease_id")).alias("display_name")),
+    return Tables(
+        snapshot=snapshot_frame(orders), property=property_frame(read(spark, sf_dir, "nation")),
+        charge_code=charge_code_seed(spark), lease=lease_frame(heads, lineitem),
+        lease_charge=numbered_charges(charge_frame(heads, lineitem)),
     )
+
+
+_STORED = ("snapshot", "lease", "lease_charge")
+_STORED_ROLLUPS = ("summary_group", "charge_summary", "availability", "issue", "file")
+
+
+def core_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The loaded star schema: facts and printed rollups stored by snapshot in the shared folder, as a
+    load leaves them for the marts to read."""
+    root = shared_folder(spark)
+
+    def store(T: Tables, names: tuple[str, ...]) -> Tables:
+        stored = {}
+        for name in names:
+            df = getattr(T, name)
+            parts = ("snapshot_id",) if name != "snapshot" and "snapshot_id" in df.columns else ()
+            bulk_write(df, f"{root}/{name}", parts)
+            columns = [f for f in df.schema if f.name not in parts] + [df.schema[p] for p in parts]
+            stored[name] = spark.read.schema(StructType(columns)).parquet(f"{root}/{name}")
+        return T.with_frames(**stored)
+
+    T = store(derived_facts(spark, sf_dir), _STORED)
     T = T.with_frames(
-        availability=availability_frame(T), summary_group=summary_group_frame(T),
-        charge_summary=charge_summary_frame(T), file=file_frame(T), issue=issue_frame(T), run=run_frame(T),
+        unit=T.lease.select("property_id", "unit_code", "unit_type_code", "unit_sqft"),
+        unit_type=T.lease.select("property_id", "unit_type_code").distinct(),
+        resident=T.lease.filter(F.col("resident_id").isNotNull()).select(
+            "resident_id", F.concat(F.lit("Resident "), F.col("lease_id")).alias("display_name")),
     )
-    return T
+    T = T.with_frames(availability=availability_frame(T), summary_group=summary_group_frame(T),
+                      charge_summary=charge_summary_frame(T), file=file_frame(T), issue=issue_frame(T))
+    T = store(T, _STORED_ROLLUPS)
+    return T.with_frames(run=run_frame(T))

@@ -141,7 +141,7 @@ register("d7_resolve_keys", "unit_code:s section:s property_id:i snapshot_id:i",
          f"SELECT unit_code, section, property_id, snapshot_id FROM lease WHERE {_LOADED}")
 register("d8_upsert_rollups", "snapshot_id:i property_id:i charge_code:s amount:d",
          lambda c: Dm.upsert_rollups(
-             c.lines.select("snapshot_id", "property_id", "charge_code", "amount", F.lit("f").alias("file_name"), (F.col("lease_id") * 1000 + F.col("line_no")).alias("sheet_row")),
+             c.T.lease_charge.select("snapshot_id", "property_id", "charge_code", "amount", F.lit("f").alias("file_name"), (F.col("lease_id") * 1000 + F.col("line_no")).alias("sheet_row")),
              ["snapshot_id", "property_id", "charge_code"]),
          "SELECT snapshot_id, property_id, charge_code, arg_max(amount, lease_id * 1000 + line_no) AS amount FROM line GROUP BY 1, 2, 3")
 register("d9_upsert_availability", "snapshot_id:i property_id:i units:i",
@@ -302,7 +302,7 @@ def _exported(c: Context, dataset: str, schema: str) -> DataFrame:
 
 def _export_sizes(c: Context) -> DataFrame:
     """Rows of every dataset of the export registry."""
-    T = c.T.with_frames(lease_charge=c.lines)
+    T = c.T
     sizes = [R.export_dataset(T, d).agg(F.count(F.lit(1)).alias("n")).select(F.lit(d).alias("dataset"), "n") for d in R.EXPORTS]
     out = sizes[0]
     for s in sizes[1:]:

@@ -128,7 +128,7 @@ register("r14_unit_search_term", f"snapshot_id:i {_UNIT} lease_id:i total:i",
 register("r15_lease_header", "lease_id:i property_code:s unit_code:s occupancy_status:s resident_id:s display_name:s market_rent:d charges_total:d balance:d",
          lambda c: R.lease_header(c.T), "SELECT *, status AS occupancy_status FROM units_of")
 register("r16_lease_lines", "lease_id:i line_no:i charge_code:s category:s description:s is_concession:b amount:d",
-         lambda c: R.lease_lines(c.T.with_frames(lease_charge=D.numbered_charges(c.T.lease_charge))),
+         lambda c: R.lease_lines(c.T),
          "SELECT * FROM line JOIN code USING (charge_code)")
 register("r17_expiring_leases", f"snapshot_id:i expiry_month:t property_name:s {_UNIT} holdover:b lease_id:i",
          lambda c: R.expiring_leases(c.T),

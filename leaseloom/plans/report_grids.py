@@ -40,8 +40,8 @@ def _rows(df: DataFrame, prefix: str, *rows: Column) -> DataFrame:
     return df.select(_name(prefix).alias("file_name"), F.explode(F.array(*rows)).alias("r")).select("file_name", "r.*")
 
 
-def rent_roll_grid(T: Tables, lines: DataFrame) -> DataFrame:
-    """`lines` are the charge lines with their `line_no`."""
+def rent_roll_grid(T: Tables) -> DataFrame:
+    lines = T.lease_charge
     n, pre = S.RENT_ROLL_COLUMNS, "rr_"
     block = F.greatest(F.col("charge_lines"), F.lit(1)) + 1
     future = F.col("section") == "future"

@@ -22,16 +22,22 @@ def charge_code_seed(spark: SparkSession, existing: DataFrame | None = None) ->
     return existing.unionByName(seed.join(existing.select("charge_code"), "charge_code", "left_anti"))
 
 
+def _balanced(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows of one output partition together, split again where a partition is large and merged where
+    it is small, so neither a hot partition nor a tiny one sets the file count."""
+    return df.hint("rebalance", *keys) if keys else df
+
+
 def bulk_write(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    writer = df.write.mode("append")
+    writer = _balanced(df, partition_by).write.mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
 def replace_scope(df: DataFrame, path: str, keys: tuple[str, ...] = ("snapshot_id", "property_id")) -> None:
     """Replace exactly the partitions present in `df`: rows that vanished from a reloaded file go,
-    other snapshots and books stay. Large partitions are written by several tasks."""
+    other snapshots and books stay."""
     (
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        _balanced(df, keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys).parquet(path)
     )
 
