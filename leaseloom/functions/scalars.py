@@ -29,7 +29,9 @@ def _number_text(c: Column) -> Column:
 
 def as_decimal(c: Column) -> Column:
     """Money or percent text to a decimal; blank is 0, junk is null (see `as_decimal_error`)."""
-    return _number_text(c).try_cast(NUMBER)
+    # a bare figure needs no cleaning, which is what most cells hold
+    return F.when(c.isNull(), F.lit(0).cast(NUMBER)).otherwise(
+        F.coalesce(c.try_cast(NUMBER), _number_text(c).try_cast(NUMBER)))
 
 
 def as_decimal_error(c: Column) -> Column:

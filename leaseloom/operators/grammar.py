@@ -20,7 +20,7 @@ from leaseloom.functions.scalars import (
     NUMBER, as_date, as_date_error, as_decimal, as_decimal_error, as_int, as_int_error, as_text,
     derive_status, strip,
 )
-from leaseloom.operators.scan import CHUNK_ROWS, prefix_scan, with_chunks
+from leaseloom.operators.scan import CHUNK_ROWS, cut, prefix_scan, with_chunks
 
 FILE, ROW = "file_name", "sheet_row"
 HEADER_ROWS = 6
@@ -179,10 +179,10 @@ def largest_sheet(grid: DataFrame) -> int:
 def mode_segments(grid: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Body rows with the summary-block mode they belong to (`_mode`, null outside) and whether they
     are ordinary rows (`_normal`)."""
-    body = grid.filter(F.col(ROW) > HEADER_ROWS).withColumns(_row_facts())
+    body = with_chunks(grid.filter(F.col(ROW) > HEADER_ROWS), [FILE], ROW, chunk_rows).withColumns(_row_facts())
     a = F.col("_a")
     anchor = F.when(F.col("_kind").isNotNull(), F.struct(F.col(ROW).alias("at"), F.col("_kind").alias("kind")))
-    rows = prefix_scan(with_chunks(body, [FILE], ROW, chunk_rows), [FILE], ROW, lasts={"_anchor": anchor})
+    rows = prefix_scan(body, [FILE], ROW, lasts={"_anchor": anchor})
     mode, at = F.col("_anchor.kind"), F.col("_anchor.at")
     past_header = F.col(ROW) - at > F.when(mode == "g", 1).otherwise(2)
     ends = F.when(mode == "g", ~a.isin(*S.SUMMARY_GROUP_LABELS)).otherwise(a.isin("", "Total"))
@@ -258,38 +258,40 @@ def charge_lines(rows: DataFrame) -> DataFrame:
         FILE, "owner", "line_no", _text(7).alias("charge_code"), as_decimal(F.col("c08")).alias("amount"), ROW)
 
 
-def block_totals(rows: DataFrame) -> DataFrame:
-    """Printed total (0 when none or unreadable), line count and line sum per accepted block."""
-    amount = as_decimal(F.col("c08"))
-    return rows.filter(F.col("owner").isNotNull()).groupBy(FILE, "owner").agg(
-        F.coalesce(F.max(F.when(F.col("cls") == "total", amount)), F.lit(0).cast(NUMBER)).alias("printed_total"),
-        F.coalesce(F.sum(F.when(F.col("line_no").isNotNull(), amount)), F.lit(0).cast(NUMBER)).alias("sum_of_charges"),
-        F.count("line_no").cast("int").alias("charge_lines"),
-    )
-
-
-def lease_rows(rows: DataFrame) -> DataFrame:
-    """Accepted lease heads with their coerced fields."""
+def _lease_fields() -> list[Column]:
     sentinel, resident = _resident()
     move_out = as_date(F.col("c13"))
-    return rows.filter((F.col("cls") == "head") & F.col("reject_rule").isNull()).select(
-        FILE, ROW, _text(1).alias("unit_code"), as_text(F.col("c02")).alias("unit_type_code"), as_int(F.col("c03")).alias("unit_sqft"),
-        resident.alias("resident_id"), as_text(F.col("c05")).alias("resident_name"), sentinel.alias("sentinel"), "section",
+    return [
+        _text(1).alias("unit_code"), as_text(F.col("c02")).alias("unit_type_code"), as_int(F.col("c03")).alias("unit_sqft"),
+        resident.alias("resident_id"), as_text(F.col("c05")).alias("resident_name"), sentinel.alias("sentinel"), F.col("section").alias("section"),
         derive_status(F.col("section"), sentinel, move_out).alias("occupancy_status"), _money(6).alias("market_rent"),
         _money(9).alias("resident_deposit"), _money(10).alias("other_deposit"), _money(14).alias("balance"),
-        as_date(F.col("c11")).alias("move_in"), as_date(F.col("c12")).alias("lease_expiration"), move_out.alias("move_out"))
+        as_date(F.col("c11")).alias("move_in"), as_date(F.col("c12")).alias("lease_expiration"), move_out.alias("move_out")]
+
+
+def lease_blocks(rows: DataFrame) -> DataFrame:
+    """One row per accepted block: its lease, its printed total (0 when none or unreadable), the number
+    and the sum of its lines."""
+    amount, zero = as_decimal(F.col("c08")), F.lit(0).cast(NUMBER)
+    return (
+        rows.filter(F.col("owner").isNotNull()).groupBy(FILE, F.col("owner").alias(ROW)).agg(
+            F.max(F.when(F.col("cls") == "head", F.struct(*_lease_fields()))).alias("h"),
+            F.coalesce(F.max(F.when(F.col("cls") == "total", amount)), zero).alias("printed_total"),
+            F.coalesce(F.sum(F.when(F.col("line_no").isNotNull(), amount)), zero).alias("sum_of_charges"),
+            F.count("line_no").cast("int").alias("charge_lines"))
+        .select(FILE, ROW, "h.*", "printed_total", "sum_of_charges", "charge_lines")
+    )
 
 
 def leases(rows: DataFrame) -> DataFrame:
     """Accepted leases with their printed charge total and their number of lines."""
-    totals = block_totals(rows).select(
-        FILE, F.col("owner").alias(ROW), F.col("printed_total").cast(S.MONEY).alias("charges_total"), "charge_lines")
-    return lease_rows(rows).join(totals, [FILE, ROW])
+    return lease_blocks(rows).withColumn("charges_total", F.col("printed_total").cast(S.MONEY)).drop(
+        "printed_total", "sum_of_charges")
 
 
 def lease_row_filter(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted leases, and the findings about lease heads."""
-    return lease_rows(rows), lease_issues(rows)
+    return leases(rows), lease_issues(rows)
 
 
 def lease_issues(rows: DataFrame) -> DataFrame:
@@ -328,12 +330,11 @@ def line_issues(rows: DataFrame) -> DataFrame:
 
 def block_total_check(rows: DataFrame, tol: float = 0.005) -> DataFrame:
     """Blocks whose printed total differs from the sum of their lines."""
-    bad = block_totals(rows).filter(F.abs(F.col("printed_total") - F.col("sum_of_charges")) > tol)
-    heads = rows.filter(F.col("cls") == "head").select(FILE, F.col(ROW).alias("owner"), _text(1).alias("unit_code"))
+    bad = lease_blocks(rows).filter(F.abs(F.col("printed_total") - F.col("sum_of_charges")) > tol)
     found = _error("block_total_mismatch", "error", F.lit(True), {
         "unit_code": F.col("unit_code"), "printed_total": F.col("printed_total").cast(S.MONEY),
         "sum_of_charges": F.col("sum_of_charges").cast(S.MONEY)})
-    return _issues(bad.join(heads, [FILE, "owner"]), [found], F.col("owner"))
+    return _issues(bad, [found], F.col(ROW))
 
 
 _GROUP_CELLS = {"square_footage": 6, "market_rent": 7, "lease_charges": 8, "security_deposit": 9, "other_deposits": 10,
@@ -371,6 +372,7 @@ def charge_summary_rows(rows: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class ParsedRentRolls:
     headers: DataFrame
+    rows: DataFrame
     leases: DataFrame
     lines: DataFrame
     groups: DataFrame
@@ -380,15 +382,16 @@ class ParsedRentRolls:
 
 def parse_rent_rolls(grid: DataFrame, chunk_rows: int | None = None) -> ParsedRentRolls:
     """Facts and findings of every well-formed file; a malformed file yields one finding only. Sheets
-    beyond the worksheet limit make the scan go chunk by chunk."""
+    beyond the worksheet limit make the scan go chunk by chunk. The classified rows are cut once, since
+    six frames are read off them."""
     if chunk_rows is None and largest_sheet(grid) > CHUNK_ROWS:
         chunk_rows = CHUNK_ROWS
     headers, failures = report_header(grid)
-    rows = classify_rows(grid.join(headers.select(FILE), FILE, "left_semi"), chunk_rows)
+    rows = cut(classify_rows(grid.join(headers.select(FILE), FILE, "left_semi"), chunk_rows))
     issues = failures
     for found in (lease_issues(rows), line_issues(rows), block_total_check(rows), summary_issues(rows)):
         issues = issues.unionByName(found)
-    return ParsedRentRolls(headers, leases(rows), charge_lines(rows), summary_groups(rows), charge_summary_rows(rows), issues)
+    return ParsedRentRolls(headers, rows, leases(rows), charge_lines(rows), summary_groups(rows), charge_summary_rows(rows), issues)
 
 
 # ---- availability ------------------------------------------------------------

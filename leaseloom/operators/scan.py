@@ -12,19 +12,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leaseloom.sources.folders import shared_root
+from leaseloom.sources.folders import shared_folder
 
 CHUNK_ROWS = 1 << 20
 CHUNK = "_chunk"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint `df` in the shared folder, so that what is built on it reads it instead of repeating
-    it and survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint()
+    """`df` written as a table in the shared folder and read back: what is built on it reads the table
+    instead of repeating the plan, and lost executors cost nothing before it."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def with_chunks(df: DataFrame, keys: Sequence[str], pos: str, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from leaseloom import schemas as S
 from leaseloom.operators import grammar as G
 from leaseloom.operators import marts as M
+from leaseloom.operators import payload as P
+from leaseloom.operators.scan import cut
 from leaseloom.plans import driver_tables as D
 from leaseloom.plans import report_grids
 from leaseloom.sources.folders import shared_folder
@@ -54,12 +56,21 @@ class Context:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return G.classify_rows(self.rent_grid)
+        return self.parsed.rows
 
     @cached_property
     def parsed(self) -> G.ParsedRentRolls:
         return G.parse_rent_rolls(self.rent_grid)
 
+    @cached_property
+    def sections(self) -> dict[str, DataFrame]:
+        return P.payload_sections(self.T)
+
+    @cached_property
+    def paths(self) -> DataFrame:
+        """Every figure of every snapshot's payload, stored once for the checks that look figures up."""
+        return cut(P.flatten_paths(self.sections))
+
     def raw(self, name: str) -> DataFrame:
         return D.read(self.spark, self.sf_dir, name)
 
