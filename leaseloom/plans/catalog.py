@@ -64,7 +64,8 @@ class Context:
 
     @cached_property
     def sections(self) -> dict[str, DataFrame]:
-        return P.payload_sections(self.T)
+        """The payload's row sets, stored: lineage, chunks, hashes and exports all read them."""
+        return {name: cut(df) for name, df in P.payload_sections(self.T).items()}
 
     @cached_property
     def paths(self) -> DataFrame:
@@ -114,7 +115,10 @@ def present(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 _contexts: dict[tuple[str, str], Context] = {}
 
 
+def context(spark: SparkSession, sf_dir: str) -> Context:
+    return _contexts.setdefault((spark.sparkContext.applicationId, sf_dir), Context(spark, sf_dir))
+
+
 def run(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctx = _contexts.setdefault((spark.sparkContext.applicationId, sf_dir), Context(spark, sf_dir))
     entry = ENTRIES[key]
-    return present(entry.build(ctx), entry.columns)
+    return present(entry.build(context(spark, sf_dir)), entry.columns)

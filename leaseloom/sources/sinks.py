@@ -6,9 +6,11 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leaseloom import schemas as S
 from leaseloom.functions.scalars import canonical_json, is_concession
+from leaseloom.operators.scan import cut
 from leaseloom.sources.literals import literal_rows
 
 
@@ -42,6 +44,19 @@ def replace_scope(df: DataFrame, path: str, keys: tuple[str, ...] = ("snapshot_i
     )
 
 
+def replace_books(df: DataFrame, path: str, touched: DataFrame) -> None:
+    """Scoped replacement in a table partitioned by snapshot only: the books in `touched` (snapshot_id,
+    property_id) get exactly the rows of `df`, the other books of those snapshots are carried over.
+    Unlike a partition per book this keeps the partition count at the number of snapshots."""
+    spark = df.sparkSession
+    schema = [f for f in df.schema if f.name != "snapshot_id"] + [df.schema["snapshot_id"]]
+    current = spark.read.schema(StructType(schema)).parquet(path)
+    kept = current.join(touched.select("snapshot_id").distinct(), "snapshot_id", "left_semi").join(
+        touched.select("snapshot_id", "property_id"), ["snapshot_id", "property_id"], "left_anti")
+    # staged first: a table cannot be overwritten while it is read
+    replace_scope(cut(df.unionByName(kept.select(*df.columns))), path, ("snapshot_id",))
+
+
 def replace_snapshot_insights(df: DataFrame, path: str, snapshot_id: int, allow_empty: bool = False) -> None:
     """Replace one snapshot's insights wholesale; an empty replacement is refused unless allowed."""
     rows = df.filter(F.col("snapshot_id") == snapshot_id)
