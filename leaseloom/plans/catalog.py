@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from leaseloom.plans import driver_tables as D
 from leaseloom.plans import report_grids
 from leaseloom.sources.folders import shared_folder
 from leaseloom.sources.grids import grid_source
-from leaseloom.sources.sinks import bulk_write
+from leaseloom.sources.sinks import bulk_write, side_by_side
 from leaseloom.tables import Tables
 
 
@@ -65,7 +65,7 @@ class Context:
     @cached_property
     def sections(self) -> dict[str, DataFrame]:
         """The payload's row sets, stored: lineage, chunks, hashes and exports all read them."""
-        return {name: cut(df) for name, df in P.payload_sections(self.T).items()}
+        return side_by_side({name: partial(cut, df) for name, df in P.payload_sections(self.T).items()})
 
     @cached_property
     def paths(self) -> DataFrame:

@@ -7,6 +7,8 @@ rollups are made to disagree with the detail on purpose.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,7 +22,7 @@ from leaseloom.operators.rollups import (
 )
 from leaseloom.operators.scan import two_level_row_number
 from leaseloom.sources.folders import shared_folder
-from leaseloom.sources.sinks import bulk_write, charge_code_seed
+from leaseloom.sources.sinks import bulk_write, charge_code_seed, side_by_side
 from leaseloom.tables import Tables
 
 EMPTY_BOOK = 24
@@ -347,14 +349,14 @@ def core_tables(spark: SparkSession, sf_dir: str) -> Tables:
     root = shared_folder(spark)
 
     def store(T: Tables, names: tuple[str, ...]) -> Tables:
-        stored = {}
-        for name in names:
+        def one(name: str) -> DataFrame:
             df = getattr(T, name)
             parts = ("snapshot_id",) if name != "snapshot" and "snapshot_id" in df.columns else ()
             bulk_write(df, f"{root}/{name}", parts)
             columns = [f for f in df.schema if f.name not in parts] + [df.schema[p] for p in parts]
-            stored[name] = spark.read.schema(StructType(columns)).parquet(f"{root}/{name}")
-        return T.with_frames(**stored)
+            return spark.read.schema(StructType(columns)).parquet(f"{root}/{name}")
+
+        return T.with_frames(**side_by_side({name: partial(one, name) for name in names}))
 
     T = store(derived_facts(spark, sf_dir), _STORED)
     T = T.with_frames(

@@ -7,6 +7,7 @@ loaded files are replaced whole, everything else is left as it was.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from leaseloom.operators import dimensions as Dm
 from leaseloom.operators import grammar as G
 from leaseloom.operators.rules import issue_log
-from leaseloom.operators.scan import two_level_row_number
+from leaseloom.operators.scan import cut, two_level_row_number
 from leaseloom.sources import sinks
 from leaseloom.tables import Tables
 
@@ -56,16 +57,18 @@ def load_reports(spark: SparkSession, rent_grid: DataFrame, availability_grid: D
     known = known or empty_dimensions(spark)
     parsed = G.parse_rent_rolls(rent_grid)
     available, available_issues = G.availability_row(availability_grid)
+    available = cut(available)
 
-    headers = parsed.headers.withColumn("source_rank", F.lit(0)).unionByName(
+    headers = cut(parsed.headers.withColumn("source_rank", F.lit(0)).unionByName(
         available.select("file_name", "property_code", "property_name", "as_of_date", F.lit(None).cast("date").alias("report_month"),
-                         F.lit(1).alias("source_rank")))
+                         F.lit(1).alias("source_rank"))))
     snapshot = Dm.merge_snapshot(known.snapshot, headers).withColumn("snapshot_id", F.expr(SNAPSHOT_ID).cast("int"))
     prop = _numbered(Dm.merge_property(known.property, headers), "property_code", "property_id", known.property)
     # a file is named by its content in the ledger; here its name stands for it
     files = Dm.file_ids(headers.select("file_name", F.sha2("file_name", 256).alias("sha256")))
-    dims = {name: _stored(df, f"{out}/dim/{name}") for name, df in (("snapshot", snapshot), ("property", prop), ("file", files))}
-    book = (
+    made = {"snapshot": snapshot, "property": prop, "file": files}
+    dims = sinks.side_by_side({name: partial(_stored, df, f"{out}/dim/{name}") for name, df in made.items()})
+    book = cut(
         headers.withColumn("_code", F.lower("property_code"))
         .join(dims["property"].select(F.lower("property_code").alias("_code"), "property_id"), "_code")
         .join(dims["snapshot"].select("as_of_date", "snapshot_id"), "as_of_date")
@@ -87,7 +90,7 @@ def load_reports(spark: SparkSession, rent_grid: DataFrame, availability_grid: D
         "availability": Dm.upsert_availability(Dm.resolve_keys(available.drop("property_code", "property_name", "as_of_date"), [(book, ["file_name"])])).drop("file_name"),
     }
     touched = book.select("snapshot_id", "property_id").distinct()
-    stored = {name: _replaced(df, f"{out}/{name}", touched) for name, df in facts.items()}
+    stored = sinks.side_by_side({name: partial(_replaced, df, f"{out}/{name}", touched) for name, df in facts.items()})
     seen = lease.select("property_id", "unit_code", "unit_type_code", "unit_sqft", "resident_id", "resident_name", "file_name", "sheet_row")
     tables = Tables(
         snapshot=dims["snapshot"], property=dims["property"], charge_code=codes,

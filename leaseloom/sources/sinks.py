@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from leaseloom.functions.scalars import canonical_json, is_concession
 from leaseloom.operators.scan import cut
 from leaseloom.sources.literals import literal_rows
 
+T = TypeVar("T")
+
 
 def charge_code_seed(spark: SparkSession, existing: DataFrame | None = None) -> DataFrame:
     """The seeded charge-code dimension; codes already present keep their own classification."""
@@ -30,6 +34,13 @@ def _balanced(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return df.hint("rebalance", *keys) if keys else df
 
 
+def side_by_side(jobs: Mapping[str, Callable[[], T]], at_once: int = 4) -> dict[str, T]:
+    """Run independent writes as concurrent Spark jobs, so that small ones fill the idle cores."""
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        running = {name: pool.submit(job) for name, job in jobs.items()}
+        return {name: job.result() for name, job in running.items()}
+
+
 def bulk_write(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     writer = _balanced(df, partition_by).write.mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
