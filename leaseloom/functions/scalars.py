@@ -23,6 +23,7 @@ def as_text(c: Column) -> Column:
 def _number_text(c: Column) -> Column:
     """Cell text without separators; `(x)` becomes `-x`, `(-x)` becomes `x`, blank becomes `0`."""
     bare = strip(F.translate(F.coalesce(c, F.lit("")), ",$%", ""))
+    bare = F.regexp_replace(bare, r"^\(\s*\)$", "")
     signed = F.regexp_replace(bare, r"^\(\s*([^()]*?)\s*\)$", "-$1")
     return F.regexp_replace(F.regexp_replace(signed, r"^-(?=-)-", ""), r"^$", "0")
 

@@ -6,6 +6,8 @@ loaded files are replaced whole, everything else is left as it was.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
 
@@ -66,8 +68,13 @@ def load_reports(spark: SparkSession, rent_grid: DataFrame, availability_grid: D
     prop = _numbered(Dm.merge_property(known.property, headers), "property_code", "property_id", known.property)
     # a file is named by its content in the ledger; here its name stands for it
     files = Dm.file_ids(headers.select("file_name", F.sha2("file_name", 256).alias("sha256")))
-    made = {"snapshot": snapshot, "property": prop, "file": files}
-    dims = sinks.side_by_side({name: partial(_stored, df, f"{out}/dim/{name}") for name, df in made.items()})
+    # every load writes its dimensions beside the earlier ones, which it still reads
+    version = f"{out}/dim/{uuid.uuid4().hex}"
+
+    def store(frames: dict[str, DataFrame]) -> dict[str, Callable[[], DataFrame]]:
+        return {name: partial(_stored, df, f"{version}/{name}") for name, df in frames.items()}
+
+    dims = sinks.side_by_side(store({"snapshot": snapshot, "property": prop, "file": files}))
     book = cut(
         headers.withColumn("_code", F.lower("property_code"))
         .join(dims["property"].select(F.lower("property_code").alias("_code"), "property_id"), "_code")
@@ -89,17 +96,21 @@ def load_reports(spark: SparkSession, rent_grid: DataFrame, availability_grid: D
         "charge_summary": Dm.upsert_rollups(Dm.resolve_keys(parsed.charge_summary, [(book, ["file_name"])]), ["snapshot_id", "property_id", "charge_code"]).drop("file_name", "sheet_row"),
         "availability": Dm.upsert_availability(Dm.resolve_keys(available.drop("property_code", "property_name", "as_of_date"), [(book, ["file_name"])])).drop("file_name"),
     }
-    touched = book.select("snapshot_id", "property_id").distinct()
-    stored = sinks.side_by_side({name: partial(_replaced, df, f"{out}/{name}", touched) for name, df in facts.items()})
+    # a rent roll replaces its book's leases and printed rollups, an availability report its own row
+    printed = book.join(headers.select("file_name", "source_rank"), "file_name")
+    touched = {n: printed.filter(F.col("source_rank") == (1 if n == "availability" else 0)).select("snapshot_id", "property_id").distinct() for n in facts}
     seen = lease.select("property_id", "unit_code", "unit_type_code", "unit_sqft", "resident_id", "resident_name", "file_name", "sheet_row")
-    tables = Tables(
-        snapshot=dims["snapshot"], property=dims["property"], charge_code=codes,
-        unit_type=Dm.merge_unit_type(known.unit_type, seen), unit=Dm.merge_unit(known.unit, seen), resident=Dm.merge_resident(known.resident, seen), **stored)
+    stored = sinks.side_by_side({
+        **{name: partial(_replaced, df, f"{out}/{name}", touched[name]) for name, df in facts.items()},
+        **store({"unit_type": Dm.merge_unit_type(known.unit_type, seen), "unit": Dm.merge_unit(known.unit, seen),
+                 "resident": Dm.merge_resident(known.resident, seen), "charge_code": codes}),
+    })
+    tables = Tables(snapshot=dims["snapshot"], property=dims["property"], **stored)
     return Loaded(tables, issue_log(parsed.issues, available_issues, unknown))
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
