@@ -68,9 +68,10 @@ def expiration_schedule(T: Tables) -> DataFrame:
 def loss_to_lease(T: Tables) -> DataFrame:
     """Contract against market rent, per occupied or notice lease."""
     contract = F.coalesce(F.col("rent_amount"), F.lit(0))
+    occupied = is_occupied(F.col("occupancy_status"))
     return (
-        T.lease.filter(is_occupied(F.col("occupancy_status")))
-        .join(lease_charge_rollup(T), "lease_id", "left")
+        T.lease.filter(occupied)
+        .join(lease_charge_rollup(T, occupied), "lease_id", "left")
         .select(
             *BOOK, "unit_id", "unit_code", "unit_type_code", "market_rent",
             contract.alias("contract_rent"),
@@ -302,16 +303,16 @@ def rent_peers(priced: DataFrame) -> DataFrame:
 
 def unit_rent_outlier(T: Tables, min_peers: int = 3) -> DataFrame:
     """Each occupied or notice unit against the median asking rent of its unit type in its book."""
+    held = (F.col("section") == "current") & is_occupied(F.col("occupancy_status"))
     priced = T.lease.filter(
-        (F.col("section") == "current") & is_occupied(F.col("occupancy_status"))
-        & F.col("unit_type_code").isNotNull() & (F.col("unit_sqft") > 0) & (F.col("market_rent") > 0)
+        held & F.col("unit_type_code").isNotNull() & (F.col("unit_sqft") > 0) & (F.col("market_rent") > 0)
     ).withColumn("rent_psf", _rent_psf())
     peers = rent_peers(priced).filter(F.col("peer_units") >= min_peers)
     # no lines at all is unknown; lines without a rent line is a rent of zero
-    contract = F.when(F.col("line_count") > 0, F.coalesce(F.col("rent_amount"), F.lit(0)))
+    contract = F.when(F.col("charge_lines") > 0, F.coalesce(F.col("rent_amount"), F.lit(0)))
     above = F.col("market_rent") - F.col("median_market_rent")
     return (
-        priced.join(lease_charge_rollup(T), "lease_id", "left")
+        priced.join(lease_charge_rollup(T, held), "lease_id", "left")
         .join(peers, ["snapshot_id", "property_id", "unit_type_code"])
         .join(T.property.select("property_id", "property_code"), "property_id")
         .select(

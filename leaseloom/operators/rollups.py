@@ -94,17 +94,19 @@ def book_charges(T: Tables) -> DataFrame:
     )
 
 
-def lease_charge_rollup(T: Tables) -> DataFrame:
-    """Charge lines of one lease: line count and the rent and concession sums.
+def lease_charge_rollup(T: Tables, lines: Column | None = None) -> DataFrame:
+    """Rent and concession sums per lease; leases with neither have no row.
 
-    Lines collapse to one row per lease before any join, so a lease with very many lines costs its
-    partial aggregates and not its lines."""
+    `lines` narrows the lines by their lease's state before anything moves, and lines of other
+    categories are dropped before the shuffle. They collapse to one row per lease before any join, so a
+    lease with very many lines costs its partial aggregates and not its lines."""
     category = F.col("category")
+    billed = T.lease_charge if lines is None else T.lease_charge.filter(lines)
+    codes = T.charge_code.filter(category.isin("rent", "concession")).select("charge_code", "category")
     return (
-        with_category(T.lease_charge, T)
+        billed.join(codes, "charge_code")
         .groupBy("lease_id")
         .agg(
-            F.count(F.lit(1)).alias("line_count"),
             sum_if(category == "rent", "amount").alias("rent_amount"),
             sum_if(category == "concession", "amount").alias("concession_amount"),
         )

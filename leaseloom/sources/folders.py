@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
 
+@cache
+def _local_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix="leaseloom-")
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`; a local one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="leaseloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else _local_root(spark.sparkContext.applicationId)
 
 
 def shared_folder(spark: SparkSession) -> str:
