@@ -122,7 +122,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def _replaced(df: DataFrame, path: str, touched: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if _exists(spark, path):
-        sinks.replace_books(df, path, touched)
+        sinks.replace_scope(df, path, touched)
     else:
         sinks.bulk_write(df, path, ("snapshot_id",))
     return spark.read.parquet(path)

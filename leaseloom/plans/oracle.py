@@ -129,7 +129,7 @@ avail AS (
          coalesce(k.notice_units, 0) + CASE WHEN k.units IS NOT NULL AND (p.property_id + s.snapshot_id) % 13 = 0 THEN 1 ELSE 0 END AS notice_unrented,
          coalesce(k.vacant_units + k.notice_units, 0) AS available,
          coalesce(k.pct_occupied, 0) AS pct_leased,
-         coalesce(CAST(round(CAST(k.market_rent AS DOUBLE) / nullif(k.units, 0), 2) AS DECIMAL(12,2)), 0) AS avg_rent,
+         coalesce((2 * CAST(k.market_rent * 100 AS BIGINT) + k.units) // nullif(2 * k.units, 0) / 100.0, 0) AS avg_rent,
          coalesce(CAST(round(k.square_feet / nullif(k.units, 0), 0) AS INT), 0) AS avg_sqft
   FROM snap s CROSS JOIN prop p LEFT JOIN kpi k ON k.snapshot_id = s.snapshot_id AND k.property_id = p.property_id
 ),
@@ -230,7 +230,7 @@ matrix AS (
            CASE WHEN revenue_capture_pct >= 95 AND pct_occupied >= 95 THEN 'performing' WHEN pct_occupied >= 95 THEN 'leaking'
                 WHEN revenue_capture_pct >= 95 THEN 'vacancy_led' ELSE 'distressed' END END AS quadrant,
          CASE WHEN exclusion_reason IS NULL THEN
-           CAST(greatest(0, round(CAST(market_rent * 95 AS DECIMAL(28,4)) / 100 - lease_charges, 2)) AS DECIMAL(28,2)) END AS charges_to_threshold,
+           CAST(greatest(0, (CAST(market_rent * 100 AS BIGINT) * 95 - CAST(lease_charges * 100 AS BIGINT) * 100 + 50) // 100) / 100.0 AS DECIMAL(28,2)) END AS charges_to_threshold,
          CASE WHEN exclusion_reason IS NULL THEN greatest(0, CAST(ceil(units * 95 / 100) AS BIGINT) - occupied_units) END AS units_to_threshold
   FROM scored
 ),

@@ -46,41 +46,51 @@ def bulk_write(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def replace_scope(df: DataFrame, path: str, keys: tuple[str, ...] = ("snapshot_id", "property_id")) -> None:
-    """Replace exactly the partitions present in `df`: rows that vanished from a reloaded file go,
-    other snapshots and books stay."""
+def overwrite_partitions(df: DataFrame, path: str, keys: tuple[str, ...]) -> None:
+    """Overwrite exactly the partitions present in `df`."""
     (
         _balanced(df, keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys).parquet(path)
     )
 
 
-def replace_books(df: DataFrame, path: str, touched: DataFrame) -> None:
-    """Scoped replacement in a table partitioned by snapshot only: the books in `touched` (snapshot_id,
-    property_id) get exactly the rows of `df`, the other books of those snapshots are carried over.
-    Unlike a partition per book this keeps the partition count at the number of snapshots."""
+def _drop_snapshots(spark: SparkSession, path: str, snapshot_ids: list[int]) -> None:
+    """Remove whole snapshot partitions; a dynamic overwrite leaves those it writes nothing to."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for snapshot_id in snapshot_ids:
+        target = jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot_id={snapshot_id}")
+        target.getFileSystem(conf).delete(target, True)
+
+
+def replace_scope(df: DataFrame, path: str, touched: DataFrame) -> None:
+    """Give the books in `touched` (snapshot_id, property_id) exactly the rows of `df`: rows that vanished
+    from a reloaded file go, also a book's last one; other books and snapshots stay.
+
+    The table is partitioned by snapshot only, which keeps the partition count at the number of report
+    dates; the untouched books of a touched snapshot are carried over."""
     spark = df.sparkSession
     schema = [f for f in df.schema if f.name != "snapshot_id"] + [df.schema["snapshot_id"]]
     current = spark.read.schema(StructType(schema)).parquet(path)
-    kept = current.join(touched.select("snapshot_id").distinct(), "snapshot_id", "left_semi").join(
+    snapshots = touched.select("snapshot_id").distinct()
+    kept = current.join(snapshots, "snapshot_id", "left_semi").join(
         touched.select("snapshot_id", "property_id"), ["snapshot_id", "property_id"], "left_anti")
     # staged first: a table cannot be overwritten while it is read
-    replace_scope(cut(df.unionByName(kept.select(*df.columns))), path, ("snapshot_id",))
+    staged = cut(df.unionByName(kept.select(*df.columns)))
+    emptied = snapshots.join(staged.select("snapshot_id").distinct(), "snapshot_id", "left_anti")
+    overwrite_partitions(staged, path, ("snapshot_id",))
+    # report dates, so never many
+    _drop_snapshots(spark, path, [r.snapshot_id for r in emptied.collect()])
 
 
 def replace_snapshot_insights(df: DataFrame, path: str, snapshot_id: int, allow_empty: bool = False) -> None:
     """Replace one snapshot's insights wholesale; an empty replacement is refused unless allowed."""
     rows = df.filter(F.col("snapshot_id") == snapshot_id)
-    empty = rows.isEmpty()
-    if empty and not allow_empty:
+    if not rows.isEmpty():
+        overwrite_partitions(rows, path, ("snapshot_id",))
+    elif allow_empty:
+        _drop_snapshots(df.sparkSession, path, [snapshot_id])
+    else:
         raise ValueError(f"no insight survived for snapshot {snapshot_id}; refusing to replace")
-    if empty:
-        # a dynamic overwrite leaves partitions it writes nothing to, so drop the one asked for
-        spark = df.sparkSession
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot_id={snapshot_id}")
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        return
-    replace_scope(rows, path, ("snapshot_id",))
 
 
 def materialise_marts(marts: Mapping[str, Callable[[], DataFrame]], out: str) -> dict[str, str]:

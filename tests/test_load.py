@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from leaseloom.operators import marts as M
 from leaseloom.plans import catalog
 from leaseloom.plans.load import load_reports
+from leaseloom.sources import sinks
 from leaseloom.sources.folders import shared_folder
 
 
@@ -47,3 +48,12 @@ def test_load_and_reload(spark, ctx):
     assert {c for _, c in changed} <= {code} and len(changed) == 1
     assert again.tables.lease.count() == printed.lease.count() - 1
     assert again.tables.availability.count() == 175
+
+
+def test_a_book_that_lost_every_row_is_emptied(spark):
+    out = shared_folder(spark)
+    rows = spark.createDataFrame([(1, 1, 10), (1, 2, 20), (2, 1, 30)], "snapshot_id int, property_id int, v int")
+    sinks.bulk_write(rows, out, ("snapshot_id",))
+    touched = spark.createDataFrame([(1, 2), (2, 1)], "snapshot_id int, property_id int")
+    sinks.replace_scope(rows.filter("false"), out, touched)
+    assert [r.v for r in spark.read.parquet(out).collect()] == [10]
