@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leaseloom.functions.scalars import fmt_money, normalise_figure
 from leaseloom.operators.payload import fingerprint
+from leaseloom.operators.scan import cut
 
 # fixed values: the priority a quadrant implies
 QUADRANT_PRIORITY = {"distressed": "high", "leaking": "medium", "vacancy_led": "medium", "performing": "low"}
@@ -55,9 +56,8 @@ def normalise_target(insights: DataFrame, codes: DataFrame, assets: DataFrame) -
     }).select(*columns)
 
 
-def evidence_gate(insights: DataFrame, paths: DataFrame, codes: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Insights whose target exists and whose every cited figure occurs in their snapshot's payload,
-    and the others with the first reason against them."""
+def judge(insights: DataFrame, paths: DataFrame, codes: DataFrame, assets: DataFrame) -> DataFrame:
+    """Insights with the first reason against them (`reason`, null when there is none)."""
     cited = insights.select("insight_id", "snapshot_id", F.posexplode("evidence").alias("_at", "_e")).select(
         "insight_id", "snapshot_id", "_at", F.col("_e.value").alias("_cited"), normalise_figure(F.col("_e.value")).alias("value"))
     # distinct figures are looked up, so a figure cited everywhere is looked up once
@@ -69,7 +69,7 @@ def evidence_gate(insights: DataFrame, paths: DataFrame, codes: DataFrame, asset
     fits = F.when(scope == "portfolio", F.col("property_code").isNull() & F.col("asset_key").isNull()).when(
         scope == "asset", has_key & ~has_code).otherwise(has_code & ~has_key)
     exists = F.when(scope == "portfolio", F.lit(True)).when(scope == "asset", F.col("_asset_known")).otherwise(F.col("_code_known"))
-    judged = (
+    return (
         insights.join(missing, "insight_id", "left")
         .join(codes.select("property_code", F.lit(True).alias("_code_known")), "property_code", "left")
         .join(assets.select("asset_key", F.lit(True).alias("_asset_known")), "asset_key", "left")
@@ -77,9 +77,18 @@ def evidence_gate(insights: DataFrame, paths: DataFrame, codes: DataFrame, asset
             ~F.coalesce(exists, F.lit(False)),
             F.concat(scope, F.lit(" target '"), F.coalesce("property_code", "asset_key"), F.lit("' does not exist"))).when(
             F.col("_missing").isNotNull(), F.concat(F.lit("evidence value '"), F.col("_missing"), F.lit("' is not in the payload"))))
+        .select(*insights.columns, "reason")
     )
-    kept = judged.filter(F.col("reason").isNull()).select(*insights.columns)
-    return kept, judged.filter(F.col("reason").isNotNull()).select(*insights.columns, "reason")
+
+
+def _split(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return judged.filter(F.col("reason").isNull()).drop("reason"), judged.filter(F.col("reason").isNotNull())
+
+
+def evidence_gate(insights: DataFrame, paths: DataFrame, codes: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Insights whose target exists and whose every cited figure occurs in their snapshot's payload,
+    and the others with the first reason against them."""
+    return _split(judge(insights, paths, codes, assets))
 
 
 def import_gate(
@@ -89,8 +98,9 @@ def import_gate(
     """Decide per snapshot whether its artifact is imported: `(outcome, kept, dropped)`.
 
     Nothing in the artifact is trusted: its hash is compared with the payload's, its targets are
-    normalised and its figures looked up again. `snapshots` names artifacts that may hold no insight."""
-    kept, dropped = evidence_gate(normalise_target(insights, codes, assets), paths, codes, assets)
+    normalised and its figures looked up again. `snapshots` names artifacts that may hold no insight. The
+    judged insights are stored once, since counts, survivors and drops are all read off them."""
+    kept, dropped = _split(cut(judge(normalise_target(insights, codes, assets), paths, codes, assets)))
     count = lambda df, name: df.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias(name))
     claimed = insights.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("read"), F.max("prompt_sha256").alias("artifact_sha256"))
     if snapshots is not None:
