@@ -129,9 +129,63 @@ register("i5_reduce_chunk", "snapshot_id:i chunk:s part:s n:i", lambda c: _part_
          " UNION ALL SELECT snapshot_id, 'reduce', 'asset_findings', count(*) FROM asset GROUP BY 1"
          " UNION ALL SELECT snapshot_id, 'reduce', 'data_quality', count(*) FROM sec_data_quality GROUP BY 1"
          " UNION ALL SELECT snapshot_id, 'reduce', 'reconciliation', count(*) FROM sec_reconciliation GROUP BY 1")
+# ---- the length of a chunk's document, summed from what each row prints -------
+_COUNTS = set("units occupied_units notice_units vacant_units non_revenue_units future_leases square_feet property_count book_count line_count expiring_leases"
+              " holdover_mtm units_to_threshold units_owing detail_units availability_units unit_delta detail_occupied availability_occupied n d_notice_units".split())
+_TEXTS = set("property_code property_name book_type asset_key asset_label category expiry_month quadrant rule severity prior_as_of headline".split())
+
+
+def _json_length(columns: str) -> str:
+    """SQL for the length of a row printed as compact JSON without its nulls."""
+    def one(c: str) -> str:
+        if c == "property_codes":
+            return f"{len(c) + 4} + length({c}) + 2 * book_count + 2"
+        if c in _COUNTS:
+            shown = f"length(CAST(CAST({c} AS BIGINT) AS VARCHAR))"
+        elif c in _TEXTS:
+            shown = f"2 + length(CAST({c} AS VARCHAR))"
+        else:
+            shown = f"2 + length(CAST(CAST({c} AS DECIMAL(24,{1 if c.endswith('_threshold') and not c.startswith('charges') else 2})) AS VARCHAR))"
+        return f"coalesce({len(c) + 4} + {shown}, 0)"
+
+    return " + ".join(one(c) for c in columns.split()) + " + 1"
+
+
+def _frame(expected: dict[str, bool]) -> int:
+    return 2 + sum(len(k) + 3 for k in expected) + len(expected) - 1 + 2 * sum(expected.values()) + len('"YYYY-MM-DD"')
+
+
+def _lists(names: list[str], chunk: str) -> str:
+    """Characters of the list parts: rows plus the commas between them."""
+    return "".join(
+        f" UNION ALL SELECT s.snapshot_id, {chunk}, sum({_json_length(SECTION_SQL[n][2])}) + count(*) - 1 FROM sec_{n} s"
+        + (" JOIN (SELECT property_code AS pc, asset_key AS ak FROM prop) ON pc = property_code" if "ak" in chunk else "") + " GROUP BY 1, 2" for n in names)
+
+
+_CONTEXT = _json_length("pct_occupied property_count units")
+_ASSET_LENGTHS = (
+    f"SELECT a.snapshot_id, 'map:' || asset_key AS chunk, {_json_length(SECTION_SQL['assets'][2])} AS chars FROM sec_assets a"
+    f" UNION ALL SELECT a.snapshot_id, 'map:' || a.asset_key, c FROM sec_assets a JOIN (SELECT snapshot_id, {_CONTEXT} AS c FROM sec_portfolio) USING (snapshot_id)"
+    + _lists(["properties", "charge_mix", "expirations", "loss_to_lease", "reconciliation"], "'map:' || ak"))
+_RANK_LENGTHS = " UNION ALL ".join(
+    f"SELECT snapshot_id, sum({_json_length(f'property_code {m} units')}) + count(*) - 1 + {len(n) + 5} AS c FROM rank_{n} WHERE i < 5 GROUP BY 1" for n, (m, _) in P.RANKINGS.items())
+_REDUCE_LENGTHS = (
+    f"SELECT snapshot_id, 'reduce' AS chunk, {_json_length(SECTION_SQL['portfolio'][2])} AS chars FROM sec_portfolio"
+    f" UNION ALL SELECT snapshot_id, 'reduce', sum(c) + count(*) - 1 + 2 FROM ({_RANK_LENGTHS}) GROUP BY 1"
+    f" UNION ALL SELECT snapshot_id, 'reduce', sum({_json_length('asset_key headline')}) + count(*) - 1 FROM"
+    " (SELECT snapshot_id, asset_key, 'Occupancy ' || CAST(pct_occupied AS DECIMAL(24,2)) AS headline FROM asset) GROUP BY 1"
+    + _lists(["data_quality", "reconciliation"], "'reduce'"))
+
+
+def _fit_sql(parts: str, expected: dict[str, bool], num_ctx: int) -> str:
+    return (f"SELECT snapshot_id, chunk, length, tokens, floor(CAST(tokens AS DOUBLE) * CAST(1.3 AS DOUBLE)) AS needed, CAST(tokens AS DOUBLE) * CAST(1.3 AS DOUBLE) <= {num_ctx} AS fits FROM (SELECT snapshot_id, chunk, length,"
+            f" greatest(1, length // 4) AS tokens FROM (SELECT snapshot_id, chunk, CAST(sum(chars) AS BIGINT) + {_frame(expected)} AS length FROM ({parts}) GROUP BY 1, 2))")
+
+
 register("i6_chunk_fit", "snapshot_id:i chunk:s length:i tokens:i needed:i fits:b",
          lambda c: P.chunk_fit(P.chunk_sizes(P.asset_chunks(c.sections), P.ASSET_PARTS), num_ctx=1500).unionByName(
-             P.chunk_fit(P.chunk_sizes(P.reduce_chunk(c.sections, _headlines(c)), P.REDUCE_PARTS), num_ctx=4096)))
+             P.chunk_fit(P.chunk_sizes(P.reduce_chunk(c.sections, _headlines(c)), P.REDUCE_PARTS), num_ctx=4096)),
+         "WITH " + _PATHS + "\n---\n" + _fit_sql(_ASSET_LENGTHS, P.ASSET_PARTS, 1500) + " UNION ALL " + _fit_sql(_REDUCE_LENGTHS, P.REDUCE_PARTS, 4096))
 register("i7_flatten_paths", "snapshot_id:i path:s value:s", lambda c: c.paths, "WITH " + _PATHS + "\n---\nSELECT * FROM path")
 
 
