@@ -9,6 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
 import __spark_entry__ as entry
 import compare
+from leaseloom.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +17,7 @@ def con(sf_dir):
     return compare.connect(sf_dir)
 
 
-@pytest.mark.parametrize("key", list(entry.queries()))
+@pytest.mark.parametrize("key", list(catalog.ENTRIES))
 def test_query(spark, con, sf_dir, key):
     why = compare.differences(spark, con, sf_dir, key)
     assert why is None or why.startswith("no rows"), why
