@@ -54,7 +54,7 @@ class Sender:
         shard = np.repeat(np.array([p[0] for p in self.parts]), [len(p[1]) for p in self.parts])
         bucket, records, body, lengths = (np.concatenate([p[k] for p in self.parts]) for k in range(1, 5))
         starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket * len(bucket) + np.arange(len(bucket)))
         heads = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0]))
         rows = []
         for at, end in zip(heads, [*heads[1:], len(order)], strict=True):

@@ -27,7 +27,7 @@ MIN_BYTES = 50
 #: Bytes of a gram. A string of MIN_BYTES has MIN_BYTES - GRAM_BYTES + 1 of them.
 GRAM_BYTES = 24
 #: Bytes of details in a shard; a longer detail is a shard of its own.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 LAST_ID = (1 << 63) - 1
 
 SHARD = ("shard bigint, keys array<binary>, ids array<bigint>, lengths array<bigint>, n_bytes bigint, text binary, repeats binary")

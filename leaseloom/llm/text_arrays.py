@@ -154,11 +154,14 @@ def by_text(counted: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which keys occur more than once, and which have an equal one before them."""
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    many, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-    many[order[1:][same]] = many[order[:-1][same]] = True
-    later[order[1:][same]] = True
+    many, later = np.zeros(len(keys), bool), np.ones(len(keys), bool)
+    if len(keys):
+        order = np.argsort(keys)
+        ordered = keys[order]
+        heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        later[np.minimum.reduceat(order, heads)] = False
+        sizes = np.diff(np.append(heads, len(keys)))
+        many[order] = np.repeat(sizes > 1, sizes)
     return many, later
 
 
