@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaseloom.llm import decontamination, quality_rules, suffix_dedup
+from leaseloom.llm import decontamination, near_dedup, quality_rules, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -60,3 +60,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = insights(spark, sf_dir)
     forest = quality_rules.fit_verdict(written, reviews(spark, sf_dir))
     return quality_rules.quality_rules(written, forest).withColumnRenamed("insight_id", "doc_id")
+
+
+@query
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(insights(spark, sf_dir), least_percent=85).withColumnRenamed("insight_id", "doc_id")
