@@ -15,7 +15,7 @@ _SLICE = pa.schema([("bucket", pa.int32()), ("shards", pa.list_(pa.int64())), ("
 ANSWER = "shard bigint, records binary"
 _ANSWER = pa.schema([("shard", pa.int64()), ("records", pa.binary())])
 #: Bytes that a task gathers before it sends them on, and bytes of text that a bucket stands for.
-HELD_BYTES = 24 << 20
+HELD_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
 
 

@@ -27,7 +27,7 @@ MIN_BYTES = 50
 #: Bytes of a gram. A string of MIN_BYTES has MIN_BYTES - GRAM_BYTES + 1 of them.
 GRAM_BYTES = 24
 #: Bytes of details in a shard; a longer detail is a shard of its own.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 512 << 10
 LAST_ID = (1 << 63) - 1
 
 SHARD = ("shard bigint, keys array<binary>, ids array<bigint>, lengths array<bigint>, n_bytes bigint, text binary, repeats binary")
@@ -185,13 +185,18 @@ def _send_stretches(size: int, gram: int, buckets: int):
     return run
 
 
-def _exact_strings(body: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
-    """A number for each string of `size` bytes, equal for equal strings: by hash, unless two different strings have one hash."""
+def _string_numbers(body: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """A number for each string of `size` bytes, equal for equal strings: its hash's place among the sorted distinct hashes, found by
+    binary search; where two different strings have one hash, its place among the sorted strings themselves."""
     hashes = A.stretch_hashes(A.prefix_hashes(body), places, places + size)
-    known, leader, number = np.unique(hashes, return_index=True, return_inverse=True)
+    merged = np.sort(hashes)
+    known = merged[np.concatenate([[True], merged[1:] != merged[:-1]])]
+    number = np.searchsorted(known, hashes)
+    leader = np.zeros(len(known), np.int64)
+    leader[number] = places
     packed = packed_bytes(body)
     for step in [*range(0, size - 7, 8), size - 8]:
-        if not np.array_equal(packed[places + step], packed[places[leader][number] + step]):
+        if not np.array_equal(packed[places + step], packed[leader[number] + step]):
             strings = np.ascontiguousarray(body[places[:, None] + np.arange(size)]).view(f"V{size}").reshape(-1)
             return np.unique(strings, return_inverse=True)[1]
     return number
@@ -203,13 +208,11 @@ def _merge_stretches(size: int):
         windows = records["windows"].astype(np.int64)
         begins = np.concatenate([[0], np.cumsum(windows + size - 1)])[:-1]
         places = A.ranges(begins, windows)
-        string = _exact_strings(body, places, size)
+        string = _string_numbers(body, places, size)
         ids = np.repeat(records["id"], windows)
-        # the strings in order; each one's earliest insight is found by binary search for where it begins
-        order = np.lexsort((ids, string))
-        earliest = ids[order][np.searchsorted(string[order], string)]
-        removed = ids > earliest
-        starts, ends = A.runs(removed, np.concatenate([[0], np.cumsum(windows)]))
+        earliest = np.full(int(string.max()) + 1, LAST_ID)
+        np.minimum.at(earliest, string, ids)
+        starts, ends = A.runs(ids > earliest[string], np.concatenate([[0], np.cumsum(windows)]))
         owner = np.searchsorted(np.cumsum(windows), starts, "right")
         out = np.zeros(len(starts), _RUN)
         out["place"] = records["place"][owner] + (places[starts] - begins[owner]).astype(np.uint32)
