@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaseloom.llm import decontamination, near_dedup, quality_rules, suffix_dedup
+from leaseloom.llm import bpe, chat_format, decontamination, license_scan, near_dedup, quality_rules, suffix_dedup, token_output, url_filter
+from leaseloom.sources.folders import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,6 +57,45 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+@query
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_details(insights(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_decoded=True)
+    return encoded.select(
+        F.col("insight_id").alias("doc_id"), F.size("token_ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(insights(spark, sf_dir), least_percent=85).withColumnRenamed("insight_id", "doc_id")
+
+
+@query
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages.select("page_id", "url"), url_filter.page_links(pages)).drop("url")
+
+
+@query
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(insights(spark, sf_dir)).withColumnRenamed("insight_id", "doc_id")
+
+
+@query
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    messages = conversations.select(F.col("conv_id").alias("chunk_id"), "turn", "role", F.col("text").alias("content"))
+    chats = chat_format.read_chats(chat_format.format_chats(messages))
+    said_by = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    learned = F.array_join("learned", "")
+    return chats.select(
+        F.col("chunk_id").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(said_by, ""), 256).alias("turns_sha256"), F.length(learned).cast("bigint").alias("loss_chars"),
+        F.sha2(learned, 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = insights(spark, sf_dir)
@@ -63,5 +104,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(insights(spark, sf_dir), least_percent=85).withColumnRenamed("insight_id", "doc_id")
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    token_output.write_token_files(insights(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_output.read_token_files(spark, path, with_ids=False).withColumnRenamed("insight_id", "doc_id")
