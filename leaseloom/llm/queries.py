@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaseloom.llm import bpe, chat_format, decontamination, license_scan, near_dedup, quality_rules, suffix_dedup, token_output, url_filter
+from leaseloom.llm import bpe, chat_format, decontamination, license_scan, near_dedup, quality_rules, suffix_dedup, token_output, toxicity, url_filter
 from leaseloom.sources.folders import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,13 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(insights(spark, sf_dir)).withColumnRenamed("insight_id", "doc_id")
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = insights(spark, sf_dir)
+    classifier = toxicity.fit_toxicity(written, reviews(spark, sf_dir))
+    return toxicity.score_toxicity(written, classifier).withColumnRenamed("insight_id", "doc_id")
+
+
 @query
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_held_out(insights(spark, sf_dir), table(spark, sf_dir, "benchmark"))
