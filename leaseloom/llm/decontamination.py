@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leaseloom.llm import text_arrays as A
 from leaseloom.llm.fm_index import FMIndex
@@ -16,7 +17,9 @@ from leaseloom.llm.fm_index import FMIndex
 #: Words of a window, and held-out bytes looked up at once: more are taken in blocks of about that size, one pass after the other.
 WINDOW_WORDS = 10
 BLOCK_BYTES = 8 << 20
-OUT = "insight_id bigint, detail string, n_words bigint, spans array<struct<first:bigint,last:bigint>>, items array<string>"
+#: What a pass adds to the rows.
+_FOUND = "_held_words bigint, _held_spans array<struct<first:bigint,last:bigint>>, _held_items array<string>"
+_NAMES = ["_held_words", "_held_spans", "_held_items"]
 
 
 class Windows:
@@ -77,22 +80,36 @@ def _scan(windows: Windows, first: bool):
             np.add.at(change, place, 1)
             np.add.at(change, place + windows.lengths[which], -1)
             starts, ends = A.runs(np.cumsum(change[:-1]) > 0, w.offsets)
-            spans: list[list[dict]] = [[] for _ in range(b.num_rows)] if first else b.column("spans").to_pylist()
-            items: list[list[str]] = [[] for _ in range(b.num_rows)] if first else b.column("items").to_pylist()
+            spans: list[list[dict]] = [[] for _ in range(b.num_rows)] if first else b.column("_held_spans").to_pylist()
+            items: list[list[str]] = [[] for _ in range(b.num_rows)] if first else b.column("_held_items").to_pylist()
             span_of, place_of = (np.searchsorted(w.offsets, x, "right") - 1 for x in (starts, place))
             for d, s, e in zip(span_of.tolist(), starts.tolist(), ends.tolist(), strict=True):
                 spans[d].append({"first": s - int(w.offsets[d]), "last": e - int(w.offsets[d]) - 1})
             for d, k in set(zip(place_of.tolist(), which.tolist(), strict=True)):
                 items[d] += windows.items[k]
+            others = [c for c in b.schema.names if c not in _NAMES]
             yield pa.RecordBatch.from_arrays(
-                [b.column("insight_id"), b.column("detail"), pa.array(w.counts),
+                [*(b.column(c) for c in others), pa.array(w.counts),
                  pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                 pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))],
-                ["insight_id", "detail", "n_words", "spans", "items"])
+                 pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))], [*others, *_NAMES])
 
     return run
 
 
+def _found(insights: DataFrame, held_out: DataFrame, window_words: int, block_bytes: int) -> DataFrame:
+    """The insights with _FOUND: one pass for each block of the held-out texts, one after the other over the same rows."""
+    held_out = held_out.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    total = held_out.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    blocks = max(1, math.ceil(total / block_bytes))
+    frame = insights.drop(*_NAMES)
+    schema = StructType([*frame.schema.fields, *StructType.fromDDL(_FOUND).fields])
+    for k in range(blocks):
+        block = held_out.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else held_out
+        windows = Windows(sorted((r.item_id, r.text) for r in block.filter("text is not null").collect()), window_words)
+        frame = frame.mapInArrow(_scan(windows, k == 0), schema)
+    return frame.withColumn("_held_spans", merged_spans(F.col("_held_spans"))) if blocks > 1 else frame
+
+
 def find_held_out(insights: DataFrame, held_out: DataFrame, window_words: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Find the windows of `held_out` (item_id, text) in the details of `insights` (insight_id, detail).
 
@@ -102,17 +119,8 @@ def find_held_out(insights: DataFrame, held_out: DataFrame, window_words: int =
     occurring window). A null detail or text has no words; a null item_id is left out; repeated rows are judged alike.
 
     The held-out texts are taken in blocks of about `block_bytes`, so what a task holds of them does not grow."""
-    held_out = held_out.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = held_out.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    frame = insights.select("insight_id", "detail")
-    for k in range(blocks):
-        block = held_out.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else held_out
-        windows = Windows(sorted((r.item_id, r.text) for r in block.filter("text is not null").collect()), window_words)
-        frame = frame.mapInArrow(_scan(windows, k == 0), OUT)
-    if blocks > 1:
-        frame = frame.withColumn("spans", merged_spans(F.col("spans")))
-    return frame
+    return _found(insights.select("insight_id", "detail"), held_out, window_words, block_bytes).select(
+        "insight_id", "detail", *(F.col(c).alias(name) for c, name in zip(_NAMES, ("n_words", "spans", "items"), strict=True)))
 
 
 def merged_spans(spans):
@@ -140,19 +148,22 @@ def _without(detail: str | None, spans: list) -> str | None:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def removed_spans(insights: DataFrame, held_out: DataFrame, **limits: int) -> DataFrame:
-    """The insights (insight_id, detail) without the hit stretches, from the first hit word's start to the last one's end."""
+def without_held_out(insights: DataFrame, held_out: DataFrame, window_words: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `insights` (insight_id, detail and any other columns) with the hit stretches cut out of the detail, from the first
+    hit word's start to the last one's end. Rows without a hit stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = b.column("spans").to_pylist()
+            spans = b.column("_held_spans").to_pylist()
             cut = [x for x, s in enumerate(spans) if s]
-            details = b.column("detail").to_pylist() if cut else []
-            for x in cut:
-                details[x] = _without(details[x], spans[x])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("insight_id"), pa.array(details, pa.string()) if cut else b.column("detail")], ["insight_id", "detail"])
-
-    return find_held_out(insights, held_out, **limits).select("insight_id", "detail", "spans").mapInArrow(
-        run, "insight_id bigint, detail string")
-
+            detail = b.column("detail")
+            if cut:
+                details = detail.to_pylist()
+                for x in cut:
+                    details[x] = _without(details[x], spans[x])
+                detail = pa.array(details, pa.string())
+            others = [c for c in b.schema.names if c not in _NAMES]
+            yield pa.RecordBatch.from_arrays([detail if c == "detail" else b.column(c) for c in others], others)
+
+    found = _found(insights, held_out, window_words, block_bytes)
+    return found.mapInArrow(run, insights.drop(*_NAMES).schema)

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from leaseloom.llm import shingles as H
 from leaseloom.llm import slices as S
@@ -208,6 +209,35 @@ def _left_over(sets: DataFrame, clusters: DataFrame, labels: DataFrame, percent:
     return asked.unionByName(among).groupBy("cluster", "ob", "mb").applyInArrow(_compare_block(percent), "a binary, b binary")
 
 
+def _grouped(insights: DataFrame, work: Work, least_percent: int, outsiders: int, members: int) -> tuple[DataFrame, DataFrame]:
+    """The features of the rows, and for each distinct set the smallest place of its component and whether it is its first node."""
+    rows = insights.select("insight_id", F.coalesce("insight_id", F.lit(LAST_ID)).alias("place"), "detail")
+    features = work.kept("features", rows.mapInArrow(
+        _features, "insight_id bigint, place bigint, n_shingles bigint, set_key binary, signature binary"))
+    sets = work.stored("sets", features.filter("n_shingles > 0").groupBy("set_key").agg(
+        F.min("place").alias("place"), F.first("signature").alias("signature")))
+    pair = "a binary, b binary"
+    buckets = S.bucket_count(insights.sparkSession, sets.count() * H.SIGNATURE)
+    stars = work.stored("stars", sets.mapInArrow(_own_stars, pair).unionByName(
+        sets.mapInArrow(_send_hubs(buckets), S.SLICE).groupBy("bucket").applyInArrow(_hub_stars, pair)).distinct())
+    nodes = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    full = work.stored("full", rows.join(nodes.select(node_id(F.col("node")).alias("place")).distinct(), "place", "left_semi").select("place", "detail")
+                       .mapInArrow(_full_sets, "node binary, signature binary, shingles binary")
+                       .join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    end = lambda e: full.select(F.col("node").alias(e), F.col("signature").alias(f"signature_{e}"), F.col("shingles").alias(f"shingles_{e}"))
+    links = work.stored("links", stars.join(end("a"), "a").join(end("b"), "b").mapInArrow(_check(least_percent), pair))
+    labels = connected_components(links, work, "labels")
+    clusters = connected_components(stars, work, "clusters")
+    more = work.stored("more", _left_over(full.select("node", "shingles"), clusters, labels, least_percent, outsiders, members))
+    joined = connected_components(more, work, "joined")
+    node = sets.select("set_key", "place").mapInArrow(_named, "set_key binary, node binary")
+    label = node.join(labels.withColumnRenamed("component", "label"), "node", "left").select(
+        "set_key", F.col("node").alias("own"), F.coalesce("label", "node").alias("node"))
+    first = F.coalesce("component", "node")
+    return features.drop("signature"), work.kept("result", label.join(joined, "node", "left").select(
+        "set_key", node_id(first).alias("smallest"), (F.col("own") == first).alias("is_first")))
+
+
 def near_duplicates(insights: DataFrame, least_percent: int = LEAST_PERCENT, outsiders: int = OUTSIDERS, members: int = MEMBERS) -> DataFrame:
     """Group the whole details of `insights` (insight_id, detail) by near-equality of their sets of five-word shingles.
 
@@ -215,39 +245,34 @@ def near_duplicates(insights: DataFrame, least_percent: int = LEAST_PERCENT, out
     input row: insight_id, n_shingles, component_id (the smallest insight_id reachable, its own included) and kept (it is that one).
     Fewer than five words make one shingle; without words, or with a null detail, an insight has none and is linked with nothing. Rows
     with equal details have one set. A null id comes after all others. Other columns are ignored."""
-    spark = insights.sparkSession
-    rows = insights.select("insight_id", F.coalesce("insight_id", F.lit(LAST_ID)).alias("place"), "detail")
-    with Work(spark) as work:
-        features = work.kept("features", rows.mapInArrow(
-            _features, "insight_id bigint, place bigint, n_shingles bigint, set_key binary, signature binary"))
-        sets = work.stored("sets", features.filter("n_shingles > 0").groupBy("set_key").agg(
-            F.min("place").alias("place"), F.first("signature").alias("signature")))
-        pair = "a binary, b binary"
-        buckets = S.bucket_count(spark, sets.count() * H.SIGNATURE)
-        stars = work.stored("stars", sets.mapInArrow(_own_stars, pair).unionByName(
-            sets.mapInArrow(_send_hubs(buckets), S.SLICE).groupBy("bucket").applyInArrow(_hub_stars, pair)).distinct())
-        nodes = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        full = work.stored("full", rows.join(nodes.select(node_id(F.col("node")).alias("place")).distinct(), "place", "left_semi").select("place", "detail")
-                           .mapInArrow(_full_sets, "node binary, signature binary, shingles binary")
-                           .join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-        end = lambda e: full.select(F.col("node").alias(e), F.col("signature").alias(f"signature_{e}"), F.col("shingles").alias(f"shingles_{e}"))
-        links = work.stored("links", stars.join(end("a"), "a").join(end("b"), "b").mapInArrow(_check(least_percent), pair))
-        labels = connected_components(links, work, "labels")
-        clusters = connected_components(stars, work, "clusters")
-        more = work.stored("more", _left_over(full.select("node", "shingles"), clusters, labels, least_percent, outsiders, members))
-        joined = connected_components(more, work, "joined")
-        node = sets.select("set_key", "place").mapInArrow(_named, "set_key binary, node binary")
-        component = (
-            node.join(labels.withColumnRenamed("component", "label"), "node", "left")
-            .select("set_key", F.coalesce("label", "node").alias("node"))
-            .join(joined, "node", "left").select("set_key", node_id(F.coalesce("component", "node")).alias("smallest"))
-        )
-        result = work.kept("result", component)
+    with Work(insights.sparkSession) as work:
+        features, result = _grouped(insights, work, least_percent, outsiders, members)
     smallest = F.coalesce("smallest", "place")
-    return features.drop("signature").join(result, "set_key", "left").select(
+    return features.join(result, "set_key", "left").select(
         "insight_id", "n_shingles", F.when(smallest != LAST_ID, smallest).alias("component_id"), (F.col("place") == smallest).alias("kept"))
 
 
+def one_of_each(insights: DataFrame, least_percent: int = LEAST_PERCENT, outsiders: int = OUTSIDERS, members: int = MEMBERS) -> DataFrame:
+    """The rows of `insights` (insight_id, detail and any other columns) with one row of each group of near-duplicates: the one with the
+    smallest insight_id, of rows with that id one. Rows without words all stay."""
+    with Work(insights.sparkSession) as work:
+        _, result = _grouped(insights, work, least_percent, outsiders, members)
+        work.delete("features")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in A.pieces(batches, "detail", PIECE_BYTES):
+            hashes, offsets = H.shingle_sets(*A.utf8(b.column("detail")))
+            key = pa.array([k if n else None for k, n in zip(_binaries(H.set_keys(hashes, offsets)).to_pylist(), np.diff(offsets), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, key], [*b.schema.names, "_set_key"])
+
+    own = insights.columns
+    keyed = insights.mapInArrow(run, StructType([*insights.schema.fields, StructField("_set_key", BinaryType())])).withColumn(
+        "_place", F.coalesce("insight_id", F.lit(LAST_ID)))
+    first = result.filter("is_first").select(F.col("set_key").alias("_set_key"), F.col("smallest").alias("_place"))
+    chosen = keyed.join(first, ["_set_key", "_place"], "left_semi").dropDuplicates(["_set_key", "_place"])
+    return chosen.unionByName(keyed.filter("_set_key is null")).select(*own)
+
+
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys = np.frombuffer(b"".join(b.column("set_key").to_pylist()), np.uint64).reshape(-1, 2)

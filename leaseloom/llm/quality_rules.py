@@ -107,3 +107,14 @@ def quality_rules(insights: DataFrame, forest: Forest, threshold: float = 0.5) -
                 [x.split()[0] for x in OUT.split(", ")])
 
     return insights.select("insight_id", "detail").mapInArrow(run, OUT)
+
+
+def good_insights(insights: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
+    """The rows of `insights` (insight_id, detail and any other columns) that `quality_rules` keeps, as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in A.pieces(batches, "detail"):
+            c = text_counts(*A.utf8(b.column("detail")))
+            yield b.filter(pa.array(~base_failed(c) & (forest.score(features(c)) >= threshold)))
+
+    return insights.mapInArrow(run, insights.schema)

@@ -133,7 +133,8 @@ class _Reader(_Coder):
             self.at += 1
 
     def move(self, live: np.ndarray, low: np.ndarray) -> None:
-        self.value[live] = (self.value[live] << _16) | self.data[self.at[live]]
+        # a damaged block may ask for more than there is; its checksum tells
+        self.value[live] = (self.value[live] << _16) | self.data[np.minimum(self.at[live], len(self.data) - 1)]
         self.at[live] += 1
 
     def target(self, lanes: np.ndarray | slice) -> np.ndarray:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leaseloom.llm import slices as S
@@ -248,20 +248,12 @@ def _judge(size: int, with_text: bool):
     return run
 
 
-def repeated_passages(insights: DataFrame, min_bytes: int = MIN_BYTES, gram_bytes: int = GRAM_BYTES, shard_bytes: int = SHARD_BYTES,
-                      with_text: bool = False) -> DataFrame:
-    """Remove from each detail of `insights` (insight_id, detail) every byte covered by a string of `min_bytes` bytes that also
-    begins in an insight with a smaller insight_id. Matches never cross insights; overlapping ones count; all are judged on the input.
-
-    One row per input row: insight_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the remaining bytes, and with
-    `with_text` kept, the remaining text (bytes of a character that was cut through are left out). A null detail is empty; equal ids
-    are not smaller than each other, so their rows keep what they share; a null id comes after all others. Other columns are ignored.
-
-    Equal details are one text to begin with: their first insight is judged, the later ones go as a whole if they have `min_bytes`."""
+def _judged(insights: DataFrame, min_bytes: int, gram_bytes: int, shard_bytes: int, with_text: bool) -> tuple[DataFrame, Column]:
+    """The rows with what became of their text (RESULT; the detail itself left out), and which of them are later copies of a whole text."""
     spark = insights.sparkSession
-    rows = insights.select("insight_id", F.coalesce("insight_id", F.lit(LAST_ID)).alias("_order"), F.coalesce("detail", F.lit("")).alias("text"))
-    keyed = rows.withColumn("text_key", F.unhex(F.sha2("text", 256)))
-    texts = keyed.groupBy("text_key").agg(F.min("_order").alias("first_id"), F.first("text").alias("text"))
+    keyed = insights.withColumn("_order", F.coalesce("insight_id", F.lit(LAST_ID))).withColumn("_text", F.coalesce("detail", F.lit("")))
+    keyed = keyed.withColumn("text_key", F.unhex(F.sha2("_text", 256)))
+    texts = keyed.groupBy("text_key").agg(F.min("_order").alias("first_id"), F.first("_text").alias("text"))
     with Work(spark) as work:
         shards = work.stored("shards", texts.select("text_key", "first_id", "text").mapInArrow(_pack(min_bytes, shard_bytes), SHARD))
         buckets = S.bucket_count(spark, shards.agg(F.sum("n_bytes").alias("n")).first().n or 0)
@@ -271,10 +263,29 @@ def repeated_passages(insights: DataFrame, min_bytes: int = MIN_BYTES, gram_byte
         gone = work.stored("gone", sent.groupBy("bucket").applyInArrow(_merge_stretches(min_bytes), S.ANSWER))
         result = work.kept("result", S.with_answers(shards, gone).mapInArrow(
             _judge(min_bytes, with_text), RESULT + (", kept string" if with_text else "")))
-    copy = (F.col("_order") > F.col("first_id")) & (F.col("n_bytes") >= min_bytes)
-    joined = keyed.select("insight_id", "_order", "text_key").join(result, "text_key")
-    return joined.select(
+    return keyed.drop("detail", "_text").join(result, "text_key"), (F.col("_order") > F.col("first_id")) & (F.col("n_bytes") >= min_bytes)
+
+
+def repeated_passages(insights: DataFrame, min_bytes: int = MIN_BYTES, gram_bytes: int = GRAM_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """What goes from each detail of `insights` (insight_id, detail) when every byte is removed that a string of `min_bytes` bytes covers
+    which also begins in an insight with a smaller insight_id. Matches never cross insights; overlapping ones count; all are judged
+    on the input.
+
+    One row per input row: insight_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of the remaining bytes. A null
+    detail is empty; equal ids are not smaller than each other, so their rows keep what they share; a null id comes after all others.
+    Other columns are ignored.
+
+    Equal details are one text to begin with: their first insight is judged, the later ones go as a whole if they have `min_bytes`."""
+    rows, copy = _judged(insights.select("insight_id", "detail"), min_bytes, gram_bytes, shard_bytes, False)
+    return rows.select(
         "insight_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(copy, F.lit(1).cast("bigint")).otherwise(F.col("n_spans")).alias("n_spans"),
-        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-        *([F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept")] if with_text else []))
+        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
+
+
+def without_repeats(insights: DataFrame, min_bytes: int = MIN_BYTES, gram_bytes: int = GRAM_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The rows of `insights` (insight_id, detail and any other columns) without those bytes; what is left of a character that was cut
+    through goes too, and a null detail comes back empty. No row goes."""
+    own = insights.columns
+    rows, copy = _judged(insights, min_bytes, gram_bytes, shard_bytes, True)
+    return rows.withColumn("detail", F.when(copy, F.lit("")).otherwise(F.col("kept"))).select(*own)
