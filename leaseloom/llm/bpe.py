@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 
 from leaseloom.llm import text_arrays as A
 
-#: Pieces remembered by a task before it starts afresh; it bounds memory only.
-REMEMBERED = 200_000
+#: Words, and pieces of words, remembered by a task before it starts afresh; it bounds memory only.
+REMEMBERED = 300_000
+#: Bytes of a piece that is remembered apart from its word.
+SHORT = 6
 PIECE_BYTES = 512 << 10
 OUT = "insight_id bigint, token_ids array<int>"
 
@@ -55,38 +57,40 @@ class BytePairs:
         for token in self.vocabulary:
             codes = [byte_of[c] for c in (token.removesuffix(self.end) if self.end else token)]
             self.inside[codes[:-1], codes[1:]] = True
+        # for each two bytes, whether a token may span them
+        self.joins = self.inside.tobytes()
         self.pieces: dict[tuple[bytes, bool], list[int]] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian 32-bit integers."""
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-        chunks = self.chunks
-        out = []
-        for part in text.replace("\n", " ").split(" "):  # no word holds white space
-            ids = chunks.get(part)
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        if not self.adds or not self.adds.search(text):
+            return self._plain(text)
+        return b"".join(np.array([self.added[part]], "<i4").tobytes() if k % 2 else self._plain(part) for k, part in enumerate(self.adds.split(text)))
+
+    def _plain(self, text: str) -> bytes:
+        # capitals one by one: a sigma's form does not depend on its place in the word
+        plain = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        words, out = self.words, []
+        for word in self.word.findall(plain):
+            ids = words.get(word)
             if ids is None:
-                ids = chunks[part] = np.array(self._chunk(part), "<i4").tobytes()
+                ids = words[word] = np.array(self._word(word.encode()), "<i4").tobytes()
             out.append(ids)
         return b"".join(out)
 
-    def _chunk(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        for k, part in enumerate(self.adds.split(chunk) if self.adds else [chunk]):
-            if k % 2:
-                out.append(self.added[part])
-            else:
-                # capitals one by one: a sigma's form does not depend on its place in the word
-                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                for word in self.word.findall(plain):
-                    out += self._word(word.encode())
-        return out
-
     def _word(self, word: bytes) -> list[int]:
-        codes = np.frombuffer(word, np.uint8)
-        cuts = [0, *(np.flatnonzero(~self.inside[codes[:-1], codes[1:]]) + 1).tolist(), len(word)]
-        return [t for a, b in zip(cuts[:-1], cuts[1:], strict=True) for t in self._piece(word[a:b], b == len(word))]
+        joins = self.joins
+        cuts = [k for k, (a, b) in enumerate(zip(word, word[1:], strict=False), 1) if not joins[a << 8 | b]]
+        if not cuts:
+            return self._piece(word, True)
+        out, at = [], 0
+        for cut in cuts:
+            out += self._piece(word[at:cut], False)
+            at = cut
+        return out + self._piece(word[at:], True)
 
     def _piece(self, piece: bytes, last: bool) -> list[int]:
         known = self.pieces.get((piece, last))
@@ -95,17 +99,25 @@ class BytePairs:
         parts = [self.characters[b] for b in piece]
         if last:
             parts[-1] += self.end
-        never = len(self.merges)
-        while len(parts) > 1:
-            ranks = [self.merges.get(pair, never) for pair in zip(parts, parts[1:], strict=False)]
+        rank, never = self.merges.get, len(self.merges)
+        ranks = [rank(pair, never) for pair in zip(parts, parts[1:], strict=False)]
+        while ranks:
             best = min(ranks)
             if best == never:
                 break
             k = ranks.index(best)
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        ids = self.pieces[piece, last] = [self.vocabulary[p] for p in parts]
+            del ranks[k]
+            # only the pairs on either side of the merged one are new
+            if k:
+                ranks[k - 1] = rank((parts[k - 1], parts[k]), never)
+            if k < len(ranks):
+                ranks[k] = rank((parts[k], parts[k + 1]), never)
+        ids = [self.vocabulary[p] for p in parts]
+        if len(piece) <= SHORT:  # longer ones hardly come again
+            if len(self.pieces) > REMEMBERED:
+                self.pieces.clear()
+            self.pieces[piece, last] = ids
         return ids
 
     @property
