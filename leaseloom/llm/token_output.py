@@ -27,6 +27,8 @@ PAGE_IDS = BLOCK_IDS * LANES
 PIECE_BYTES = 1 << 20
 #: Pieces of text whose ids a task remembers before it starts afresh; it bounds memory only.
 REMEMBERED = 400_000
+#: New pieces encoded at once.
+JOINED = 1000
 PAGE = "part int, page int, before bigint, n_ids bigint, insight_ids array<bigint>, lengths array<bigint>, payload binary"
 _PAGE = pa.schema([("part", pa.int32()), ("page", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()),
                    ("insight_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
@@ -36,7 +38,8 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 class _Encoder:
     """The tokenizers library over pieces of text, the ids of which are remembered. A space between two other characters always begins a
-    new piece, which holds it; only there is a text cut."""
+    new piece, which holds it; only there is a text cut. New pieces are encoded many at a time, one after the other as a text, and told
+    apart by the bytes of their tokens."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -44,21 +47,43 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = []
-        for text in texts:
-            parts = _CUT.split(text) if _WHITE.search(text) else text.split(" ")
-            parts[1:] = [" " + p for p in parts[1:]]
-            cut.append(parts)
-        known = self.known
-        new = list({p for parts in cut for p in parts if p not in known})
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Bytes of each token: a character of a vocabulary entry is a byte, an added token is its own text.
+        self.sizes = np.zeros(max(names.values()) + 1, np.int64)
+        for name, i in names.items():
+            self.sizes[i] = len(name.encode()) if name in added else len(name)
+        self.first: dict[str, bytes] = {}  # pieces that begin a text
+        self.later: dict[str, bytes] = {}  # pieces after a space, which is left out here
+
+    def _learn(self, known: dict[str, bytes], new: list[str]) -> None:
         for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             known[piece] = np.array(found.ids, "<i4").tobytes()
-        return [b"".join([known[p] for p in parts]) for parts in cut]
+
+    def _learn_later(self, new: list[str]) -> None:
+        plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
+        rest = set(new).difference(plain)
+        for at in range(0, len(plain), JOINED):
+            own = plain[at:at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(own)], add_special_tokens=False)[0].ids, "<i4")
+            ends = np.cumsum([len(p.encode()) + 1 for p in own])
+            cuts = [0, *(np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1).tolist()]
+            for p, a, b in zip(own, cuts[:-1], cuts[1:], strict=True):
+                self.later[p] = ids[a:b].tobytes()
+        if rest:
+            spaced: dict[str, bytes] = {}
+            self._learn(spaced, [" " + p for p in rest])
+            self.later.update((p, spaced[" " + p]) for p in rest)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        for known in (self.first, self.later):
+            if len(known) > REMEMBERED:
+                known.clear()
+        cut = [_CUT.split(text) if _WHITE.search(text) else text.split(" ") for text in texts]
+        first, later = self.first, self.later
+        self._learn(first, list({parts[0] for parts in cut}.difference(first)))
+        self._learn_later(list(set().union(*cut).difference(later)))
+        return [first[parts[0]] + b"".join([later[p] for p in parts[1:]]) for parts in cut]
 
 
 @cache
