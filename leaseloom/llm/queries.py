@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaseloom.llm import bpe, chat_format, decontamination, license_scan, near_dedup, quality_rules, suffix_dedup, token_output, toxicity, url_filter
+from leaseloom.llm import bpe, chat_format, decontamination, license_scan, near_dedup, oracle, quality_rules, suffix_dedup, token_output, toxicity, url_filter
 from leaseloom.sources.folders import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,18 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     token_output.write_token_files(insights(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return token_output.read_token_files(spark, path, with_ids=False).withColumnRenamed("insight_id", "doc_id")
+
+
+def _license_templates() -> str:
+    every = [(*t, True) for t in license_scan.BASE] + [(*t, False) for t in license_scan.NOTICES]
+    return ", ".join(f"({k}, '{label}', {base}, '{text}')" for k, (text, label, base) in enumerate(every))
+
+
+ORACLE_SQL |= {
+    "op1_suffix_array_dedup": oracle.SUFFIX_DEDUP,
+    "op3_benchmark_decontamination": oracle.DECONTAMINATION,
+    "op5_minhash_near_dedup": oracle.NEAR_DEDUP,
+    "op6_url_filters": oracle.URL_FILTERS,
+    "op7_license_scans": oracle.license_scans(_license_templates(), license_scan.SLACK_WORDS, license_scan.LEAST_SHARE),
+    "op8_chat_formatting": oracle.CHAT_FORMATTING,
+}
