@@ -88,22 +88,21 @@ class _Coder:
     def __init__(self, lanes: int):
         self.low, self.width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
 
-    def narrow(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
-        """Take the symbols of `size` from `start` on, out of 65536."""
-        width = self.width[lanes] >> _16
-        low = self.low[lanes] + start.astype(np.uint64) * width
-        width *= size.astype(np.uint64)
-        self.low[lanes], self.width[lanes] = low, width
-        settled = ((low ^ (low + width)) < _TOP) | (width < _BOTTOM)
-        live = np.flatnonzero(settled) if isinstance(lanes, slice) else lanes[settled]
+    def settle(self, low: np.ndarray, width: np.ndarray) -> None:
+        """Go on from these ends and widths of the first lanes, and let settled bits leave."""
+        lanes = len(low)
+        same = (low ^ (low + width)) < _TOP
+        live = np.flatnonzero(same | (width < _BOTTOM))
         while len(live):
-            low, width = self.low[live], self.width[live]
             # the first bits still open but the width used up: the width is cut so that they are settled
-            width = np.where((low ^ (low + width)) < _TOP, width, (~low + np.uint64(1)) & _LOWEST)
-            self.move(live, low)
-            low, width = low << _16, width << _16
-            self.low[live], self.width[live] = low, width
-            live = live[((low ^ (low + width)) < _TOP) | (width < _BOTTOM)]
+            own, own_width = low[live], np.where(same[live], width[live], (~low[live] + np.uint64(1)) & _LOWEST)
+            self.move(live, own)
+            own, own_width = own << _16, own_width << _16
+            low[live], width[live] = own, own_width
+            again = (own ^ (own + own_width)) < _TOP
+            same[live] = again
+            live = live[again | (own_width < _BOTTOM)]
+        self.low[:lanes], self.width[:lanes] = low, width
 
 
 class _Writer(_Coder):
@@ -137,8 +136,9 @@ class _Reader(_Coder):
         self.value[live] = (self.value[live] << _16) | self.data[np.minimum(self.at[live], len(self.data) - 1)]
         self.at[live] += 1
 
-    def target(self, lanes: np.ndarray | slice) -> np.ndarray:
-        return np.minimum((self.value[lanes] - self.low[lanes]) // (self.width[lanes] >> _16), np.uint64(65535)).astype(np.int32)
+    def target(self, low: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """The 65536th of the width, parts of it `part` wide from `low` on, that the value lies in."""
+        return np.minimum((self.value[:len(low)] - low) // part, np.uint64(65535)).astype(np.int32)
 
 
 def checksum(ids: np.ndarray) -> int:
@@ -171,12 +171,18 @@ def _encode(ids: np.ndarray, length: int, wide: bool) -> list[bytes]:
         now = table[t, :lanes]
         candidate, chance = model.predict()
         hit = candidate == now
-        writer.narrow(slice(0, lanes), np.where(hit, 0, chance), np.where(hit, chance, 65536 - chance))
-        missed = np.flatnonzero(~hit)
-        one = np.ones(len(missed), np.uint64)
-        if wide:
-            writer.narrow(missed, now[missed] >> 16, one)
-        writer.narrow(missed, now[missed] & 0xFFFF, one)
+        part = writer.width[:lanes] >> _16
+        low = writer.low[:lanes] + np.where(hit, 0, chance).astype(np.uint64) * part
+        width = part * np.where(hit, chance, 65536 - chance).astype(np.uint64)
+        # an id that was not foreseen: its halves, each one in 65536
+        for bits in (16, 0) if wide else (0,):
+            half = np.where(hit, 0, (now >> bits) & 0xFFFF).astype(np.uint64)
+            if wide and not bits:
+                writer.settle(low, width)
+                low, width = writer.low[:lanes].copy(), writer.width[:lanes].copy()
+            width = np.where(hit, width, width >> _16)
+            low = low + half * width
+        writer.settle(low, width)
         model.update(now)
     return writer.bytes()
 
@@ -205,16 +211,21 @@ def _decode(blocks: list[bytes], total: int, wide: bool, length: int) -> np.ndar
         if lanes < len(model.lane):
             model.shrink(lanes)
         candidate, chance = model.predict()
-        every = slice(0, lanes)
-        hit = reader.target(every) < chance
-        reader.narrow(every, np.where(hit, 0, chance), np.where(hit, chance, 65536 - chance))
+        low, part = reader.low[:lanes].copy(), reader.width[:lanes] >> _16
+        hit = reader.target(low, part) < chance
+        low += np.where(hit, 0, chance).astype(np.uint64) * part
+        width = part * np.where(hit, chance, 65536 - chance).astype(np.uint64)
         now = np.where(hit, candidate, 0)
-        missed = np.flatnonzero(~hit)
-        one = np.ones(len(missed), np.uint64)
-        for _ in range(1 + wide):
-            part = reader.target(missed)
-            reader.narrow(missed, part, one)
-            now[missed] = (now[missed] << 16) | part
+        for bits in (16, 0) if wide else (0,):
+            if wide and not bits:
+                reader.settle(low, width)
+                low, width = reader.low[:lanes].copy(), reader.width[:lanes].copy()
+            part = np.where(hit, width, width >> _16)
+            half = np.where(hit, 0, reader.target(low, part))
+            now |= half << bits
+            low += half.astype(np.uint64) * part
+            width = part
+        reader.settle(low, width)
         table[t, :lanes] = now
         model.update(now)
     return table.T.reshape(-1)[:total]

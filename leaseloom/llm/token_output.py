@@ -26,7 +26,7 @@ from leaseloom.llm.range_coder import BLOCK_IDS, LANES, decode_blocks, encode_bl
 PAGE_IDS = BLOCK_IDS * LANES
 PIECE_BYTES = 1 << 20
 #: Pieces of text whose ids a task remembers before it starts afresh; it bounds memory only.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: New pieces encoded at once.
 JOINED = 1000
 PAGE = "part int, page int, before bigint, n_ids bigint, insight_ids array<bigint>, lengths array<bigint>, payload binary"
