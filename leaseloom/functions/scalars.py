@@ -20,19 +20,25 @@ def as_text(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
-def _number_text(c: Column) -> Column:
-    """Cell text without separators; `(x)` becomes `-x`, `(-x)` becomes `x`, blank becomes `0`."""
+_PAIRED = r"^\(([^()]*)\)$"
+
+
+def _number(c: Column, kind: str) -> Column:
+    """Cell text without separators as a number: blank is 0, one pair of parentheses around a number negates it, junk is null."""
     bare = strip(F.translate(F.coalesce(c, F.lit("")), ",$%", ""))
-    bare = F.regexp_replace(bare, r"^\(\s*\)$", "")
-    signed = F.regexp_replace(bare, r"^\(\s*([^()]*?)\s*\)$", "-$1")
-    return F.regexp_replace(F.regexp_replace(signed, r"^-(?=-)-", ""), r"^$", "0")
+    paired = bare.rlike(_PAIRED)
+    figure = strip(F.when(paired, F.regexp_extract(bare, _PAIRED, 1)).otherwise(bare))
+    if kind == "int":
+        figure = F.regexp_replace(figure, r"\.0*$", "")
+    number = F.when(figure == "", F.lit(0).cast(kind)).otherwise(figure.try_cast(kind))
+    return F.when(paired, -number).otherwise(number).cast(kind)
 
 
 def as_decimal(c: Column) -> Column:
     """Money or percent text to a decimal; blank is 0, junk is null (see `as_decimal_error`)."""
     # a bare figure needs no cleaning, which is what most cells hold
     return F.when(c.isNull(), F.lit(0).cast(NUMBER)).otherwise(
-        F.coalesce(c.try_cast(NUMBER), _number_text(c).try_cast(NUMBER)))
+        F.coalesce(c.try_cast(NUMBER), _number(c, NUMBER)))
 
 
 def as_decimal_error(c: Column) -> Column:
@@ -57,7 +63,7 @@ def as_date_error(c: Column) -> Column:
 
 def as_int(c: Column) -> Column:
     """Whole numbers only; an empty cell is null, a blank-but-present one is 0."""
-    return F.when(c != "", F.regexp_replace(_number_text(c), r"\.0*$", "").try_cast("int"))
+    return F.when(c != "", _number(c, "int"))
 
 
 def as_int_error(c: Column) -> Column:

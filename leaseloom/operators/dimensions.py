@@ -15,7 +15,7 @@ from leaseloom.functions.scalars import derive_asset_key, derive_book_type, is_c
 from leaseloom.operators.scan import two_level_row_number
 
 SEEN = ("file_name", "sheet_row")
-SHEET_BITS = 20  # a worksheet holds at most 2**20 rows
+SHEET_BITS = 32  # a sheet row is an int, so the ids of two rows never meet
 
 
 def _last(value: Column, order: Column) -> Column:
@@ -23,8 +23,9 @@ def _last(value: Column, order: Column) -> Column:
 
 
 def merge_snapshot(old: DataFrame, new: DataFrame) -> DataFrame:
-    """`as_of_date, report_month`: the first non-null month of the new files, else the old one."""
-    months = new.groupBy("as_of_date").agg(F.min("report_month").alias("_new"))
+    """`as_of_date, report_month`: the first non-null month of the new files (`file_name`) in file order, else the old one."""
+    first = F.min_by("report_month", F.when(F.col("report_month").isNotNull(), F.col("file_name")))
+    months = new.groupBy("as_of_date").agg(first.alias("_new"))
     return months.join(old.select("as_of_date", F.col("report_month").alias("_old")), "as_of_date", "full").select(
         "as_of_date", F.coalesce("_new", "_old").alias("report_month"))
 
@@ -91,7 +92,7 @@ def file_ids(files: DataFrame, start: int = 0) -> DataFrame:
 
 
 def row_id(file_id: Column, sheet_row: Column) -> Column:
-    """The identity of a sheet row: exact, because a worksheet cannot exceed 2**20 rows."""
+    """The identity of a sheet row: the file in the upper half, the row in the lower."""
     return F.shiftleft(file_id.cast("bigint"), SHEET_BITS) + sheet_row
 
 

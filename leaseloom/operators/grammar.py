@@ -11,6 +11,7 @@ anchor of its own.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,15 +172,10 @@ def _head_rejection(section: Column) -> Column:
     )
 
 
-def largest_sheet(grid: DataFrame) -> int:
-    """Rows of the longest sheet (an action over one column)."""
-    return grid.agg(F.max(ROW)).first()[0] or 0
-
-
-def mode_segments(grid: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+def mode_segments(grid: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Body rows with the summary-block mode they belong to (`_mode`, null outside) and whether they
     are ordinary rows (`_normal`)."""
-    body = with_chunks(grid.filter(F.col(ROW) > HEADER_ROWS), [FILE], ROW, chunk_rows).withColumns(_row_facts())
+    body = with_chunks(grid.filter(F.col(ROW) > HEADER_ROWS), ROW, chunk_rows).withColumns(_row_facts())
     a = F.col("_a")
     anchor = F.when(F.col("_kind").isNotNull(), F.struct(F.col(ROW).alias("at"), F.col("_kind").alias("kind")))
     rows = prefix_scan(body, [FILE], ROW, lasts={"_anchor": anchor})
@@ -193,16 +189,15 @@ def mode_segments(grid: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     return rows.withColumns({"_normal": over & F.col("_kind").isNull(), "_mode": F.when(~over, mode)})
 
 
-def classify_rows(grid: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+def classify_rows(grid: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Every body row with its class, section, owning block and, for charge lines, its number.
 
     `cls`: anchor, header, group, group_unknown, charge_summary, mode_end, section, head, line, orphan,
     silent (a line under a rejected head), total, section_total, blank. `owner` is the sheet row of the
     accepted head; `reject_rule` is set on rejected heads.
 
-    By default a sheet is one window partition, which the worksheet limit of 2**20 rows bounds; with
-    `chunk_rows` sheets are read chunk by chunk, whatever their length."""
-    rows = mode_segments(grid, chunk_rows)
+    Sheets are read in chunks of `chunk_rows`, whatever their length; the rows are cut between the first two scans and the last two."""
+    rows = cut(mode_segments(grid, chunk_rows))
     a, d, g, normal = F.col("_a"), F.col("_d"), F.col("_g"), F.col("_normal")
     label = F.when(a == S.CURRENT_LABEL, "current").when(a == S.FUTURE_LABEL, "future")
     tail = normal & (a == "")
@@ -217,7 +212,9 @@ def classify_rows(grid: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     # a head is accepted or not depending on the section it turns out to stand in
     head = F.when(F.col("_is_head"), F.struct(
         F.col(ROW).alias("at"), _head_rejection(F.lit("current")).isNull().alias("current"),
-        _head_rejection(F.lit("future")).isNull().alias("future")))
+        _head_rejection(F.lit("future")).isNull().alias("future"),
+        # what the lines below need of their lease, so that they are never joined to it
+        _resident()[0].alias("sentinel"), as_date(F.col("c13")).alias("move_out")))
     rows = prefix_scan(
         rows, [FILE], ROW, lasts={"section": F.col("_start"), "_head": head},
         prior_lasts={"_closed": F.when(F.col("_closes"), F.col(ROW))}, sums={"_lines": F.col("_line")},
@@ -244,6 +241,7 @@ def classify_rows(grid: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     numbered = F.col("owner").isNotNull() & (F.col("_line") > 0)
     return rows.select(
         FILE, ROW, "cls", "section", "owner",
+        F.when(F.col("owner").isNotNull(), derive_status(F.col("section"), F.col("_head.sentinel"), F.col("_head.move_out"))).alias("occupancy_status"),
         F.when(F.col("cls") == "head", _head_rejection(F.col("section"))).alias("reject_rule"),
         F.when(numbered, F.col("_lines") - F.col("_base")).cast("int").alias("line_no"),
         *cells(S.RENT_ROLL_COLUMNS),
@@ -253,9 +251,9 @@ def classify_rows(grid: DataFrame, chunk_rows: int | None = None) -> DataFrame:
 # ---- facts from classified rows ----------------------------------------------
 
 def charge_lines(rows: DataFrame) -> DataFrame:
-    """Parsed charge lines of accepted blocks; `owner` is the sheet row of their lease."""
+    """Parsed charge lines of accepted blocks; `owner` is the sheet row of their lease, whose section and status they carry."""
     return rows.filter(F.col("line_no").isNotNull()).select(
-        FILE, "owner", "line_no", _text(7).alias("charge_code"), as_decimal(F.col("c08")).alias("amount"), ROW)
+        FILE, "owner", "section", "occupancy_status", "line_no", _text(7).alias("charge_code"), as_decimal(F.col("c08")).alias("amount"), ROW)
 
 
 def _lease_fields() -> list[Column]:
@@ -283,15 +281,22 @@ def lease_blocks(rows: DataFrame) -> DataFrame:
     )
 
 
-def leases(rows: DataFrame) -> DataFrame:
+def leases(blocks: DataFrame) -> DataFrame:
     """Accepted leases with their printed charge total and their number of lines."""
-    return lease_blocks(rows).withColumn("charges_total", F.col("printed_total").cast(S.MONEY)).drop(
+    return blocks.withColumn("charges_total", F.col("printed_total").cast(S.MONEY)).drop(
         "printed_total", "sum_of_charges")
 
 
 def lease_row_filter(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted leases, and the findings about lease heads."""
-    return leases(rows), lease_issues(rows)
+    return leases(lease_blocks(rows)), lease_issues(rows)
+
+
+def _unread_cells() -> Column:
+    """The cells of a lease head that cannot be read, with their text."""
+    bad = {2: as_int_error(F.col("c03")), **{i - 1: _unread(i) for i in (6, 9, 10, 14)}, **{i - 1: as_date_error(F.col(f"c{i:02d}")) for i in (11, 12, 13)}}
+    said = [F.when(where, F.concat(F.lit(f"column {i + 1}: "), F.col(f"c{i + 1:02d}"))) for i, where in sorted(bad.items())]
+    return F.array_join(F.array_compact(F.array(*said)), "; ")
 
 
 def lease_issues(rows: DataFrame) -> DataFrame:
@@ -304,7 +309,7 @@ def lease_issues(rows: DataFrame) -> DataFrame:
     status = derive_status(F.col("section"), sentinel, as_date(F.col("c13")))
     found = [
         _error("lease_outside_section", "error", why == "lease_outside_section", {"unit_code": unit}),
-        _error("lease_row_coercion", "error", why == "lease_row_coercion", {"unit_code": unit}),
+        _error("lease_row_coercion", "error", why == "lease_row_coercion", {"unit_code": unit, "error": _unread_cells()}),
         _error("occupied_row_without_resident", "error", why == "occupied_row_without_resident",
                {"unit_code": unit, "occupancy_status": status}),
         _error("resident_id_format", "error", why == "resident_id_format", {"unit_code": unit, "resident_id": resident}),
@@ -328,9 +333,9 @@ def line_issues(rows: DataFrame) -> DataFrame:
     return _issues(rows.filter(F.col("cls").isin("orphan", "line", "head", "total")), found, F.col(ROW))
 
 
-def block_total_check(rows: DataFrame, tol: float = 0.005) -> DataFrame:
+def block_total_check(blocks: DataFrame, tol: float = 0.005) -> DataFrame:
     """Blocks whose printed total differs from the sum of their lines."""
-    bad = lease_blocks(rows).filter(F.abs(F.col("printed_total") - F.col("sum_of_charges")) > tol)
+    bad = blocks.filter(F.abs(F.col("printed_total") - F.col("sum_of_charges")) > tol)
     found = _error("block_total_mismatch", "error", F.lit(True), {
         "unit_code": F.col("unit_code"), "printed_total": F.col("printed_total").cast(S.MONEY),
         "sum_of_charges": F.col("sum_of_charges").cast(S.MONEY)})
@@ -380,18 +385,19 @@ class ParsedRentRolls:
     issues: DataFrame
 
 
-def parse_rent_rolls(grid: DataFrame, chunk_rows: int | None = None) -> ParsedRentRolls:
-    """Facts and findings of every well-formed file; a malformed file yields one finding only. Sheets
-    beyond the worksheet limit make the scan go chunk by chunk. The classified rows are cut once, since
-    six frames are read off them."""
-    if chunk_rows is None and largest_sheet(grid) > CHUNK_ROWS:
-        chunk_rows = CHUNK_ROWS
+def parse_rent_rolls(grid: DataFrame, chunk_rows: int = CHUNK_ROWS) -> ParsedRentRolls:
+    """Facts and findings of every well-formed file; a malformed file yields one finding only. Headers, classified rows and
+    blocks are cut once each, since several frames are read off them."""
     headers, failures = report_header(grid)
+    headers = cut(headers)
     rows = cut(classify_rows(grid.join(headers.select(FILE), FILE, "left_semi"), chunk_rows))
-    issues = failures
-    for found in (lease_issues(rows), line_issues(rows), block_total_check(rows), summary_issues(rows)):
-        issues = issues.unionByName(found)
-    return ParsedRentRolls(headers, rows, leases(rows), charge_lines(rows), summary_groups(rows), charge_summary_rows(rows), issues)
+    blocks = cut(lease_blocks(rows))
+    found = [lease_issues(rows), line_issues(rows), block_total_check(blocks), summary_issues(rows)]
+    coded = reduce(DataFrame.unionByName, found).join(headers.select(FILE, "property_code"), FILE)
+    issues = failures.unionByName(coded.select(
+        FILE, "severity", "rule", ROW,
+        F.map_concat(F.create_map(F.lit("property_code"), F.col("property_code")), "detail").alias("detail")))
+    return ParsedRentRolls(headers, rows, leases(blocks), charge_lines(rows), summary_groups(rows), charge_summary_rows(rows), issues)
 
 
 # ---- availability ------------------------------------------------------------

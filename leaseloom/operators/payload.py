@@ -264,11 +264,12 @@ def chunk_sizes(parts: DataFrame, expected: Mapping[str, bool]) -> DataFrame:
 def chunk_fit(sizes: DataFrame, num_ctx: int, headroom: float = 1.3) -> DataFrame:
     """Whether each chunk fits the context with headroom. A chunk that does not is refused, never cut."""
     need = F.col("tokens") * F.lit(headroom)
-    return sizes.withColumns({"needed": F.floor(need).cast("bigint"), "fits": need <= num_ctx})
+    return sizes.withColumns({"needed": F.floor(need).cast("bigint"), "num_ctx": F.lit(num_ctx).cast("bigint"), "fits": need <= num_ctx})
 
 
 def assemble_chunks(parts: DataFrame, fit: DataFrame, expected: Mapping[str, bool]) -> DataFrame:
-    """The documents of the chunks that fit; their size is bounded by the context they fit."""
+    """One row for each chunk of `fit`: its document, or for a refused one a null document and the reason. A document's size is bounded
+    by the context it fits; the parts of a refused chunk are never gathered."""
     kept = parts.join(fit.filter("fits").select("snapshot_id", "chunk"), ["snapshot_id", "chunk"])
     text = kept.groupBy("snapshot_id", "chunk", "part").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "json"))), lambda x: x["json"]), ",").alias("t"))
@@ -277,4 +278,6 @@ def assemble_chunks(parts: DataFrame, fit: DataFrame, expected: Mapping[str, boo
     for key in sorted(expected):
         body = F.coalesce(F.col("m")[key], F.lit(""))
         fields.append(F.concat(F.lit(f'"{key}":['), body, F.lit("]")) if expected[key] else F.concat(F.lit(f'"{key}":'), body))
-    return parts_of.select("snapshot_id", "chunk", F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("document"))
+    documents = parts_of.select("snapshot_id", "chunk", F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("document"))
+    reason = F.when(~F.col("fits"), F.format_string("needs a context of %d tokens, %d given", F.col("needed"), F.col("num_ctx")))
+    return fit.join(documents, ["snapshot_id", "chunk"], "left").select("snapshot_id", "chunk", "document", "needed", "num_ctx", reason.alias("reason"))

@@ -191,15 +191,19 @@ def unit_list(T: Tables, snapshot_id: int | None = None) -> DataFrame:
         "snapshot_id", "property_code", "unit_code", "section")
 
 
-def lease_header(T: Tables, lease_id: int | None = None) -> DataFrame:
+def lease_header(T: Tables, snapshot_id: int | None = None, lease_id: int | None = None) -> DataFrame:
+    """One lease of a snapshot (read from that snapshot's partition alone), or all."""
+    T = T.with_frames(lease=only(T.lease, snapshot_id))
     lease = T.lease if lease_id is None else T.lease.filter(F.col("lease_id") == lease_id)
     return _named(_coded(lease, T), T).select(
         "lease_id", "property_code", "unit_code", "occupancy_status", "resident_id", "display_name",
         "market_rent", "charges_total", "balance")
 
 
-def lease_lines(T: Tables, lease_id: int | None = None) -> DataFrame:
-    lines = T.lease_charge if lease_id is None else T.lease_charge.filter(F.col("lease_id") == lease_id)
+def lease_lines(T: Tables, snapshot_id: int | None = None, lease_id: int | None = None) -> DataFrame:
+    """The lines of one lease of a snapshot, or of all."""
+    billed = only(T.lease_charge, snapshot_id)
+    lines = billed if lease_id is None else billed.filter(F.col("lease_id") == lease_id)
     return lines.join(T.charge_code, "charge_code").select(
         "lease_id", "line_no", "charge_code", "category", "description", "is_concession", "amount"
     ).orderBy("lease_id", "line_no")

@@ -14,6 +14,7 @@ from leaseloom.functions.scalars import is_occupied
 from leaseloom.tables import Tables
 
 BOOK = ["snapshot_id", "property_id"]
+LEASE = ["snapshot_id", "lease_id"]  # lease-grain joins name the snapshot too, which prunes partitions
 
 
 def only(df: DataFrame, snapshot_id: int | None) -> DataFrame:
@@ -95,7 +96,7 @@ def book_charges(T: Tables) -> DataFrame:
 
 
 def lease_charge_rollup(T: Tables, lines: Column | None = None) -> DataFrame:
-    """Rent and concession sums per lease; leases with neither have no row.
+    """Rent and concession sums per lease of a snapshot; leases with neither have no row.
 
     `lines` narrows the lines by their lease's state before anything moves, and lines of other
     categories are dropped before the shuffle. They collapse to one row per lease before any join, so a
@@ -105,7 +106,7 @@ def lease_charge_rollup(T: Tables, lines: Column | None = None) -> DataFrame:
     codes = T.charge_code.filter(category.isin("rent", "concession")).select("charge_code", "category")
     return (
         billed.join(codes, "charge_code")
-        .groupBy("lease_id")
+        .groupBy(*LEASE)
         .agg(
             sum_if(category == "rent", "amount").alias("rent_amount"),
             sum_if(category == "concession", "amount").alias("concession_amount"),

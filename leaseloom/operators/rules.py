@@ -159,7 +159,7 @@ def rule_zero_unit_property(T: Tables, snapshot_ids: Sequence[int] | None = None
 def rule_duplicate_charge_code_in_block(T: Tables, snapshot_ids: Sequence[int] | None = None) -> DataFrame:
     T = _scoped(T, snapshot_ids)
     repeats = (
-        T.lease_charge.groupBy("property_id", "lease_id", "charge_code")
+        T.lease_charge.groupBy(*BOOK, "lease_id", "charge_code")
         .agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
     )
     return _counted(T, repeats, "duplicate_charge_code_in_block", "blocks_with_repeats")

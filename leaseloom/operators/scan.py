@@ -26,13 +26,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_chunks(df: DataFrame, keys: Sequence[str], pos: str, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
-    """Add the chunk column and place each chunk of each key in one partition. Without `chunk_rows` the
-    rows stay whole: only for keys known to hold no more rows than one chunk."""
-    if chunk_rows is None:
-        return df.repartition(*keys)
-    chunked = df.withColumn(CHUNK, F.floor(F.col(pos) / F.lit(chunk_rows)))
-    return chunked.repartition(*keys, CHUNK)
+def with_chunks(df: DataFrame, pos: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add the chunk that each row belongs to; rows of a key and chunk are worked on together."""
+    return df.withColumn(CHUNK, F.floor(F.col(pos) / F.lit(chunk_rows)))
 
 
 def prefix_scan(
@@ -47,14 +43,13 @@ def prefix_scan(
     """Running columns over `keys` in `pos` order; `df` comes from `with_chunks`.
 
     `lasts` is the last non-null value up to and including the row, `prior_lasts` up to but
-    excluding it, `sums` the inclusive running sum.
+    excluding it, `sums` the inclusive running sum. Rows and chunk totals both read `df`, so a chain of
+    scans is best cut (see `cut`) after every second one.
     """
     lasts, prior_lasts, sums = dict(lasts or {}), dict(prior_lasts or {}), dict(sums or {})
     wanted = {**lasts, **prior_lasts, **sums}
-    chunked = CHUNK in df.columns
-    # the chunk totals and the rows both read the input: cut it, or every scan doubles the work before it
-    staged = (cut(df) if chunked else df).withColumns({f"_in_{n}": c for n, c in wanted.items()})
-    group = [*keys, CHUNK] if chunked else list(keys)
+    staged = df.withColumns({f"_in_{n}": c for n, c in wanted.items()})
+    group = [*keys, CHUNK]
 
     local = Window.partitionBy(*group).orderBy(pos)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -66,11 +61,6 @@ def prefix_scan(
             **{f"_l_{n}": F.sum(f"_in_{n}").over(upto) for n in sums},
         }
     )
-    if not chunked:
-        return rows.select(
-            *df.columns, *[F.col(f"_l_{n}").alias(n) for n in (*lasts, *prior_lasts)],
-            *[F.coalesce(F.col(f"_l_{n}"), F.lit(0)).alias(n) for n in sums])
-
     # what each chunk hands to the later chunks of its key
     totals = staged.groupBy(*group).agg(
         *[

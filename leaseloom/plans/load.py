@@ -1,47 +1,60 @@
-"""The load: report grids in, a star schema stored by snapshot out.
+"""The load: report grids in, a star schema stored by snapshot out, with its ledger, findings and stored marts.
 
-Each stage is a lazy frame; the actions are the writes. A load may be repeated: books printed in the
-loaded files are replaced whole, everything else is left as it was.
+Each stage is a lazy frame; the actions are the writes. Files loaded before as they are now are skipped. Books printed in the files that are
+loaded are replaced whole, everything else is left as it was.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from leaseloom import schemas as S
 from leaseloom.operators import dimensions as Dm
 from leaseloom.operators import grammar as G
-from leaseloom.operators.rules import issue_log
+from leaseloom.operators import ledger as L
+from leaseloom.operators import marts as M
+from leaseloom.operators import rules as V
 from leaseloom.operators.scan import cut, two_level_row_number
 from leaseloom.sources import sinks
+from leaseloom.sources.grids import grid_inventory, grid_schema, skip_unchanged
 from leaseloom.tables import Tables
 
 SNAPSHOT_ID = "year(as_of_date) * 10000 + month(as_of_date) * 100 + day(as_of_date)"
 FACTS = ("lease", "lease_charge", "summary_group", "charge_summary", "availability")
+RENT_ROLL, AVAILABILITY = S.DATASETS
+TOOL_VERSION = "2"
+MARTS = {"property_snapshot_kpi": M.property_snapshot_kpi, "charge_mix": M.charge_mix, "expiration_schedule": M.expiration_schedule}
 
 
 @dataclass(frozen=True)
 class Loaded:
+    """The tables after the load, the findings of this run, and the stored marts."""
+
     tables: Tables
+    run_id: int
     issues: DataFrame
+    marts: dict[str, DataFrame]
 
 
-def _numbered(df: DataFrame, key: str, name: str, known: DataFrame) -> DataFrame:
-    """Keep the ids of known rows and number the new ones above them."""
-    fresh = df.join(known.select(key), key, "left_anti").withColumn("_all", F.lit(0))
+def _numbered(df: DataFrame, keys: Sequence[str], name: str, known: DataFrame, bucket: Column) -> DataFrame:
+    """Keep the ids of known rows and number the new ones above them, bucket by bucket."""
+    fresh = df.join(known.select(*keys), list(keys), "left_anti").withColumn("_all", F.lit(0))
     top = known.agg(F.coalesce(F.max(name), F.lit(0))).scalar()
-    numbered = two_level_row_number(fresh, ["_all"], {"_b": F.substring(F.lower(key), 1, 2)}, [F.lower(key)], name)
-    placed = df.join(known.select(key, F.col(name).alias("_id")), key, "left").join(
-        numbered.select(key, F.col(name).alias("_new")), key, "left")
-    return placed.select(*df.columns, F.coalesce("_id", F.col("_new") + top).cast("int").alias(name))
+    numbered = two_level_row_number(fresh, ["_all"], {"_b": bucket}, [F.col(k) for k in keys], name)
+    kind = dict(known.dtypes)[name]
+    old = df.join(known.select(*keys, name), list(keys))
+    return old.select(*df.columns, name).unionByName(numbered.select(*df.columns, (F.col(name) + top).cast(kind).alias(name)))
 
 
-def empty_dimensions(spark: SparkSession) -> Tables:
+def empty_tables(spark: SparkSession) -> Tables:
     def none(ddl: str) -> DataFrame:
         return spark.createDataFrame([], ddl)
 
@@ -49,64 +62,141 @@ def empty_dimensions(spark: SparkSession) -> Tables:
         snapshot=none("snapshot_id int, as_of_date date, report_month date"),
         property=none("property_id int, property_code string, property_name string, asset_key string, book_type string"),
         unit_type=none("property_id int, unit_type_code string"),
-        unit=none("property_id int, unit_code string, unit_type_code string, unit_sqft int"),
+        unit=none("unit_id bigint, property_id int, unit_code string, unit_type_code string, unit_sqft int"),
         resident=none("resident_id string, display_name string"), charge_code=sinks.charge_code_seed(spark),
+        run=none(S.RUN), file=none(S.FILE), issue=none(S.ISSUE), audit=none(S.AUDIT), insight=none(S.INSIGHT), insight_run=none(S.INSIGHT_RUN),
     )
 
 
-def load_reports(spark: SparkSession, rent_grid: DataFrame, availability_grid: DataFrame, out: str, known: Tables | None = None) -> Loaded:
-    """Parse the grids, merge the dimensions into `known`, and replace the printed books under `out`."""
-    known = known or empty_dimensions(spark)
-    parsed = G.parse_rent_rolls(rent_grid)
-    available, available_issues = G.availability_row(availability_grid)
-    available = cut(available)
-
-    headers = cut(parsed.headers.withColumn("source_rank", F.lit(0)).unionByName(
+def load_reports(
+    spark: SparkSession, rent_grid: DataFrame | None, availability_grid: DataFrame | None, out: str, known: Tables | None = None,
+    force: bool = False, started_at: dt.datetime | None = None,
+) -> Loaded:
+    """Load the files of the grids that are new or changed (all of them with `force`) into `known`, the tables an earlier load under `out`
+    gave. Either grid may be left out."""
+    started_at = started_at or dt.datetime.now(dt.UTC).replace(tzinfo=None)
+    known = known or empty_tables(spark)
+    run_id = (known.run.agg(F.max("run_id")).first()[0] or 0) + 1
+    rent_grid = rent_grid if rent_grid is not None else spark.createDataFrame([], grid_schema(S.RENT_ROLL_COLUMNS))
+    availability_grid = availability_grid if availability_grid is not None else spark.createDataFrame([], grid_schema(S.AVAILABILITY_COLUMNS))
+
+    inventory = cut(grid_inventory(rent_grid, RENT_ROLL).unionByName(grid_inventory(availability_grid, AVAILABILITY)))
+    loaded_before = known.file.filter("status = 'loaded'").select("dataset", "file_name", "sha256").distinct()
+    top = known.file.agg(F.max("file_id")).first()[0] or 0
+    files = cut(Dm.file_ids(skip_unchanged(inventory, loaded_before, force), top))
+    fresh = lambda grid, dataset: grid.join(files.filter(F.col("dataset") == dataset).select("file_name"), "file_name", "left_semi")
+
+    parsed = G.parse_rent_rolls(fresh(rent_grid, RENT_ROLL))
+    available, available_issues = G.availability_row(fresh(availability_grid, AVAILABILITY))
+    available, available_issues = cut(available), cut(available_issues)
+
+    headers = cut(parsed.headers.withColumns({"source_rank": F.lit(0), "dataset": F.lit(RENT_ROLL)}).unionByName(
         available.select("file_name", "property_code", "property_name", "as_of_date", F.lit(None).cast("date").alias("report_month"),
-                         F.lit(1).alias("source_rank"))))
+                         F.lit(1).alias("source_rank"), F.lit(AVAILABILITY).alias("dataset"))))
     snapshot = Dm.merge_snapshot(known.snapshot, headers).withColumn("snapshot_id", F.expr(SNAPSHOT_ID).cast("int"))
-    prop = _numbered(Dm.merge_property(known.property, headers), "property_code", "property_id", known.property)
-    # a file is named by its content in the ledger; here its name stands for it
-    files = Dm.file_ids(headers.select("file_name", F.sha2("file_name", 256).alias("sha256")))
+    prop = _numbered(Dm.merge_property(known.property, headers), ["property_code"], "property_id", known.property, F.substring("property_code", 1, 2))
     # every load writes its dimensions beside the earlier ones, which it still reads
     version = f"{out}/dim/{uuid.uuid4().hex}"
 
     def store(frames: dict[str, DataFrame]) -> dict[str, Callable[[], DataFrame]]:
         return {name: partial(_stored, df, f"{version}/{name}") for name, df in frames.items()}
 
-    dims = sinks.side_by_side(store({"snapshot": snapshot, "property": prop, "file": files}))
+    dims = sinks.side_by_side(store({"snapshot": snapshot, "property": prop}))
     book = cut(
         headers.withColumn("_code", F.lower("property_code"))
         .join(dims["property"].select(F.lower("property_code").alias("_code"), "property_id"), "_code")
         .join(dims["snapshot"].select("as_of_date", "snapshot_id"), "as_of_date")
-        .join(dims["file"].select("file_name", "file_id"), "file_name")
-        .select("file_name", "file_id", "snapshot_id", "property_id")
+        .join(files.select("dataset", "file_name", "file_id"), ["dataset", "file_name"])
+        .select("dataset", "file_name", "file_id", "snapshot_id", "property_id")
     )
+    books = {d: book.filter(F.col("dataset") == d).drop("dataset") for d in S.DATASETS}
+    keyed = lambda df, dataset=RENT_ROLL: Dm.resolve_keys(df, [(books[dataset], ["file_name"])])
     id_of = lambda row: Dm.row_id(F.col("file_id"), F.col(row))
-    lease = Dm.resolve_keys(parsed.leases, [(book, ["file_name"])]).withColumns({"lease_id": id_of("sheet_row"), "unit_id": id_of("sheet_row")})
-    state = parsed.leases.select("file_name", F.col("sheet_row").alias("owner"), "section", "occupancy_status")
-    lines = Dm.resolve_keys(parsed.lines.join(state, ["file_name", "owner"]), [(book, ["file_name"])]).select(
-        id_of("owner").alias("lease_id"), "snapshot_id", "property_id", "section", "occupancy_status", "line_no", "charge_code",
-        F.col("amount").cast("decimal(12,2)").alias("amount"), "sheet_row")
+
+    lease = keyed(parsed.leases).withColumn("lease_id", id_of("sheet_row"))
+    seen = lease.select("property_id", "unit_code", "unit_type_code", "unit_sqft", "resident_id", "resident_name", "file_name", "sheet_row")
+    unit = _numbered(Dm.merge_unit(known.unit, seen), ["property_id", "unit_code"], "unit_id", known.unit, F.col("property_id"))
     codes, unknown = Dm.unknown_codes(parsed.lines, parsed.charge_summary, known.charge_code)
+    dims |= sinks.side_by_side(store({
+        "unit": unit, "unit_type": Dm.merge_unit_type(known.unit_type, seen), "resident": Dm.merge_resident(known.resident, seen), "charge_code": codes}))
     facts = {
-        "lease": lease.drop("file_name", "sentinel", "resident_name"),
-        "lease_charge": lines,
-        "summary_group": Dm.upsert_rollups(Dm.resolve_keys(parsed.groups, [(book, ["file_name"])]), ["snapshot_id", "property_id", "group_label"]).drop("file_name", "sheet_row"),
-        "charge_summary": Dm.upsert_rollups(Dm.resolve_keys(parsed.charge_summary, [(book, ["file_name"])]), ["snapshot_id", "property_id", "charge_code"]).drop("file_name", "sheet_row"),
-        "availability": Dm.upsert_availability(Dm.resolve_keys(available.drop("property_code", "property_name", "as_of_date"), [(book, ["file_name"])])).drop("file_name"),
+        "lease": lease.join(dims["unit"].select("property_id", "unit_code", "unit_id"), ["property_id", "unit_code"]).drop("file_name", "sentinel", "resident_name"),
+        "lease_charge": keyed(parsed.lines).select(
+            id_of("owner").alias("lease_id"), "snapshot_id", "property_id", "section", "occupancy_status", "line_no", "charge_code",
+            F.col("amount").cast("decimal(12,2)").alias("amount"), "sheet_row"),
+        "summary_group": Dm.upsert_rollups(keyed(parsed.groups), ["snapshot_id", "property_id", "group_label"]).drop("file_name", "sheet_row"),
+        "charge_summary": Dm.upsert_rollups(keyed(parsed.charge_summary), ["snapshot_id", "property_id", "charge_code"]).drop("file_name", "sheet_row"),
+        "availability": Dm.upsert_availability(keyed(available.drop("property_code", "property_name", "as_of_date"), AVAILABILITY)).drop("file_name"),
     }
     # a rent roll replaces its book's leases and printed rollups, an availability report its own row
-    printed = book.join(headers.select("file_name", "source_rank"), "file_name")
-    touched = {n: printed.filter(F.col("source_rank") == (1 if n == "availability" else 0)).select("snapshot_id", "property_id").distinct() for n in facts}
-    seen = lease.select("property_id", "unit_code", "unit_type_code", "unit_sqft", "resident_id", "resident_name", "file_name", "sheet_row")
-    stored = sinks.side_by_side({
-        **{name: partial(_replaced, df, f"{out}/{name}", touched[name]) for name, df in facts.items()},
-        **store({"unit_type": Dm.merge_unit_type(known.unit_type, seen), "unit": Dm.merge_unit(known.unit, seen),
-                 "resident": Dm.merge_resident(known.resident, seen), "charge_code": codes}),
-    })
-    tables = Tables(snapshot=dims["snapshot"], property=dims["property"], **stored)
-    return Loaded(tables, issue_log(parsed.issues, available_issues, unknown))
+    touched = {n: books[AVAILABILITY if n == "availability" else RENT_ROLL].select("snapshot_id", "property_id").distinct() for n in facts}
+    stored = sinks.side_by_side({name: partial(_replaced, df, f"{out}/{name}", touched[name]) for name, df in facts.items()})
+    T = known.with_frames(**dims, **stored)
+
+    # report dates, so never many
+    snapshots = sorted(r.snapshot_id for r in book.select("snapshot_id").distinct().collect())
+    found = _findings(T, parsed.issues, available_issues, unknown, files, snapshots)
+    last_issue = known.issue.agg(F.max("issue_id")).first()[0] or 0
+    issues = two_level_row_number(found.withColumn("_all", F.lit(0)), ["_all"], {"_rule": F.col("rule")},
+                                  [F.col("rule"), F.col("file_id"), F.col("sheet_row"), F.to_json("detail")], "issue_id").select(
+        (F.col("issue_id") + last_issue).alias("issue_id"), F.lit(run_id).cast("bigint").alias("run_id"), "file_id", "severity", "rule", "sheet_row", "detail")
+    issues = _appended(issues, f"{out}/ledger/issue", S.ISSUE).filter(F.col("run_id") == run_id)
+
+    read = headers.select("dataset", "file_name", F.lit(True).alias("_read")).distinct()
+    state = F.when(F.col("file_id").isNull(), "skipped").when(F.col("_read"), "loaded").otherwise("failed")
+    file_rows = inventory.join(files.select("dataset", "file_name", "file_id"), ["dataset", "file_name"], "left").join(
+        read, ["dataset", "file_name"], "left").select(
+        "file_id", F.lit(run_id).cast("bigint").alias("run_id"), "dataset", "file_name", "sha256", state.alias("status"))
+    file = _appended(file_rows, f"{out}/ledger/file", S.FILE)
+    run = _appended(_run_row(run_id, file.filter(F.col("run_id") == run_id), issues, parsed, facts, started_at), f"{out}/ledger/run", S.RUN)
+    T = T.with_frames(run=run, file=file, issue=spark.read.schema(S.ISSUE).parquet(f"{out}/ledger/issue"))
+    return Loaded(T, run_id, issues, _refreshed(T, f"{out}/mart", snapshots))
+
+
+def _findings(T: Tables, parse: DataFrame, availability: DataFrame, unknown: DataFrame, files: DataFrame, snapshots: list[int]) -> DataFrame:
+    """Parse findings with their file, then the reconciliation rules and constraints over the snapshots that were loaded."""
+    columns = ["file_id", "severity", "rule", "sheet_row", "detail"]
+    by_file = lambda df, dataset: df.join(
+        files.filter(F.col("dataset") == dataset).select("file_name", "file_id"), "file_name", "left").select(*columns)
+    nowhere = lambda df: df.select(F.lit(None).cast("bigint").alias("file_id"), "severity", "rule", F.lit(None).cast("int").alias("sheet_row"), "detail")
+    rules = [rule(T, snapshots) for rule in V.RULES.values()] if snapshots else []
+    frames = [by_file(parse, RENT_ROLL), by_file(availability, AVAILABILITY), nowhere(unknown), *map(nowhere, rules)]
+    if snapshots:
+        loaded = T.lease.filter(F.col("snapshot_id").isin(snapshots))
+        where = F.create_map(F.lit("unit_code"), F.col("unit_code"), F.lit("section"), F.col("section"))
+        frames.append(V.violations(loaded, V.lease_constraints()).select(
+            "file_id", F.lit("error").alias("severity"), F.col("violated").alias("rule"), F.lit(None).cast("int").alias("sheet_row"), where.alias("detail")))
+        again = V.duplicate_keys(loaded, ["snapshot_id", "property_id", "unit_code", "section"])
+        frames.append(nowhere(again.select(F.lit("error").alias("severity"), F.lit("lease_unit_unique").alias("rule"), where.alias("detail"))))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _run_row(run_id: int, files: DataFrame, issues: DataFrame, parsed: G.ParsedRentRolls, facts: dict[str, DataFrame], started_at: dt.datetime) -> DataFrame:
+    frames = (parsed.leases, parsed.lines, facts["summary_group"], facts["charge_summary"], facts["availability"])
+    rows = reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")) for df in frames]).agg(F.sum("n").alias("rows_loaded"))
+    status = L.run_status(files.select("run_id", (F.col("status") == "failed").alias("failed")), issues.select("run_id", "severity"))
+    counts = files.agg(*[F.count_if(F.col("status") == s).alias(f"files_{s}") for s in ("loaded", "skipped", "failed")])
+    return counts.crossJoin(rows).join(status.select("status"), how="left").select(
+        F.lit(run_id).cast("bigint").alias("run_id"), F.lit(started_at).cast("timestamp").alias("started_at"), F.current_timestamp().alias("finished_at"),
+        F.coalesce("status", F.lit("succeeded")).alias("status"), "files_loaded", "files_skipped", "files_failed", "rows_loaded", F.lit(TOOL_VERSION).alias("tool_version"))
+
+
+def _refreshed(T: Tables, out: str, snapshots: list[int]) -> dict[str, DataFrame]:
+    """The stored marts, computed anew for the given snapshots alone."""
+    spark = T.snapshot.sparkSession
+
+    def one(name: str) -> DataFrame:
+        df = MARTS[name](T)
+        rows = df.filter(F.col("snapshot_id").isin(snapshots)) if snapshots else df.limit(0)
+        sinks.overwrite_partitions(rows, f"{out}/{name}", ("snapshot_id",))
+        return _read(spark, df.schema, f"{out}/{name}", "snapshot_id")
+
+    return sinks.side_by_side({name: partial(one, name) for name in MARTS})
+
+
+def _read(spark: SparkSession, schema: StructType, path: str, partition: str) -> DataFrame:
+    """A stored table under its declared schema, which also an empty one has."""
+    return spark.read.schema(StructType([*(f for f in schema if f.name != partition), schema[partition]])).parquet(path)
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
@@ -114,6 +204,11 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _appended(df: DataFrame, path: str, ddl: str) -> DataFrame:
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(ddl).parquet(path)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
@@ -125,4 +220,4 @@ def _replaced(df: DataFrame, path: str, touched: DataFrame) -> DataFrame:
         sinks.replace_scope(df, path, touched)
     else:
         sinks.bulk_write(df, path, ("snapshot_id",))
-    return spark.read.parquet(path)
+    return _read(spark, df.schema, path, "snapshot_id")

@@ -38,12 +38,12 @@ register("g4_lease_blocks", _LEASE_OUT, lambda c: c.parsed.leases,
          .replace("l.*, status", "l.* EXCLUDE (charges_total), l.status").replace("charges_total + CASE", "l.charges_total + CASE").replace("_id % 211", "_id % 211")
          .replace("'rr_' || file_id", "'rr_' || l.file_id"))
 register("g5_charge_lines", "file_name:s unit_code:s line_no:i charge_code:s amount:d",
-         lambda c: c.parsed.lines.join(c.parsed.leases.select("file_name", F.col("sheet_row").alias("owner"), "unit_code"), ["file_name", "owner"]),
+         lambda c: c.parsed.lines.drop("section", "occupancy_status").join(c.parsed.leases.select("file_name", F.col("sheet_row").alias("owner"), "unit_code"), ["file_name", "owner"]),
          f"SELECT 'rr_' || l.file_id || '.xlsx' AS file_name, unit_code, line_no, charge_code, amount FROM line JOIN lease l USING (lease_id) WHERE {_LOADED.replace('status', 'l.status')}")
-register("g6_block_total_check", "file_name:s severity:s rule:s detail:s", lambda c: G.block_total_check(c.rows),
-         f"SELECT {_FILE} AS file_name, 'error' AS severity, 'block_total_mismatch' AS rule, '{{\"unit_code\":\"' || unit_code || '\",\"printed_total\":\"' ||"
+register("g6_block_total_check", "file_name:s severity:s rule:s detail:s", lambda c: c.parsed.issues.filter("rule = 'block_total_mismatch'"),
+         f"SELECT {_FILE} AS file_name, 'error' AS severity, 'block_total_mismatch' AS rule, '{{\"property_code\":\"' || property_code || '\",\"unit_code\":\"' || unit_code || '\",\"printed_total\":\"' ||"
          " CAST(charges_total + 0.01 AS DECIMAL(12,2)) || '\",\"sum_of_charges\":\"' || CAST(charges_total AS DECIMAL(12,2)) || '\"}' AS detail"
-         f" FROM lease WHERE lease_id % 211 = 0 AND {_LOADED}")
+         f" FROM lease JOIN prop USING (property_id) WHERE lease_id % 211 = 0 AND {_LOADED}")
 register("g7_summary_groups", "file_name:s group_label:s unit_count:i lease_charges:d", lambda c: G.summary_groups(c.rows),
          "SELECT 'rr_' || (snapshot_id * 100 + property_id) || '.xlsx' AS file_name, group_label, unit_count, lease_charges FROM printed_group")
 register("g8_charge_summary_rows", "file_name:s charge_code:s amount:d", lambda c: G.charge_summary_rows(c.rows),
@@ -54,9 +54,9 @@ register("g9_lease_row_filter", "file_name:s severity:s rule:s n:i",
          " THEN 'warning' ELSE 'error' END AS severity, CASE WHEN lease_id % 311 = 0 THEN 'lease_row_coercion' WHEN status IN ('vacant','model','down')"
          " THEN 'sentinel_field_violation' ELSE 'resident_id_format' END AS rule FROM lease"
          " WHERE lease_id % 311 = 0 OR lease_id % 307 = 0 OR status IN ('vacant','model','down')) GROUP BY file_id, severity, rule")
-register("g10_orphan_charges", "file_name:s severity:s rule:s detail:s", lambda c: G.line_issues(c.rows),
+register("g10_orphan_charges", "file_name:s severity:s rule:s detail:s", lambda c: c.parsed.issues.filter("rule IN ('charge_without_block', 'charge_coercion', 'block_total_coercion')"),
          "SELECT 'rr_' || (snapshot_id * 100 + property_id) || '.xlsx' AS file_name, 'error' AS severity, 'charge_without_block' AS rule,"
-         " '{\"charge_code\":\"TRASH\"}' AS detail FROM snap CROSS JOIN prop WHERE (property_id + snapshot_id) % 5 = 0")
+         " '{\"property_code\":\"' || property_code || '\",\"charge_code\":\"TRASH\"}' AS detail FROM snap CROSS JOIN prop WHERE (property_id + snapshot_id) % 5 = 0")
 register("g11_availability_row", "file_name:s property_code:s as_of_date:t units:i occupied_no_notice:i vacant_unrented:i notice_unrented:i available:i avg_rent:d pct_leased:d",
          lambda c: G.availability_row(c.availability_grid)[0],
          "SELECT 'av_' || (snapshot_id * 100 + property_id) || '.xlsx' AS file_name, property_code, as_of_date, a.* FROM avail a JOIN prop USING (property_id) JOIN snap USING (snapshot_id)")
@@ -75,11 +75,17 @@ def _heads(c: Context) -> DataFrame:
 
 register("d1_merge_snapshot", "as_of_date:t report_month:t",
          lambda c: Dm.merge_snapshot(
-             c.T.snapshot.filter("snapshot_id <= 1998").select("as_of_date", F.when(F.col("snapshot_id") % 2 == 0, F.col("report_month")).alias("report_month")),
-             c.T.lease.filter("snapshot_id >= 1997").select(
+             c.T.snapshot.filter("snapshot_id % 3 <> 0").select("as_of_date", F.when(F.col("snapshot_id") % 2 == 0, F.col("report_month")).alias("report_month")),
+             c.T.lease.filter("snapshot_id % 2 = 1 OR snapshot_id % 3 = 0").select(
                  F.make_date("snapshot_id", F.lit(12), F.lit(31)).alias("as_of_date"),
-                 F.when((F.col("lease_id") % 2 == 0) & (F.col("snapshot_id") != 1998), F.make_date("snapshot_id", F.lit(12), F.lit(1))).alias("report_month"))),
-         "SELECT as_of_date, CASE WHEN snapshot_id % 2 = 0 OR snapshot_id >= 1997 THEN report_month END AS report_month FROM snap")
+                 # file order is the order of the lease ids; the second file in it has the month that counts
+                 F.when((F.col("lease_id") % 2 == 0) & (F.col("snapshot_id") != 1998),
+                        F.add_months(F.make_date("snapshot_id", F.lit(12), F.lit(1)), (F.col("lease_id") % 5).cast("int"))).alias("report_month"),
+                 F.lpad("lease_id", 12, "0").alias("file_name"))),
+         "SELECT as_of_date, coalesce(CASE WHEN (snapshot_id % 2 = 1 OR snapshot_id % 3 = 0) AND snapshot_id <> 1998 THEN f.month END,"
+         " CASE WHEN snapshot_id % 3 <> 0 AND snapshot_id % 2 = 0 THEN report_month END) AS report_month FROM snap LEFT JOIN"
+         " (SELECT snapshot_id, arg_min(CAST(make_date(snapshot_id, 12, 1) + to_months(CAST(lease_id % 5 AS INT)) AS DATE), lease_id) AS month"
+         " FROM lease WHERE lease_id % 2 = 0 GROUP BY 1) f USING (snapshot_id)")
 register("d2_merge_property", "property_code:s property_name:s asset_key:s book_type:s",
          lambda c: Dm.merge_property(
              c.T.property.filter("property_id % 2 = 0"),
@@ -104,13 +110,14 @@ def _shared_units(c: Context) -> DataFrame:
 
 register("d4_merge_unit", "property_id:i unit_code:s unit_type_code:s unit_sqft:i",
          lambda c: Dm.merge_unit(
-             c.T.lease.filter("lease_id < 1000").select("property_id", "unit_code", F.lit("OLD").alias("unit_type_code"), F.lit(1).alias("unit_sqft")),
+             c.T.lease.filter("property_id % 2 = 0").select("property_id", F.concat(F.lit("U"), F.col("lease_id") % 1500).alias("unit_code"),
+                                                            F.lit("OLD").alias("unit_type_code"), F.lit(1).alias("unit_sqft")).distinct(),
              _shared_units(c)),
          "WITH seen AS (SELECT property_id, 'U' || (lease_id % 1000) AS unit_code, arg_max(unit_type_code, lease_id) FILTER (WHERE lease_id % 4 <> 0) AS t,"
          " arg_max(unit_sqft, lease_id) FILTER (WHERE lease_id % 5 <> 0) AS s FROM lease GROUP BY 1, 2),\n"
-         "known AS (SELECT property_id, unit_code FROM lease WHERE lease_id < 1000)\n---\n"
-         "SELECT s.property_id, s.unit_code, coalesce(s.t, CASE WHEN k.unit_code IS NOT NULL THEN 'OLD' END) AS unit_type_code,"
-         " coalesce(s.s, CASE WHEN k.unit_code IS NOT NULL THEN 1 END) AS unit_sqft FROM seen s LEFT JOIN known k USING (property_id, unit_code)")
+         "known AS (SELECT DISTINCT property_id, 'U' || (lease_id % 1500) AS unit_code FROM lease WHERE property_id % 2 = 0)\n---\n"
+         "SELECT coalesce(s.property_id, k.property_id) AS property_id, coalesce(s.unit_code, k.unit_code) AS unit_code, coalesce(s.t, CASE WHEN k.unit_code IS NOT NULL THEN 'OLD' END) AS unit_type_code,"
+         " coalesce(s.s, CASE WHEN k.unit_code IS NOT NULL THEN 1 END) AS unit_sqft FROM seen s FULL JOIN known k ON k.property_id = s.property_id AND k.unit_code = s.unit_code")
 register("d5_merge_resident", "resident_id:s display_name:s",
          lambda c: Dm.merge_resident(c.T.resident, _shared_units(c).select(
              F.concat(F.lit("t"), F.col("lease_id") % 1000).alias("resident_id"),

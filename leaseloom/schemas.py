@@ -102,6 +102,18 @@ OCCUPIED_STATUSES = ("occupied", "notice")
 NON_REVENUE_STATUSES = ("model", "down")
 
 
+RUN = (
+    "run_id bigint, started_at timestamp, finished_at timestamp, status string, files_loaded bigint, files_skipped bigint, "
+    "files_failed bigint, rows_loaded bigint, tool_version string"
+)
+FILE = "file_id bigint, run_id bigint, dataset string, file_name string, sha256 string, status string"
+ISSUE = (
+    "issue_id bigint, run_id bigint, file_id bigint, severity string, rule string, sheet_row int, detail map<string,string>"
+)
+INSIGHT_RUN = (
+    "insight_run_id bigint, snapshot_id int, prompt_sha256 string, model string, status string, note string, kept bigint, dropped bigint, "
+    "replaced bigint, started_at timestamp, finished_at timestamp"
+)
 INSIGHT = (
     "insight_id bigint, snapshot_id int, scope string, property_code string, asset_key string, "
     "category string, priority string, headline string, detail string, "

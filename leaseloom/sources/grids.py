@@ -36,6 +36,15 @@ def file_inventory(spark: SparkSession, dirs: Mapping[str, str], pattern: str =
     return reduce(DataFrame.unionByName, frames).filter(~F.col("file_name").startswith("~$"))
 
 
+def grid_inventory(grid: DataFrame, dataset: str) -> DataFrame:
+    """The files of a grid with a fingerprint of what is printed in them: the rows' hashes in four sums, which combine before the shuffle
+    and do not depend on the order the rows come in."""
+    digest = F.sha2(F.to_json(F.struct(*sorted(c for c in grid.columns if c != "file_name"))), 256)
+    lane = lambda k: F.sum(F.conv(F.substring("_h", 1 + 16 * k, 15), 16, 10).cast("decimal(20,0)"))
+    return grid.select("file_name", digest.alias("_h")).groupBy("file_name").agg(F.concat_ws(",", *[lane(k).cast("string") for k in range(4)]).alias("_s")).select(
+        F.lit(dataset).alias("dataset"), "file_name", F.sha2("_s", 256).alias("sha256"))
+
+
 def skip_unchanged(inventory: DataFrame, manifest: DataFrame, force: bool = False) -> DataFrame:
     """The files not loaded before byte for byte."""
     return inventory if force else inventory.join(manifest, ["dataset", "file_name", "sha256"], "left_anti")

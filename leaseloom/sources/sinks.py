@@ -71,15 +71,15 @@ def replace_scope(df: DataFrame, path: str, touched: DataFrame) -> None:
     spark = df.sparkSession
     schema = [f for f in df.schema if f.name != "snapshot_id"] + [df.schema["snapshot_id"]]
     current = spark.read.schema(StructType(schema)).parquet(path)
-    snapshots = touched.select("snapshot_id").distinct()
-    kept = current.join(snapshots, "snapshot_id", "left_semi").join(
+    # report dates, so never many; as literals they prune the partitions that are read
+    snapshots = [r.snapshot_id for r in touched.select("snapshot_id").distinct().collect()]
+    kept = current.filter(F.col("snapshot_id").isin(snapshots)).join(
         touched.select("snapshot_id", "property_id"), ["snapshot_id", "property_id"], "left_anti")
     # staged first: a table cannot be overwritten while it is read
     staged = cut(df.unionByName(kept.select(*df.columns)))
-    emptied = snapshots.join(staged.select("snapshot_id").distinct(), "snapshot_id", "left_anti")
+    left = {r.snapshot_id for r in staged.select("snapshot_id").distinct().collect()}
     overwrite_partitions(staged, path, ("snapshot_id",))
-    # report dates, so never many
-    _drop_snapshots(spark, path, [r.snapshot_id for r in emptied.collect()])
+    _drop_snapshots(spark, path, [s for s in snapshots if s not in left])
 
 
 def replace_snapshot_insights(df: DataFrame, path: str, snapshot_id: int, allow_empty: bool = False) -> None:

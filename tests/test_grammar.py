@@ -137,7 +137,7 @@ def random_files(n_files=60, seed=11):
     return files
 
 
-@pytest.mark.parametrize("chunk_rows", [None, 8])
+@pytest.mark.parametrize("chunk_rows", [1 << 20, 8])
 def test_every_row_is_read_as_line_by_line(spark, chunk_rows):
     files = random_files()
     got = {

@@ -1,9 +1,15 @@
 """Grids in, star schema out: what is loaded is what was printed, and a reload replaces whole books."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
+from leaseloom import schemas as S
 from leaseloom.operators import marts as M
+from leaseloom.operators import reads as R
+from leaseloom.operators import rules as V
+from leaseloom.operators.payload import payload_sections
 from leaseloom.plans import catalog
 from leaseloom.plans.load import load_reports
 from leaseloom.sources import sinks
@@ -48,6 +54,15 @@ def test_load_and_reload(spark, ctx):
     assert {c for _, c in changed} <= {code} and len(changed) == 1
     assert again.tables.lease.count() == printed.lease.count() - 1
     assert again.tables.availability.count() == 175
+    # the other files were skipped, the changed one got an id of its own
+    counts = {r.status: r["count"] for r in again.tables.file.filter(F.col("run_id") == 2).groupBy("status").count().collect()}
+    assert counts == {"loaded": 1, "skipped": 175}
+    assert again.tables.run.count() == 2 and again.tables.unit.groupBy("property_id", "unit_code").count().filter("count > 1").isEmpty()
+    assert not again.tables.lease.join(again.tables.unit, ["unit_id", "property_id", "unit_code"], "left_anti").count()
+
+    # and a third load of the same changes nothing
+    third = load_reports(spark, gone, ctx.availability_grid, out, known=again.tables)
+    assert figures(third.tables) == after and third.tables.run.orderBy(F.desc("run_id")).first().files_loaded == 0
 
 
 def test_a_book_that_lost_every_row_is_emptied(spark):
@@ -57,3 +72,65 @@ def test_a_book_that_lost_every_row_is_emptied(spark):
     touched = spark.createDataFrame([(1, 2), (2, 1)], "snapshot_id int, property_id int")
     sinks.replace_scope(rows.filter("false"), out, touched)
     assert [r.v for r in spark.read.parquet(out).collect()] == [10]
+
+
+TITLE = {1: S.RENT_ROLL_TITLE}
+
+
+def roll(month, rent, unit="101", resident="t1", name="Oak Court (115r)", groups=True):
+    """A rent roll of one lease and its charge line."""
+    lease = {1: unit, 2: "a1", 3: "700", 4: resident, 5: "N", 6: "1000.00", 7: "RENT", 8: rent, 9: "0", 10: "0", 11: "01/01/2024", 12: "12/31/2025", 14: "0"}
+    body = [{1: S.CURRENT_LABEL}, lease, {7: "RENT", 8: "1.00"}, {7: "Total", 8: str(float(rent) + 1)}]
+    if groups:
+        body += [{1: "Summary Groups"}, {}, {1: S.CURRENT_LABEL, 8: rent, 11: "1"}, {1: "end"}]
+    head = [TITLE, {1: name}, {1: f"As Of = {month}/28/2025"}, {1: f"Month Year = {month}/2025"},
+            dict(enumerate(S.RENT_ROLL_HEADER_1, 1)), dict(enumerate(S.RENT_ROLL_HEADER_2, 1))]
+    return head + body
+
+
+def sheet(spark, files):
+    rows = [(name, k, *[(row.get(c) or None) for c in range(1, 15)]) for name, body in files.items() for k, row in enumerate(body, 1)]
+    return spark.createDataFrame(rows, "file_name string, sheet_row int, " + ", ".join(f"c{c:02d} string" for c in range(1, 15)))
+
+
+def test_two_months_in_two_loads(spark):
+    out = shared_folder(spark)
+    one = load_reports(spark, sheet(spark, {"jan.xlsx": roll("01", "900.00")}), None, out)
+    two = load_reports(spark, sheet(spark, {"feb.xlsx": roll("02", "700.00")}), None, out, known=one.tables)
+    T = two.tables
+    rents = {r.snapshot_id: float(r.contract_rent) for r in M.loss_to_lease(T).collect()}
+    assert rents == {20250128: 901.0, 20250228: 701.0}
+    assert T.lease.select("lease_id").distinct().count() == 2 and T.lease.select("unit_id").distinct().count() == 1 == T.unit.count()
+    repeats = V.rule_duplicate_charge_code_in_block(T).collect()
+    assert [r.detail["blocks_with_repeats"] for r in repeats] == ["2"]
+    assert one.tables.run.first().status == two.tables.run.filter("run_id = 2").first().status
+    assert {r.snapshot_id for r in two.marts["property_snapshot_kpi"].collect()} == {20250128, 20250228}
+    assert R.run_history(T).count() == 2 and R.issue_summary(T).filter("rule = 'duplicate_charge_code_in_block'").count() >= 1
+    assert payload_sections(T)["portfolio"].count() == 2
+
+
+def test_empty_facts_and_broken_files(spark):
+    out = shared_folder(spark)
+    files = {"a.xlsx": roll("03", "5.00", groups=False), "b.xlsx": [{1: "something else"}] * 7}
+    T = load_reports(spark, sheet(spark, files), None, out).tables
+    assert T.summary_group.count() == T.charge_summary.count() == T.availability.count() == 0 and T.lease.count() == 1
+    assert {(r.file_name, r.status) for r in T.file.collect()} == {("a.xlsx", "loaded"), ("b.xlsx", "failed")}
+    assert T.run.first().status == "partial" and T.issue.filter("rule = 'file_parse_failed'").count() == 1
+    vacant = roll("04", "0.00", resident="VACANT", groups=False)
+    vacant[7] = {k: v for k, v in vacant[7].items() if k not in (7, 8)}
+    only = load_reports(spark, sheet(spark, {"v.xlsx": [r for r in vacant if r.get(7) not in ("RENT", "Total") or r.get(1)]}), None, shared_folder(spark))
+    assert only.tables.lease_charge.count() == 0 and M.property_snapshot_kpi(only.tables).first().vacant_units == 1
+    nothing = load_reports(spark, None, None, shared_folder(spark))
+    assert nothing.tables.lease.count() == 0 and nothing.tables.run.first().status == "succeeded"
+
+
+def test_a_reload_reads_only_the_snapshots_it_replaces(spark):
+    out = shared_folder(spark)
+    rows = spark.createDataFrame([(s, p, s * p) for s in range(1, 6) for p in range(3)], "snapshot_id int, property_id int, v int")
+    sinks.bulk_write(rows, out, ("snapshot_id",))
+    stamps = {f: f.stat().st_mtime_ns for f in Path(out.removeprefix("file:")).rglob("*.parquet")}
+    touched = spark.createDataFrame([(2, 1)], "snapshot_id int, property_id int")
+    sinks.replace_scope(spark.createDataFrame([(2, 1, -1)], rows.schema), out, touched)
+    kept = {f for f in stamps if f.exists() and f.stat().st_mtime_ns == stamps[f]}
+    assert {f.parent.name for f in stamps if f not in kept} == {"snapshot_id=2"} and len(kept) >= 4
+    assert sorted(r.v for r in spark.read.parquet(out).filter("snapshot_id = 2").collect()) == [-1, 0, 4]

@@ -36,7 +36,12 @@ def test_large_chunks_are_refused_not_cut(ctx):
     fit = P.chunk_fit(P.chunk_sizes(parts, P.ASSET_PARTS), num_ctx=1500)
     verdicts = {r.fits for r in fit.collect()}
     assert verdicts == {True, False}
-    assert P.assemble_chunks(parts, fit, P.ASSET_PARTS).count() == fit.filter("fits").count()
+    made = P.assemble_chunks(parts, fit, P.ASSET_PARTS).collect()
+    assert len(made) == fit.count()
+    refused = [r for r in made if r.document is None]
+    assert len(refused) == fit.filter("not fits").count() > 0
+    assert all(r.needed > r.num_ctx == 1500 and str(r.needed) in r.reason for r in refused)
+    assert all(r.reason is None for r in made if r.document is not None)
 
 
 def test_fingerprint_follows_every_figure(ctx):

@@ -15,10 +15,10 @@ def hot(spark, n=4000):
     return spark.createDataFrame(rows, "key string, pos int, v int, tag string")
 
 
-@pytest.mark.parametrize("chunk_rows", [None, 100])
+@pytest.mark.parametrize("chunk_rows", [1 << 20, 100])
 def test_prefix_scan(spark, chunk_rows):
     df = hot(spark)
-    got = scan.prefix_scan(scan.with_chunks(df, ["key"], "pos", chunk_rows), ["key"], "pos", lasts={"l": F.col("tag")},
+    got = scan.prefix_scan(scan.with_chunks(df, "pos", chunk_rows), ["key"], "pos", lasts={"l": F.col("tag")},
                            prior_lasts={"p": F.col("tag")}, sums={"s": F.col("v")}).select("key", "pos", "l", "p", "s")
     w = Window.partitionBy("key").orderBy("pos")
     want = df.select("key", "pos", F.last("tag", True).over(w).alias("l"),
