@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from leaseloom.llm import text_arrays as A
 
 #: Words, and pieces of words, remembered by a task before it starts afresh; it bounds memory only.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Bytes of a piece that is remembered apart from its word.
 SHORT = 6
 PIECE_BYTES = 512 << 10

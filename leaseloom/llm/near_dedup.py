@@ -89,12 +89,12 @@ def _band_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     for b in batches:
-        for at in range(0, b.num_rows, 4096):
-            signature, node = _signature_rows(b.slice(at, 4096))
+        for at in range(0, b.num_rows, 1024):
+            signature, node = _signature_rows(b.slice(at, 1024))
             bands = H.band_keys(signature, BAND_ROWS)
             held.append((bands.reshape(-1), np.repeat(node, bands.shape[1])))
             size += bands.size
-            if size >= 1 << 20:
+            if size >= 1 << 18:
                 yield _stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held, size = [], 0
     if held:
