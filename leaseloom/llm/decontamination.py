@@ -71,7 +71,20 @@ class Windows:
         return which, source[place]
 
 
-def _scan(windows: Windows, first: bool):
+def _cut_out(detail: pa.Array, spans: list[list[dict]]) -> pa.Array:
+    """The details without the words of their spans."""
+    cut = [x for x, s in enumerate(spans) if s]
+    if not cut:
+        return detail
+    details = detail.to_pylist()
+    for x in cut:
+        details[x] = _without(details[x], spans[x])
+    return pa.array(details, pa.string())
+
+
+def _scan(windows: Windows, first: bool, cut: bool = False):
+    """What a block finds, added to the rows; or with `cut`, the rows without it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in A.pieces(batches, "detail"):
             w = A.words(*A.utf8(b.column("detail")), A.WORD)
@@ -88,6 +101,10 @@ def _scan(windows: Windows, first: bool):
             for d, k in set(zip(place_of.tolist(), which.tolist(), strict=True)):
                 items[d] += windows.items[k]
             others = [c for c in b.schema.names if c not in _NAMES]
+            if cut:
+                detail = _cut_out(b.column("detail"), spans)
+                yield pa.RecordBatch.from_arrays([detail if c == "detail" else b.column(c) for c in others], others)
+                continue
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in others), pa.array(w.counts),
                  pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
@@ -96,18 +113,27 @@ def _scan(windows: Windows, first: bool):
     return run
 
 
-def _found(insights: DataFrame, held_out: DataFrame, window_words: int, block_bytes: int) -> DataFrame:
-    """The insights with _FOUND: one pass for each block of the held-out texts, one after the other over the same rows."""
+def _blocks(held_out: DataFrame, window_words: int, block_bytes: int) -> Iterator[tuple[int, Windows]]:
+    """How many blocks are still to come, and the windows of each block, collected one after the other."""
     held_out = held_out.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = held_out.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    frame = insights.drop(*_NAMES)
-    schema = StructType([*frame.schema.fields, *StructType.fromDDL(_FOUND).fields])
     for k in range(blocks):
         block = held_out.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else held_out
-        windows = Windows(sorted((r.item_id, r.text) for r in block.filter("text is not null").collect()), window_words)
+        yield blocks - 1 - k, Windows(sorted((r.item_id, r.text) for r in block.filter("text is not null").collect()), window_words)
+
+
+def _found(insights: DataFrame, held_out: DataFrame, window_words: int, block_bytes: int, cut: bool = False) -> DataFrame:
+    """The insights with _FOUND: one pass for each block of the held-out texts, one after the other over the same rows. With `cut` and only
+    one block, the insights without what it finds, in the same pass."""
+    frame = insights.drop(*_NAMES)
+    plain = frame.schema
+    schema = StructType([*plain.fields, *StructType.fromDDL(_FOUND).fields])
+    for k, (more, windows) in enumerate(_blocks(held_out, window_words, block_bytes)):
+        if cut and not k and not more:
+            return frame.mapInArrow(_scan(windows, True, cut=True), plain)
         frame = frame.mapInArrow(_scan(windows, k == 0), schema)
-    return frame.withColumn("_held_spans", merged_spans(F.col("_held_spans"))) if blocks > 1 else frame
+    return frame.withColumn("_held_spans", merged_spans(F.col("_held_spans"))) if k else frame
 
 
 def find_held_out(insights: DataFrame, held_out: DataFrame, window_words: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -154,16 +180,9 @@ def without_held_out(insights: DataFrame, held_out: DataFrame, window_words: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = b.column("_held_spans").to_pylist()
-            cut = [x for x, s in enumerate(spans) if s]
-            detail = b.column("detail")
-            if cut:
-                details = detail.to_pylist()
-                for x in cut:
-                    details[x] = _without(details[x], spans[x])
-                detail = pa.array(details, pa.string())
+            detail = _cut_out(b.column("detail"), b.column("_held_spans").to_pylist())
             others = [c for c in b.schema.names if c not in _NAMES]
             yield pa.RecordBatch.from_arrays([detail if c == "detail" else b.column(c) for c in others], others)
 
-    found = _found(insights, held_out, window_words, block_bytes)
-    return found.mapInArrow(run, insights.drop(*_NAMES).schema)
+    found = _found(insights, held_out, window_words, block_bytes, cut=True)
+    return found.mapInArrow(run, insights.drop(*_NAMES).schema) if set(_NAMES) <= set(found.columns) else found

@@ -20,9 +20,10 @@ def test_against_brute_force(spark, block_bytes):
     assert sorted(got, key=str) == sorted(brute.held_out_hits(ROWS, [i for i in ITEMS if i[0] is not None]), key=str)
 
 
-def test_cut_and_pass_through(spark):
+@pytest.mark.parametrize("block_bytes", [1 << 20, 20])
+def test_cut_and_pass_through(spark, block_bytes):
     df = spark.createDataFrame([(1, "s", "keep, short ITEM. and this"), (2, "t", "nothing"), (3, "u", None)], "insight_id bigint, source string, detail string")
-    out = D.without_held_out(df, spark.createDataFrame(ITEMS, "item_id bigint, text string"))
+    out = D.without_held_out(df, spark.createDataFrame(ITEMS, "item_id bigint, text string"), block_bytes=block_bytes)
     assert sorted(map(tuple, out.collect())) == [(1, "s", "keep, . and this"), (2, "t", "nothing"), (3, "u", None)]
 
 
