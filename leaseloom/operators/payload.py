@@ -127,7 +127,8 @@ def flatten_paths(sections: Mapping[str, DataFrame]) -> DataFrame:
         if not order:
             frames.append(_paths(df, no, F.lit(f"$.{name}."), F.lit(0)))
             continue
-        lead = F.floor(order[0]) if name == "matrix" else F.col(order[0])
+        # a bucket is what begins alike, so neither the rows nor the buckets of a snapshot are sorted as a whole
+        lead = F.floor(order[0]) if name == "matrix" else F.substring(order[0], 1, 3)
         indexed = two_level_row_number(df, ["snapshot_id"], {"_lead": lead}, [F.col(c) for c in order], "_i")
         at = F.col("_i") - 1
         frames.append(_paths(indexed, no, F.concat(F.lit(f"$.{name}["), at.cast("string"), F.lit("].")), at))

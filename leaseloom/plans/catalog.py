@@ -16,6 +16,7 @@ from leaseloom.operators import payload as P
 from leaseloom.operators.scan import cut
 from leaseloom.plans import driver_tables as D
 from leaseloom.plans import report_grids
+from leaseloom.plans.load import Loaded, load_reports
 from leaseloom.sources.folders import shared_folder
 from leaseloom.sources.grids import grid_source
 from leaseloom.sources.sinks import bulk_write, side_by_side
@@ -62,6 +63,16 @@ class Context:
     def parsed(self) -> G.ParsedRentRolls:
         return G.parse_rent_rolls(self.rent_grid)
 
+    @cached_property
+    def loads(self) -> list[Loaded]:
+        """Three loads into one place: the reports up to 1997, the later ones, and all of them again."""
+        out, T, loads = shared_folder(self.spark), None, []
+        number = F.regexp_extract("file_name", r"_(\d+)", 1).cast("int")
+        for wanted in (number < 199_800, number >= 199_800, F.lit(True)):
+            loads.append(load_reports(self.spark, self.rent_grid.filter(wanted), self.availability_grid.filter(wanted), out, known=T))
+            T = loads[-1].tables
+        return loads
+
     @cached_property
     def sections(self) -> dict[str, DataFrame]:
         """The payload's row sets, stored: lineage, chunks, hashes and exports all read them."""

@@ -178,6 +178,14 @@ register("d10_duplicate_keys", "snapshot_id:i property_id:i unit_type_code:s mov
          lambda c: V.duplicate_keys(c.T.lease, ["snapshot_id", "property_id", "unit_type_code", "move_in"]),
          "SELECT snapshot_id, property_id, unit_type_code, move_in, count(*) AS n FROM lease GROUP BY 1, 2, 3, 4 HAVING count(*) > 1")
 
+register("d10_unit_key", "snapshot_id:i property_id:i unit_code:s section:s n:i",
+         lambda c: V.duplicate_keys(
+             c.T.lease.withColumn("unit_code", F.concat(F.lit("U"), F.col("lease_id") % 499)), ["snapshot_id", "property_id", "unit_code", "section"]),
+         "SELECT snapshot_id, property_id, 'U' || (lease_id % 499) AS unit_code, section, count(*) AS n FROM lease GROUP BY 1, 2, 3, 4 HAVING count(*) > 1")
+register("d10_availability_constraints", _BROKEN,
+         lambda c: _by_rule(V.violations(c.T.availability.withColumn("units", F.col("units") - 20), V.availability_constraints())),
+         "SELECT 'availability_units_non_negative' AS violated, count(*) AS n FROM avail WHERE units < 20 HAVING count(*) > 0")
+
 # ---- scalar functions over whole tables --------------------------------------
 
 

@@ -253,18 +253,27 @@ register("i12_first_per_book", "snapshot_id:i property_code:s insight_id:i",
 _GAP = "'$' || format('{:,.2f}', CAST(charges_to_threshold AS DOUBLE))"
 _MOST = "greatest(concessions, loss_to_lease, balance_owed)"
 _CAUSE = f"CASE WHEN concessions = {_MOST} THEN 'concessions' WHEN loss_to_lease = {_MOST} THEN 'loss_to_lease' ELSE 'balance_owed' END"
-_LONG = {k: v.replace("'", "''") for k, v in E.EXCLUSION_DETAIL.items()}
+_SHORT = {"no_units": "Not scored: no units in this book", "no_market_rent": "Not scored: no market rent printed", "no_charge_data": "Not scored: no lease-charge lines"}
+_LONG = {
+    "no_units": "No current lease row belongs to this book on the report date, so neither axis of the matrix has a value.",
+    "no_market_rent": "Asking rents add up to nothing in this report; without them billed revenue has nothing to be measured against.",
+    "no_charge_data": "Under half of the current leases come with charge lines. Capture would read low for want of data, so it is left open."}
+_TITLES = {"performing": "Performing: defend the position", "vacancy_led": "Vacancy-led: lease up the empty units",
+           "leaking": "Leaking: full but under-collecting", "distressed": "Distressed: empty and underpriced"}
 register("i13_positioning_fallback", "snapshot_id:i property_code:s headline:s detail:s evidence:s quadrant:s",
          lambda c: E.positioning_fallback(c.matrix),
          "SELECT snapshot_id, property_code, quadrant, CASE exclusion_reason "
-         + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.EXCLUSION_HEADLINES.items())
-         + " ELSE CASE quadrant " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.HEADLINES.items()) + " END END AS headline,"
+         + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SHORT.items())
+         + " ELSE CASE quadrant " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TITLES.items()) + " END END AS headline,"
          " CASE exclusion_reason " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _LONG.items()) + " ELSE CASE quadrant"
-         f" WHEN 'performing' THEN printf('{E.TEXT_PERFORMING}', notice_units::VARCHAR, {_GAP})"
-         f" WHEN 'vacancy_led' THEN printf('{E.TEXT_VACANCY_LED}', units_to_threshold::VARCHAR, vacant_units::VARCHAR, notice_units::VARCHAR)"
-         f" WHEN 'leaking' THEN printf('{E.TEXT_LEAKING}', {_GAP}, replace({_CAUSE}, '_', ' '), '$' || format('{{:,.2f}}', CAST({_MOST} AS DOUBLE)))"
+         f" WHEN 'performing' THEN 'On target on both axes. Keep the ' || notice_units || ' notice units let; the capture line is ' || {_GAP} || ' away.'"
+         " WHEN 'vacancy_led' THEN 'Billing holds up, letting does not: ' || units_to_threshold || ' more units must be occupied, with ' || vacant_units ||"
+         " ' standing empty and ' || notice_units || ' more about to.'"
+         f" WHEN 'leaking' THEN 'Units are let but ' || {_GAP} || ' of monthly billing is missing. Look first at ' || replace({_CAUSE}, '_', ' ') ||"
+         f" ', which come to $' || format('{{:,.2f}}', CAST({_MOST} AS DOUBLE)) || '.'"
          " ELSE CASE WHEN CAST(charges_to_threshold AS DOUBLE) / market_rent >= units_to_threshold / units"
-         f" THEN printf('{E.TEXT_PRICING}', {_GAP}, units_to_threshold::VARCHAR) ELSE printf('{E.TEXT_VACANCY}', units_to_threshold::VARCHAR, {_GAP}) END END END AS detail,"
+         f" THEN 'Money is further away than tenants: ' || {_GAP} || ' of billing is missing against ' || units_to_threshold || ' units to let.'"
+         f" ELSE 'Tenants are further away than money: ' || units_to_threshold || ' units to let against ' || {_GAP} || ' of missing billing.' END END END AS detail,"
          " CASE WHEN exclusion_reason IS NOT NULL THEN '[]' WHEN quadrant = 'performing' THEN '[{\"metric\":\"notice_units\",\"value\":\"' || notice_units || '\"},{\"metric\":\"charges_to_threshold\",\"value\":\"' || "
          + _GAP + " || '\"}]' WHEN quadrant = 'vacancy_led' THEN '[{\"metric\":\"units_to_threshold\",\"value\":\"' || units_to_threshold || '\"},{\"metric\":\"vacant_units\",\"value\":\"' || vacant_units ||"
          " '\"},{\"metric\":\"notice_units\",\"value\":\"' || notice_units || '\"}]' WHEN quadrant = 'leaking' THEN '[{\"metric\":\"charges_to_threshold\",\"value\":\"' || " + _GAP

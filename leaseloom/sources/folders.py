@@ -15,9 +15,15 @@ def _local_root(application: str) -> str:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder the cluster names in `spark.checkpoint.dir`; a local one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else _local_root(spark.sparkContext.applicationId)
+    """The folder named in `spark.checkpoint.dir`, else the one set on the context. Without either, a local session gets a temporary
+    folder; on a cluster every executor would write to a disk of its own, so that is an error."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if context.master.startswith("local["):
+        return _local_root(context.applicationId)
+    raise ValueError("no shared folder: name one in spark.checkpoint.dir")
 
 
 def shared_folder(spark: SparkSession) -> str:
