@@ -13,7 +13,7 @@ from leaseloom.operators.rollups import (
     BOOK, LEASE, book_charges, book_code_charges, book_detail, book_spine, is_expiring,
     lease_charge_rollup, with_category,
 )
-from leaseloom.operators.scan import grouped_median_disc
+from leaseloom.operators.scan import cut, grouped_median_disc
 from leaseloom.sources.literals import literal_rows
 from leaseloom.tables import Tables
 
@@ -381,7 +381,8 @@ def property_anomaly(
     The peer statistics are an aggregate joined back, not a window: a snapshot's books are never
     gathered in one task."""
     spark = profitability.sparkSession
-    values = metric_values(profitability)
+    # books times metrics, read for the peers and for the books: stored, so that the matrix is computed once
+    values = cut(metric_values(profitability))
     x = F.col("value").cast("double")
     peers = values.groupBy("snapshot_id", "metric").agg(
         F.count(F.lit(1)).alias("peer_books"), F.sum("value").alias("_sum"), F.avg(x).alias("_mean"),

@@ -33,13 +33,14 @@ RANKINGS = {  # name -> (metric, descending)
 HORIZON_MONTHS = 12
 
 
-def payload_sections(T: Tables, snapshot_id: int | None = None) -> dict[str, DataFrame]:
-    """The finished row sets of one snapshot (or of each), every row keyed by `snapshot_id`."""
+def payload_sections(T: Tables, snapshot_id: int | None = None, kpi_mart: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The finished row sets of one snapshot (or of each), every row keyed by `snapshot_id`. The movement since the snapshot before is read
+    off `kpi_mart`, the stored figures of all snapshots, if given."""
     scoped = R.at(T, snapshot_id)
     days = scoped.snapshot.select("snapshot_id", "as_of_date")
     kpi = M.property_snapshot_kpi(scoped)
     # movement looks back at the previous snapshot, so its input is not narrowed to one
-    every = M.property_snapshot_kpi(T) if snapshot_id is not None else kpi
+    every = kpi_mart if kpi_mart is not None else M.property_snapshot_kpi(T) if snapshot_id is not None else kpi
     coded = scoped.property.select("property_id", "property_code")
     figures = ["units", "occupied_units", "notice_units", "vacant_units", "non_revenue_units", "future_leases", "pct_occupied",
                "market_rent", "lease_charges", "square_feet", "balance"]

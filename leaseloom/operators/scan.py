@@ -126,7 +126,8 @@ def grouped_median_disc(
     [k*width, (k+1)*width) holding the middle row, and the value inside it. No step sees more rows of
     a group than it has ranges, or than a range has distinct values.
     """
-    counted = df.groupBy(*keys, F.floor(F.col(value) / width).alias("_range"), value).agg(F.count(F.lit(1)).alias("_n"))
+    # both steps read the counts: they are stored, so that `df` is read once
+    counted = cut(df.groupBy(*keys, F.floor(F.col(value) / width).alias("_range"), value).agg(F.count(F.lit(1)).alias("_n")))
     in_group = Window.partitionBy(*keys)
     ranges = (
         counted.groupBy(*keys, "_range").agg(F.sum("_n").alias("_rn"))

@@ -13,6 +13,8 @@ from leaseloom.operators import reads as R
 from leaseloom.operators import rules as V
 from leaseloom.plans import driver_tables as D
 from leaseloom.plans.catalog import Context, register
+from leaseloom.plans.reviews import apply_review
+from leaseloom.sources.folders import shared_folder
 
 _KPI = ("units:i occupied_units:i notice_units:i vacant_units:i non_revenue_units:i future_leases:i "
         "pct_occupied:d market_rent:d lease_charges:d square_feet:i balance:d")
@@ -268,6 +270,11 @@ register("l4_run_issue_rollup", "severity:s rule:s n:i fails:b", lambda c: L.run
 register("l5_reclassify", "charge_code:s category:s description:s label_verified:b is_concession:b",
          lambda c: L.reclassify(c.T.charge_code, _changes(c))[0],
          _CHANGED_SQL + "SELECT charge_code, new_category AS category, description, new_verified AS label_verified, is_concession FROM moved")
+register("l5_reclassified_mix", f"{_BOOK} category:s charge_code:s line_count:i amount:d",
+         lambda c: apply_review(c.T, _changes(c), shared_folder(c.spark))[1],
+         _CHANGED_SQL + "SELECT snapshot_id, property_id, new_category AS category, charge_code, count(*) AS line_count, sum(amount) AS amount"
+         " FROM line JOIN moved USING (charge_code) GROUP BY ALL")
+register("l5_stored_audit", _AUDIT, lambda c: apply_review(c.T, _changes(c), shared_folder(c.spark))[0].audit, _AUDIT_SQL)
 register("l6_nearest_codes", "charge_code:s similarity:d",
          lambda c: L.nearest_codes(c.T.lease_charge.groupBy("charge_code").agg(F.count(F.lit(1)).alias("n")), "PETS FEE"),
          """WITH grams AS (SELECT charge_code, list_distinct(flatten(list_transform(

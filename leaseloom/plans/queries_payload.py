@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leaseloom.operators import evidence as E
@@ -11,6 +11,7 @@ from leaseloom.operators import reads as R
 from leaseloom.plans import driver_tables as D
 from leaseloom.plans.catalog import Context, register
 from leaseloom.plans.queries_marts import _INSIGHT_SQL, _RUNS_SQL
+from leaseloom.plans.reviews import import_insights
 from leaseloom.sources import sinks
 from leaseloom.sources.folders import shared_folder
 from leaseloom.sources.grids import insight_source
@@ -239,6 +240,23 @@ register("i11_import_gate_stale", _GATE, lambda c: E.import_gate(_insights(c), c
          _GATE_SQL.format(inserted="0", status="'refused'", error="'payload changed since generation'"))
 
 
+def _import_runs(c: Context) -> DataFrame:
+    """Three imports of one artifact: refused as stale, let in, and let in again over what is there."""
+    out, T = shared_folder(c.spark), c.T.with_frames(insight_run=None)
+    for allow in (False, True, True):
+        T, _ = import_insights(T, _insights(c), c.paths, *_targets(c), out, allow_stale=allow)
+    stored = T.insight.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("stored"))
+    turn = F.row_number().over(Window.partitionBy("snapshot_id").orderBy("insight_run_id"))
+    return T.insight_run.withColumn("turn", turn).join(stored, "snapshot_id")
+
+
+register("i11_import_runs", "snapshot_id:i turn:i status:s note:s kept:i dropped:i replaced:i stored:i", _import_runs,
+         _INSIGHT_SQL + "SELECT snapshot_id, turn, CASE turn WHEN 1 THEN 'refused' ELSE 'succeeded' END AS status, CASE turn WHEN 1 THEN 'payload changed since generation'"
+         " ELSE 'imported although the payload changed since generation' END AS note, kept, dropped, CASE turn WHEN 3 THEN kept ELSE 0 END AS replaced, kept AS stored"
+         " FROM (SELECT snapshot_id, count(*) FILTER (WHERE n % 5 <> 0 AND (n % 6 = 0 OR n % 17 = 0 OR n % 23 <> 0)) AS kept,"
+         " count(*) FILTER (WHERE NOT (n % 5 <> 0 AND (n % 6 = 0 OR n % 17 = 0 OR n % 23 <> 0))) AS dropped FROM ins GROUP BY 1), (VALUES (1), (2), (3)) AS t(turn)")
+
+
 def _per_book(c: Context) -> DataFrame:
     return _insights(c).withColumn("book", F.regexp_extract("headline", r"^Occupancy of (\S+) at", 1))
 
