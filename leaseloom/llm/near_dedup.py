@@ -29,6 +29,8 @@ BAND_ROWS = 4
 PIECE_BYTES = 512 << 10
 #: Sets outside the main component, and sets of their cluster, that are compared in one task.
 OUTSIDERS, MEMBERS = 256, 2048
+#: Places that the sets of one cluster are dealt to before they go to their blocks.
+SALTS = 64
 LAST_ID = (1 << 63) - 1
 _STAR = np.dtype([("band", "<u8"), ("node", "V16")])
 
@@ -199,7 +201,9 @@ def _left_over(sets: DataFrame, clusters: DataFrame, labels: DataFrame, percent:
     ).filter("labels > 1 and n > 2").select(
         "cluster", F.col("main.label").alias("main"), F.ceil(F.col("n") / members).cast("int").alias("member_blocks"),
         F.ceil((F.col("n") - F.col("main.n")) / outsiders).cast("int").alias("outside_blocks"))
-    open_ = placed.join(state, "cluster")
+    # a cluster may hold a third of all sets: its rows meet its state in SALTS places
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    open_ = salted.join(state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["cluster", "salt"])
     block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asked = open_.filter("label <> main").select(
