@@ -13,13 +13,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from leaseloom.llm import text_arrays as A
 
 #: Reviewed insights the lexicons are mined from, and insights the classifier is trained on, at most: those whose ids hash smallest.
 MINED_ROWS, TRAINED_ROWS = 20_000, 10_000
-#: A lexicon entry stands in so many reviewed toxic texts, and so much likelier there than in clean ones; so many entries at most.
-LEAST_TEXTS, LEAST_ODDS, LEXICON_ENTRIES = 4, 2.5, 20_000
+#: A lexicon entry stands in so many reviewed toxic texts, in such a share of them, and so much likelier (log odds) there than in clean ones;
+#: so many entries at most.
+LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS, LEXICON_ENTRIES = 4, 0.005, 3.0, 20_000
 #: Characters of a stem, of words longer than that.
 STEMS = (4, 5)
 LEXICONS = 4
@@ -180,6 +182,25 @@ def fit_classifier(cells: list[np.ndarray], labels: np.ndarray, rounds: int = 15
     return Classifier(weight, float(bias))
 
 
+def _unlike(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of those whose details have one sketch, the smallest hash of their five-word windows: copies say a thing once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in A.pieces(batches, "detail", _PIECE):
+            data, offsets = A.utf8(b.column("detail"))
+            w = A.words(data, offsets, A.WORD)
+            first, hashes = A.window_hashes(w, 5)
+            sketch = np.full(b.num_rows, np.iinfo(np.uint64).max, np.uint64)
+            np.minimum.at(sketch, w.owner[first], hashes)
+            # too short for a window: the text itself
+            short = sketch == np.iinfo(np.uint64).max
+            sketch[short] = A.stretch_hashes(A.prefix_hashes(data), offsets[:-1], offsets[1:])[short]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sketch.view(np.int64))], [*b.schema.names, "_sketch"])
+
+    schema = StructType([*rows.schema.fields, StructField("_sketch", LongType())])
+    return rows.mapInArrow(run, schema).dropDuplicates(["_sketch", *keys]).drop("_sketch")
+
+
 def mine_voters(insights: DataFrame, reviews: DataFrame, rows: int = MINED_ROWS) -> Voters:
     """Lexicons from at most `rows` reviewed insights (reviews: insight_id, toxic 0 or 1) that are not held out."""
     chosen = (
@@ -199,13 +220,13 @@ def mine_voters(insights: DataFrame, reviews: DataFrame, rows: int = MINED_ROWS)
                     pa.array(np.bincount(number, toxic[stem == is_stem], len(known)).astype(np.int64)),
                     pa.array(np.bincount(number, minlength=len(known)))], ["feature", "stem", "toxic", "texts"])
 
-    read = insights.join(chosen, "insight_id").select("detail", "_toxic")
+    read = _unlike(insights.join(chosen, "insight_id").select("detail", "_toxic"), ["_toxic"])
     counts = read.mapInArrow(run, "feature bigint, stem boolean, toxic bigint, texts bigint").groupBy("feature", "stem").agg(
         F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts"))
     totals = chosen.agg(F.sum("_toxic").alias("toxic"), F.count("*").alias("texts")).first()
     toxic, clean = totals.toxic or 0, totals.texts - (totals.toxic or 0)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("texts") - F.col("toxic") + 0.5) / (clean + 1))
-    found = counts.filter(F.col("toxic") >= LEAST_TEXTS).filter(odds >= LEAST_ODDS).orderBy(odds.desc(), "feature").limit(LEXICON_ENTRIES).collect()
+    found = counts.filter(F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * toxic)).filter(odds >= LEAST_ODDS).orderBy(odds.desc(), "feature").limit(LEXICON_ENTRIES).collect()
     lexicon = lambda stem: np.sort(np.array([r.feature for r in found if r.stem == stem], np.int64).view(np.uint64))
     return Voters(lexicon(False), lexicon(True))
 
@@ -242,7 +263,7 @@ def train_classifier(insights: DataFrame, voters: Voters, model: LabelModel, row
                 [b.column("insight_id"), pa.array(model.posterior(voters.votes(data, offsets))), pa.array(raw, pa.binary())],
                 ["insight_id", "label", "cells"])
 
-    found = insights.select("insight_id", "detail").join(chosen, "insight_id", "left_semi").mapInArrow(
+    found = _unlike(insights.select("insight_id", "detail").join(chosen, "insight_id", "left_semi"), []).mapInArrow(
         run, "insight_id bigint, label double, cells binary").collect()
     found.sort(key=lambda r: (r.insight_id, bytes(r.cells)))
     return fit_classifier([np.frombuffer(r.cells, "<u4").astype(np.int64) for r in found], np.array([r.label for r in found]))
