@@ -86,7 +86,7 @@ MARTS = r"""
 label(status, occupied, notice, vacant, idle) AS (
   VALUES ('occupied', 1, 0, 0, 0), ('notice', 1, 1, 0, 0), ('vacant', 0, 0, 1, 0), ('model', 0, 0, 0, 1), ('down', 0, 0, 0, 1), ('future', 0, 0, 0, 0)
 ),
-part(section, now, later) AS (VALUES ('current', 1, 0), ('future', 0, 1)),
+tense(section, now, later) AS (VALUES ('current', 1, 0), ('future', 0, 1)),
 state AS (
   SELECT snapshot_id, property_id, section, status, count(*) AS n, sum(market_rent) AS rent, sum(charges_total) AS charges, sum(unit_sqft) AS sqft,
          sum(balance) AS balance, sum(greatest(balance, 0)) AS owed, sum(CAST(balance > 0 AS INT)) AS owing, count(b.lease_id) AS with_lines
@@ -97,7 +97,7 @@ book AS (
          sum(n * idle) AS non_revenue_units, sum(n * later) AS future_leases, sum(rent * nullif(now, 0)) AS market_rent, sum(charges * nullif(now, 0)) AS lease_charges,
          sum(sqft * nullif(now, 0)) AS square_feet, sum(balance * nullif(now, 0)) AS balance, sum(owed * now) AS balance_owed, sum(owing * now) AS units_owing,
          sum(with_lines * now) AS leases_with_charges
-  FROM state JOIN label USING (status) JOIN part USING (section) GROUP BY 1, 2
+  FROM state JOIN label USING (status) JOIN tense USING (section) GROUP BY 1, 2
 ),
 kpi AS (
   SELECT b.* EXCLUDE (balance_owed, units_owing, leases_with_charges), as_of_date, property_code, property_name, book_type, asset_key,
