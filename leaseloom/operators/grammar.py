@@ -49,9 +49,6 @@ def _issues(df: DataFrame, found: list[Column], row: Column) -> DataFrame:
     )
 
 
-ISSUE_COLUMNS = [FILE, "severity", "rule", ROW, "detail"]
-
-
 # ---- headers -----------------------------------------------------------------
 
 def _first_rows(grid: DataFrame, n_cols: int, last_row: int) -> DataFrame:
@@ -63,11 +60,6 @@ def _first_rows(grid: DataFrame, n_cols: int, last_row: int) -> DataFrame:
     )
 
 
-_TITLE = r"^(.+?)\s*\(([^)]+)\)$"
-_AS_OF = r"^As Of\s*=\s*(\d{2}/\d{2}/\d{4})$"
-_MONTH = r"^Month Year\s*=\s*(\d{2}/\d{4})$"
-
-
 def _array(values: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -82,9 +74,9 @@ def _differs(k: int, expected: tuple[str, ...]) -> Column:
 
 def _identity(pivot: DataFrame) -> DataFrame:
     return pivot.withColumns({
-        "property_name": strip(F.regexp_extract(_head_cell(2), _TITLE, 1)),
-        "property_code": strip(F.regexp_extract(_head_cell(2), _TITLE, 2)),
-        "as_of_date": as_date(F.nullif(F.regexp_extract(_head_cell(3), _AS_OF, 1), F.lit(""))),
+        "property_name": strip(F.regexp_extract(_head_cell(2), S.TITLE_PATTERN, 1)),
+        "property_code": strip(F.regexp_extract(_head_cell(2), S.TITLE_PATTERN, 2)),
+        "as_of_date": as_date(F.nullif(F.regexp_extract(_head_cell(3), S.AS_OF_PATTERN, 1), F.lit(""))),
     })
 
 
@@ -96,14 +88,14 @@ def _failures(checked: DataFrame) -> DataFrame:
 
 
 def _is_titled(k: int) -> Column:
-    return _head_cell(k).rlike(_TITLE)
+    return _head_cell(k).rlike(S.TITLE_PATTERN)
 
 
 def report_header(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Headers of the well-formed rent rolls, and one finding per file whose header block changed."""
     pivot = _identity(_first_rows(grid, S.RENT_ROLL_COLUMNS, HEADER_ROWS)).withColumn(
         "report_month",
-        as_date(F.regexp_replace(F.nullif(F.regexp_extract(_head_cell(4), _MONTH, 1), F.lit("")), "/", "/01/")))
+        as_date(F.regexp_replace(F.nullif(F.regexp_extract(_head_cell(4), S.MONTH_PATTERN, 1), F.lit("")), "/", "/01/")))
     checked = pivot.withColumn(
         "error",
         F.when(F.col("_rows") < HEADER_ROWS, "expected a header block")

@@ -28,7 +28,6 @@ from leaseloom.sources.grids import grid_inventory, grid_schema, skip_unchanged
 from leaseloom.tables import Tables
 
 SNAPSHOT_ID = "year(as_of_date) * 10000 + month(as_of_date) * 100 + day(as_of_date)"
-FACTS = ("lease", "lease_charge", "summary_group", "charge_summary", "availability")
 RENT_ROLL, AVAILABILITY = S.DATASETS
 TOOL_VERSION = "2"
 MARTS = {"property_snapshot_kpi": M.property_snapshot_kpi, "charge_mix": M.charge_mix, "expiration_schedule": M.expiration_schedule}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +20,6 @@ _BOOK = "snapshot_id:i property_id:i"
 _NAMES = "property_code:s property_name:s book_type:s asset_key:s"
 
 
-def _codes_of(columns: str) -> str:
-    return ", ".join(c.split(":")[0] for c in columns.split())
-
-
 # ---- marts -------------------------------------------------------------------
 register("m1_property_snapshot_kpi", f"{_BOOK} as_of_date:t {_NAMES} {_KPI} deposits:d", lambda c: c.kpi, "SELECT * FROM kpi")
 register("m2_charge_mix", f"{_BOOK} category:s charge_code:s line_count:i amount:d", lambda c: M.charge_mix(c.T), "SELECT * FROM mix")
@@ -183,6 +177,13 @@ register("r22_audit_history", _AUDIT,
          lambda c: R.audit_history(c.T.with_frames(audit=L.reclassify(c.T.charge_code, _changes(c))[1])), _AUDIT_SQL)
 
 
+def _idle_audit(c: Context):
+    """The audit rows, and each of them once more with nothing changed."""
+    audit = L.reclassify(c.T.charge_code, _changes(c))[1]
+    idle = audit.withColumns({f"new_{x}": F.col(f"old_{x}") for x in ("category", "description", "verified")})
+    return V.violations(audit.unionByName(idle), V.audit_constraints()).groupBy("violated").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _insights(c: Context):
     return D.insight_frame(c.spark, c.matrix)
 
@@ -200,6 +201,16 @@ _INSIGHT_SQL = """WITH ins AS (
 ---
 """
 _INSIGHT = "insight_id:i snapshot_id:i scope:s property_code:s asset_key:s category:s priority:s"
+register("d10_insight_constraints", "violated:s n:i",
+         lambda c: V.violations(
+             _insights(c).withColumn("headline", F.when(F.col("insight_id") % 7 == 0, "short").otherwise(F.col("headline"))), V.insight_constraints()
+         ).groupBy("violated").agg(F.count(F.lit(1)).alias("n")),
+         _INSIGHT_SQL + "SELECT violated, count(*) AS n FROM (SELECT 'insight_headline_length' AS violated FROM ins WHERE insight_id % 7 = 0"
+         " UNION ALL SELECT 'insight_scope_target' FROM ins WHERE (scope = 'portfolio' AND (property_code IS NOT NULL OR asset_key IS NOT NULL))"
+         " OR (scope = 'asset' AND (property_code IS NOT NULL OR asset_key IS NULL)) OR (scope = 'property' AND (property_code IS NULL OR asset_key IS NOT NULL))) GROUP BY 1")
+register("d10_audit_constraints", "violated:s n:i",
+         lambda c: _idle_audit(c), _CHANGED_SQL + "SELECT 'charge_code_audit_changed_something' AS violated, count(*) AS n FROM moved"
+         " WHERE n IS NOT NULL AND (category <> new_category OR label_verified <> new_verified) HAVING count(*) > 0")
 register("r23_property_insights", _INSIGHT, lambda c: R.property_insights(c.T.with_frames(insight=_insights(c))),
          _INSIGHT_SQL + "SELECT * FROM ins WHERE scope = 'property'")
 register("r23_insight_list", _INSIGHT, lambda c: R.insight_list(c.T.with_frames(insight=_insights(c))), _INSIGHT_SQL + "SELECT * FROM ins")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from leaseloom.operators import evidence as E
 from leaseloom.operators import payload as P
-from leaseloom.operators import reads as R
 from leaseloom.plans import driver_tables as D
 from leaseloom.plans.catalog import Context, register
 from leaseloom.plans.queries_marts import _INSIGHT_SQL, _RUNS_SQL

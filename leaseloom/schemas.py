@@ -12,12 +12,10 @@ PERCENT = T.DecimalType(7, 4)
 DATASETS = ("rent_roll", "unit_availability")
 SECTIONS = ("current", "future")
 STATUSES = ("occupied", "notice", "vacant", "model", "down", "future")
-BOOK_TYPES = ("residential", "affordable", "commercial", "land", "other")
 CHARGE_CATEGORIES = (
     "rent", "subsidy", "concession", "parking", "garage", "storage", "pet", "utility",
     "amenity", "service", "tax", "cam", "insurance", "fee", "other",
 )
-SEVERITIES = ("info", "warning", "error")
 INSIGHT_SCOPES = ("portfolio", "asset", "property")
 INSIGHT_CATEGORIES = (
     "occupancy", "revenue", "concession", "expiration", "delinquency", "unit_mix",
@@ -64,6 +62,9 @@ CHARGE_CODE_SCHEMA = "charge_code string, category string, description string, l
 
 # ---- fixed values: report layout -------------------------------------------
 RENT_ROLL_TITLE = "Rent Roll with Lease Charges"
+TITLE_PATTERN = r"^(.+?)\s*\(([^)]+)\)$"
+AS_OF_PATTERN = r"^As Of\s*=\s*(\d{2}/\d{2}/\d{4})$"
+MONTH_PATTERN = r"^Month Year\s*=\s*(\d{2}/\d{4})$"
 RENT_ROLL_HEADER_1 = ("Unit", "Unit Type", "Unit", "Resident", "Name", "Market", "Charge",
                       "Amount", "Resident", "Other", "Move In", "Lease", "Move Out", "Balance")
 RENT_ROLL_HEADER_2 = ("", "", "Sq Ft", "", "", "Rent", "Code", "", "Deposit", "Deposit", "",
