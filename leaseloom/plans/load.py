@@ -85,9 +85,11 @@ def load_reports(
     files = cut(Dm.file_ids(skip_unchanged(inventory, loaded_before, force), top))
     fresh = lambda grid, dataset: grid.join(files.filter(F.col("dataset") == dataset).select("file_name"), "file_name", "left_semi")
 
-    parsed = G.parse_rent_rolls(fresh(rent_grid, RENT_ROLL))
-    available, available_issues = G.availability_row(fresh(availability_grid, AVAILABILITY))
-    available, available_issues = cut(available), cut(available_issues)
+    read = sinks.side_by_side({
+        RENT_ROLL: lambda: G.parse_rent_rolls(fresh(rent_grid, RENT_ROLL)),
+        AVAILABILITY: lambda: [cut(df) for df in G.availability_row(fresh(availability_grid, AVAILABILITY))],
+    })
+    parsed, (available, available_issues) = read[RENT_ROLL], read[AVAILABILITY]
 
     headers = cut(parsed.headers.withColumns({"source_rank": F.lit(0), "dataset": F.lit(RENT_ROLL)}).unionByName(
         available.select("file_name", "property_code", "property_name", "as_of_date", F.lit(None).cast("date").alias("report_month"),
@@ -134,17 +136,18 @@ def load_reports(
 
     # report dates, so never many
     snapshots = sorted(r.snapshot_id for r in book.select("snapshot_id").distinct().collect())
-    found = _findings(T, parsed.issues, available_issues, unknown, files, snapshots)
+    # numbering reads them twice
+    found = cut(_findings(T, parsed.issues, available_issues, unknown, files, snapshots))
     last_issue = known.issue.agg(F.max("issue_id")).first()[0] or 0
     issues = two_level_row_number(found.withColumn("_all", F.lit(0)), ["_all"], {"_rule": F.col("rule")},
                                   [F.col("rule"), F.col("file_id"), F.col("sheet_row"), F.to_json("detail")], "issue_id").select(
         (F.col("issue_id") + last_issue).alias("issue_id"), F.lit(run_id).cast("bigint").alias("run_id"), "file_id", "severity", "rule", "sheet_row", "detail")
     issues = _appended(issues, f"{out}/ledger/issue", S.ISSUE).filter(F.col("run_id") == run_id)
 
-    read = headers.select("dataset", "file_name", F.lit(True).alias("_read")).distinct()
+    whole = headers.select("dataset", "file_name", F.lit(True).alias("_read")).distinct()
     state = F.when(F.col("file_id").isNull(), "skipped").when(F.col("_read"), "loaded").otherwise("failed")
     file_rows = inventory.join(files.select("dataset", "file_name", "file_id"), ["dataset", "file_name"], "left").join(
-        read, ["dataset", "file_name"], "left").select(
+        whole, ["dataset", "file_name"], "left").select(
         "file_id", F.lit(run_id).cast("bigint").alias("run_id"), "dataset", "file_name", "sha256", state.alias("status"))
     file = _appended(file_rows, f"{out}/ledger/file", S.FILE)
     run = _appended(_run_row(run_id, file.filter(F.col("run_id") == run_id), issues, parsed, facts, started_at), f"{out}/ledger/run", S.RUN)

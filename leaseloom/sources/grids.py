@@ -37,11 +37,12 @@ def file_inventory(spark: SparkSession, dirs: Mapping[str, str], pattern: str =
 
 
 def grid_inventory(grid: DataFrame, dataset: str) -> DataFrame:
-    """The files of a grid with a fingerprint of what is printed in them: the rows' hashes in four sums, which combine before the shuffle
-    and do not depend on the order the rows come in."""
-    digest = F.sha2(F.to_json(F.struct(*sorted(c for c in grid.columns if c != "file_name"))), 256)
-    lane = lambda k: F.sum(F.conv(F.substring("_h", 1 + 16 * k, 15), 16, 10).cast("decimal(20,0)"))
-    return grid.select("file_name", digest.alias("_h")).groupBy("file_name").agg(F.concat_ws(",", *[lane(k).cast("string") for k in range(4)]).alias("_s")).select(
+    """The files of a grid with a fingerprint of what is printed in them: two hashes of each row, added up, which combines before the
+    shuffle and does not depend on the order the rows come in."""
+    # each cell with its column, or a blank cell would let its neighbour's text move over
+    cells = [F.coalesce(F.concat(F.lit(f"{c}="), F.col(c).cast("string")), F.lit("")) for c in sorted(grid.columns) if c != "file_name"]
+    lanes = [F.sum(F.xxhash64(F.lit(salt), *cells).cast("decimal(20,0)")).cast("string") for salt in ("rows", "again")]
+    return grid.groupBy("file_name").agg(F.concat_ws(",", *lanes, F.count(F.lit(1)).cast("string")).alias("_s")).select(
         F.lit(dataset).alias("dataset"), "file_name", F.sha2("_s", 256).alias("sha256"))
 
 
