@@ -21,7 +21,7 @@ from leaseloom.functions.scalars import (
     NUMBER, as_date, as_date_error, as_decimal, as_decimal_error, as_int, as_int_error, as_text,
     derive_status, strip,
 )
-from leaseloom.operators.scan import CHUNK_ROWS, cut, prefix_scan, with_chunks
+from leaseloom.operators.scan import CHUNK_ROWS, cut, more_than_one_chunk, prefix_scan, with_chunks
 
 FILE, ROW = "file_name", "sheet_row"
 HEADER_ROWS = 6
@@ -167,16 +167,18 @@ def _head_rejection(section: Column) -> Column:
 def mode_segments(grid: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Body rows with the summary-block mode they belong to (`_mode`, null outside) and whether they
     are ordinary rows (`_normal`)."""
-    body = with_chunks(grid.filter(F.col(ROW) > HEADER_ROWS), ROW, chunk_rows).withColumns(_row_facts())
+    body = with_chunks(grid.filter(F.col(ROW) > HEADER_ROWS), ROW, chunk_rows)
+    handing = more_than_one_chunk(body, [FILE]).withColumns(_row_facts())
+    body = body.withColumns(_row_facts())
     a = F.col("_a")
     anchor = F.when(F.col("_kind").isNotNull(), F.struct(F.col(ROW).alias("at"), F.col("_kind").alias("kind")))
-    rows = prefix_scan(body, [FILE], ROW, lasts={"_anchor": anchor})
+    rows, handing = (prefix_scan(x, [FILE], ROW, lasts={"_anchor": anchor}, handing=handing) for x in (body, handing))
     mode, at = F.col("_anchor.kind"), F.col("_anchor.at")
     past_header = F.col(ROW) - at > F.when(mode == "g", 1).otherwise(2)
     ends = F.when(mode == "g", ~a.isin(*S.SUMMARY_GROUP_LABELS)).otherwise(a.isin("", "Total"))
-    rows = rows.withColumn("_past", F.coalesce(past_header & F.col("_kind").isNull(), F.lit(False)))
-    rows = rows.withColumn("_ends", F.col("_past") & ends)
-    rows = prefix_scan(rows, [FILE], ROW, prior_lasts={"_ended": F.when(F.col("_ends"), F.col(ROW))})
+    past = F.coalesce(past_header & F.col("_kind").isNull(), F.lit(False))
+    rows, handing = (x.withColumn("_past", past).withColumn("_ends", F.col("_past") & ends) for x in (rows, handing))
+    rows = prefix_scan(rows, [FILE], ROW, prior_lasts={"_ended": F.when(F.col("_ends"), F.col(ROW))}, handing=handing)
     over = at.isNull() | F.coalesce(F.col("_ended") > at, F.lit(False))
     return rows.withColumns({"_normal": over & F.col("_kind").isNull(), "_mode": F.when(~over, mode)})
 
@@ -202,20 +204,20 @@ def classify_rows(grid: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         "_line": (normal & billed & F.col("_payable")).cast("bigint"),
     })
     # a head is accepted or not depending on the section it turns out to stand in
+    handing = more_than_one_chunk(rows, [FILE])
     head = F.when(F.col("_is_head"), F.struct(
         F.col(ROW).alias("at"), _head_rejection(F.lit("current")).isNull().alias("current"),
         _head_rejection(F.lit("future")).isNull().alias("future"),
         # what the lines below need of their lease, so that they are never joined to it
         _resident()[0].alias("sentinel"), as_date(F.col("c13")).alias("move_out")))
-    rows = prefix_scan(
-        rows, [FILE], ROW, lasts={"section": F.col("_start"), "_head": head},
-        prior_lasts={"_closed": F.when(F.col("_closes"), F.col(ROW))}, sums={"_lines": F.col("_line")},
-    )
+    events = {"lasts": {"section": F.col("_start"), "_head": head}, "prior_lasts": {"_closed": F.when(F.col("_closes"), F.col(ROW))},
+              "sums": {"_lines": F.col("_line")}}
+    rows, handing = (prefix_scan(x, [FILE], ROW, **events, handing=handing) for x in (rows, handing))
     accepted = F.when(F.col("section") == "current", F.col("_head.current")).when(F.col("section") == "future", F.col("_head.future"))
     rows = rows.withColumns({
         "_open": F.col("_head").isNotNull() & ~F.coalesce(F.col("_closed") >= F.col("_head.at"), F.lit(False)),
         "_accepted": F.coalesce(accepted, F.lit(False))})
-    rows = prefix_scan(rows, [FILE], ROW, lasts={"_base": F.when(F.col("_is_head"), F.col("_lines") - F.col("_line"))})
+    rows = prefix_scan(rows, [FILE], ROW, lasts={"_base": F.when(F.col("_is_head"), F.col("_lines") - F.col("_line"))}, handing=handing)
     cls = (
         F.when(F.col("_kind").isNotNull(), "anchor")
         .when(F.col("_mode").isNotNull(),

@@ -31,6 +31,13 @@ def with_chunks(df: DataFrame, pos: str, chunk_rows: int = CHUNK_ROWS) -> DataFr
     return df.withColumn(CHUNK, F.floor(F.col(pos) / F.lit(chunk_rows)))
 
 
+def more_than_one_chunk(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of keys with several chunks. Only those hand anything over; mostly there are none, and then nothing but the look for them
+    is done. The keys are stored, so that the planner knows how few they are."""
+    long = cut(df.groupBy(*keys).agg(F.max(CHUNK).alias("_last")).filter(F.col("_last") > 0).select(*keys))
+    return df.join(long, list(keys), "left_semi")
+
+
 def prefix_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -39,16 +46,18 @@ def prefix_scan(
     lasts: Mapping[str, Column] | None = None,
     prior_lasts: Mapping[str, Column] | None = None,
     sums: Mapping[str, Column] | None = None,
+    handing: DataFrame | None = None,
 ) -> DataFrame:
     """Running columns over `keys` in `pos` order; `df` comes from `with_chunks`.
 
     `lasts` is the last non-null value up to and including the row, `prior_lasts` up to but
-    excluding it, `sums` the inclusive running sum. Rows and chunk totals both read `df`, so a chain of
-    scans is best cut (see `cut`) after every second one.
+    excluding it, `sums` the inclusive running sum. The chunk totals are taken from `handing`: the rows of
+    `df` whose key has more than one chunk (see `more_than_one_chunk`), or all of them where it is not given.
     """
     lasts, prior_lasts, sums = dict(lasts or {}), dict(prior_lasts or {}), dict(sums or {})
     wanted = {**lasts, **prior_lasts, **sums}
-    staged = df.withColumns({f"_in_{n}": c for n, c in wanted.items()})
+    inputs = {f"_in_{n}": c for n, c in wanted.items()}
+    staged = df.withColumns(inputs)
     group = [*keys, CHUNK]
 
     local = Window.partitionBy(*group).orderBy(pos)
@@ -62,7 +71,7 @@ def prefix_scan(
         }
     )
     # what each chunk hands to the later chunks of its key
-    totals = staged.groupBy(*group).agg(
+    totals = (staged if handing is None else handing.withColumns(inputs)).groupBy(*group).agg(
         *[
             F.max_by(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), F.col(pos))).alias(f"_t_{n}")
             for n in (*lasts, *prior_lasts)
