@@ -38,7 +38,23 @@ NOTICES = (
     ("licensed under cc by 4 0", "cc-by-4.0"),
     ("this source code form is subject to the terms of the mozilla public license", "mpl"),
     ("all rights reserved no part of this publication may be reproduced", "proprietary"),
+    ("all rights reserved", "proprietary"),
 )
+# ---- fixed values: what names a label's license in its notices; these words must stand there unbroken ----
+NAMES = {
+    "mit": ("mit license",),
+    "apache-2.0": ("apache license", "2 0"),
+    "gpl": ("gnu general public license",),
+    "gpl-3.0": ("gnu general public license", "version 3"),
+    "gpl-2.0": ("gnu general public license", "version 2"),
+    "lgpl": ("gnu lesser general public license",),
+    "bsd": ("are permitted",),
+    "cc-by-nc-4.0": ("cc by nc 4 0",),
+    "cc-by-sa-4.0": ("cc by sa 4 0",),
+    "cc-by-4.0": ("cc by 4 0",),
+    "mpl": ("mozilla public license",),
+    "proprietary": ("all rights reserved",),
+}
 
 SCAN = "insight_id bigint, digest bigint, n_words bigint, place bigint, gram bigint"
 
@@ -48,13 +64,25 @@ def _grams(w: A.Words) -> tuple[np.ndarray, np.ndarray]:
     return first, hashes.view(np.int64)
 
 
+def _named(text: str, label: str) -> int:
+    """A bit for each window of the notice that lies in a phrase naming its license."""
+    words, bits = text.split(), 0
+    for name in (n.split() for n in NAMES.get(label, ())):
+        for at in range(len(words) - len(name) + 1):
+            if words[at:at + len(name)] == name:
+                bits |= ((1 << (len(name) - GRAM_WORDS + 1)) - 1) << at
+    return bits
+
+
 def templates(spark: SparkSession, base: tuple[tuple[str, str], ...] = BASE, notices: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
-    """Each window of each template: template, label, base, template_grams, at (its place in the template), gram."""
+    """Each window of each template: template, label, base, template_grams, full and named (bits of all its windows, and of those it cannot
+    do without), at (its place in the template), gram."""
     rows = []
     for number, (text, label) in enumerate((*base, *notices)):
         _, grams = _grams(A.words(*A.utf8(pa.array([text])), A.WORD))
-        rows += [(number, label, number < len(base), len(grams), at, int(g)) for at, g in enumerate(grams)]
-    return spark.createDataFrame(rows, "template int, label string, base boolean, template_grams int, at bigint, gram bigint")
+        bits = (1 << len(grams)) - 1, _named(text, label)
+        rows += [(number, label, number < len(base), len(grams), *bits, at, int(g)) for at, g in enumerate(grams)]
+    return spark.createDataFrame(rows, "template int, label string, base boolean, template_grams int, full bigint, named bigint, at bigint, gram bigint")
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +109,8 @@ def scan_licenses(insights: DataFrame, slack_words: int = SLACK_WORDS, least_sha
     One row per input row: insight_id, n_words, n_base (places of the base phrases), first_word and last_word (the smallest and largest
     place where one begins, words counted from 0; null if none), base_labels, labels (those and the notices', distinct, sorted,
     comma-joined) and score (the largest share of a template's windows found together, 0 if none). A notice counts from `least_share` of its
-    windows on, on diagonals up to `slack_words` apart. A null detail is empty. Rows with one id and one detail are judged once and
+    windows on, on diagonals up to `slack_words` apart, and also when one window or two neighbouring ones are missing (one place with words
+    put in, or one word changed or left out), but none in the words that name its license: NAMES. A null detail is empty. Rows with one id and one detail are judged once and
     given as often as they came; a null id is a value like any other here. Other columns are ignored.
 
     The templates are a fixed list of some hundred windows, no more than 63 each, so they are broadcast."""
@@ -90,7 +119,7 @@ def scan_licenses(insights: DataFrame, slack_words: int = SLACK_WORDS, least_sha
     found = scanned.join(F.broadcast(templates(insights.sparkSession)), "gram", "left").filter("place is null or template is not null")
     diagonal = found.withColumn("diagonal", F.col("place") - F.col("at")).groupBy(*key, "template", "diagonal").agg(
         F.count("*").alias("rows"), F.bit_or(F.expr("shiftleft(1L, cast(at as int))")).alias("hits"), F.min("place").alias("low"), F.max("place").alias("high"),
-        F.first("label").alias("label"), F.first("base").alias("base"), F.first("template_grams").alias("grams"))
+        F.first("label").alias("label"), F.first("base").alias("base"), F.first("template_grams").alias("grams"), F.first("full").alias("full"), F.first("named").alias("named"))
     # neighbouring diagonals of a template, as long as they lie close in the detail too, are one passage
     order = Window.partitionBy(*key, "template").orderBy("diagonal")
     far = (F.col("diagonal") - F.lag("diagonal").over(order) > slack_words) | (
@@ -98,12 +127,15 @@ def scan_licenses(insights: DataFrame, slack_words: int = SLACK_WORDS, least_sha
     whole = F.bit_count("hits") == F.col("grams")
     passage = diagonal.withColumn("passage", F.sum(F.coalesce(far, F.lit(True)).cast("int")).over(order)).groupBy(*key, "template", "passage").agg(
         F.max("rows").alias("rows"), F.bit_or("hits").alias("hits"), F.first("label").alias("label"), F.first("base").alias("base"),
-        F.first("grams").alias("grams"), F.count_if(whole).alias("places"),
+        F.first("grams").alias("grams"), F.first("full").alias("full"), F.first("named").alias("named"), F.count_if(whole).alias("places"),
         F.min(F.when(whole, F.col("diagonal"))).alias("first_place"), F.max(F.when(whole, F.col("diagonal"))).alias("last_place"))
     # the passage as it was found: which of the template's windows it has, each counted once
     share = F.bit_count("hits") / F.col("grams")
+    missed = F.col("full").bitwiseXOR(F.col("hits"))
+    one_edit = (missed.bitwiseAND(F.col("named")) == 0) & (
+        (F.bit_count(missed) == 1) | (F.bit_count(missed) == 2) & (missed.bitwiseAND(F.shiftleft(missed, 1)) != 0))
     base_label = F.when(F.col("base") & (F.col("places") > 0), F.col("label"))
-    label = F.when(F.when(F.col("base"), F.col("places") > 0).otherwise(share >= least_share), F.col("label"))
+    label = F.when(F.when(F.col("base"), F.col("places") > 0).otherwise((share >= least_share) | one_edit), F.col("label"))
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
     judged = passage.groupBy(*key).agg(
         F.coalesce(F.sum(F.when(F.col("base"), F.col("places"))), F.lit(0)).cast("bigint").alias("n_base"),

@@ -21,5 +21,38 @@ def test_notices_with_a_word_put_in(spark):
     assert all(not r.base_labels or set(r.base_labels.split(",")) <= set(r.labels.split(",")) for r in out.values())
 
 
+def _labels(spark, texts):
+    return [r.labels for r in L.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "insight_id bigint, detail string")).orderBy("insight_id").collect()]
+
+
+def test_all_rights_reserved_alone(spark):
+    assert _labels(spark, ["(c) 2020 Someone. All rights reserved.", "All rights of others are reserved.", "all rights"]) == ["proprietary", "", ""]
+
+
+def test_each_notice_with_one_edit_outside_the_name_of_its_license(spark):
+    texts, wanted = [], []
+    for text, label in L.NOTICES:
+        words, named = text.split(), L._named(text, label)
+        windows = len(words) - 1
+        for at in range(windows):
+            if not named >> at & 1:
+                texts.append(" ".join([*words[:at + 1], "zzz", *words[at + 1:]]))
+                wanted.append(label)
+        for at in range(1, windows):
+            if not named >> (at - 1) & 3:
+                texts += [" ".join([*words[:at], "zzz", *words[at + 1:]]), " ".join([*words[:at], *words[at + 1:]])]
+                wanted += [label, label]
+    assert [(t, label, found) for t, label, found in zip(texts, wanted, _labels(spark, texts), strict=True) if label not in found.split(",")] == []
+
+
+def test_other_licenses_do_not_pass_for_edits(spark):
+    gpl = "licensed under the GNU {} General Public License version {}"
+    got = _labels(spark, [
+        "Licensed under CC BY-NC 4.0", "Licensed under CC BY-SA 4.0", "Licensed under CC BY 4.0", "Licensed under CC BY-ND 4.0", "Licensed under CC BY-NC-SA 4.0",
+        "Licensed under CC BY 3.0", gpl.format("", 3), gpl.format("", 2), gpl.format("", 1), gpl.format("Affero", 3), gpl.format("Lesser", 3),
+        "Licensed under the Apache License, Version 1.1", "released under the BSD license"])
+    assert got == ["cc-by-nc-4.0", "cc-by-sa-4.0", "cc-by-4.0", "", "", "", "gpl,gpl-3.0", "gpl,gpl-2.0", "gpl", "gpl", "gpl,lgpl", "apache", ""]
+
+
 def test_no_rows(spark):
     assert L.scan_licenses(spark.createDataFrame([], "insight_id bigint, detail string")).collect() == []
