@@ -112,12 +112,12 @@ def _asset_documents(c: Context) -> DataFrame:
 
 
 register("i3_asset_documents", "snapshot_id:i chunk:s document:s needed:i num_ctx:i reason:s", _asset_documents)
+# `needed` is rounded down: a refused chunk may need num_ctx and a fraction
 register("i3_asset_document_verdicts", "snapshot_id:i chunk:s refused:i made:i num_ctx:i",
          lambda c: _asset_documents(c).groupBy("snapshot_id", "chunk").agg(
-             F.count_if(F.col("document").isNull() & (F.col("needed") > F.col("num_ctx")) & F.col("reason").isNotNull()).alias("refused"),
+             F.count_if(F.col("document").isNull() & (F.col("needed") >= F.col("num_ctx")) & F.col("reason").isNotNull()).alias("refused"),
              F.count_if(F.col("document").isNotNull() & (F.col("needed") <= F.col("num_ctx")) & F.col("reason").isNull()).alias("made"),
-             F.max("num_ctx").alias("num_ctx")).select(
-                 "snapshot_id", "chunk", (F.col("refused") + F.col("made")).alias("made"), F.lit(0).alias("refused"), "num_ctx"),
+             F.max("num_ctx").alias("num_ctx")),
          "WITH " + _PATHS + "\n---\nSELECT snapshot_id, 'map:' || asset_key AS chunk, 0 AS refused, 1 AS made, 2000 AS num_ctx FROM asset")
 register("i4_positioning_chunks", "snapshot_id:i chunk:s capture:d units:i property_count:i as_of:s",
          lambda c: P.positioning_chunks(c.sections).select(

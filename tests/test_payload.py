@@ -1,11 +1,12 @@
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from leaseloom.operators import evidence as E
 from leaseloom.operators import payload as P
-from leaseloom.plans import catalog
+from leaseloom.plans import catalog, queries_payload  # noqa: F401
 from leaseloom.sources import sinks
 from leaseloom.sources.folders import shared_folder
 
@@ -44,6 +45,28 @@ def test_large_chunks_are_refused_not_cut(ctx):
     assert all(r.reason is None for r in made if r.document is not None)
 
 
+def test_verdicts_count_refused_documents(spark, sf_dir):
+    ctx = catalog.context(spark, sf_dir)
+
+    def documents(sections):
+        parts = P.asset_chunks(sections)
+        return {(r.snapshot_id, r.chunk): r.document for r in P.assemble_chunks(parts, P.chunk_fit(P.chunk_sizes(parts, P.ASSET_PARTS), num_ctx=10**6), P.ASSET_PARTS).collect()}
+
+    (snapshot, chunk), document = min(documents(ctx.sections).items())
+    other = max(c for s, c in documents(ctx.sections) if s == snapshot and c != chunk)
+    label, key = F.col("asset_label"), F.concat(F.lit("map:"), F.col("asset_key"))
+    # one document of 1539 tokens, so of 2000.7 with headroom, and a large one
+    padded = F.when((F.col("snapshot_id") == snapshot) & (key == chunk), F.concat(label, F.repeat(F.lit("x"), 4 * 1539 - len(document)))).when(
+        (F.col("snapshot_id") == snapshot) & (key == other), F.repeat(F.lit("x"), 9000)).otherwise(label)
+    sections = {**ctx.sections, "assets": ctx.sections["assets"].withColumn("asset_label", padded)}
+    fits = {k: max(1, len(d) // 4) * 1.3 <= 2000 for k, d in documents(sections).items()}
+    assert not fits[snapshot, chunk] and not fits[snapshot, other] and any(fits.values())
+    entry = catalog.ENTRIES["i3_asset_document_verdicts"]
+    got = catalog.present(entry.build(SimpleNamespace(sections=sections)), entry.columns).collect()
+    assert {(r.snapshot_id, r.chunk): (r.refused, r.made, r.num_ctx) for r in got} == {k: (int(not f), int(f), 2000) for k, f in fits.items()}
+    assert len(got) == len(fits)
+
+
 def test_fingerprint_follows_every_figure(ctx):
     def hashes(paths):
         return {r.snapshot_id: r.payload_sha256 for r in P.fingerprint(paths).collect()}
