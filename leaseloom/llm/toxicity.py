@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from leaseloom.llm import text_arrays as A
+from leaseloom.llm.staging import Work
 
 #: Reviewed insights the lexicons are mined from, and insights the classifier is trained on, at most: those whose ids hash smallest.
 MINED_ROWS, TRAINED_ROWS = 20_000, 10_000
@@ -220,13 +221,16 @@ def mine_voters(insights: DataFrame, reviews: DataFrame, rows: int = MINED_ROWS)
                     pa.array(np.bincount(number, toxic[stem == is_stem], len(known)).astype(np.int64)),
                     pa.array(np.bincount(number, minlength=len(known)))], ["feature", "stem", "toxic", "texts"])
 
-    read = _unlike(insights.join(chosen, "insight_id").select("detail", "_toxic"), ["_toxic"])
-    counts = read.mapInArrow(run, "feature bigint, stem boolean, toxic bigint, texts bigint").groupBy("feature", "stem").agg(
-        F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts"))
-    totals = chosen.agg(F.sum("_toxic").alias("toxic"), F.count("*").alias("texts")).first()
-    toxic, clean = totals.toxic or 0, totals.texts - (totals.toxic or 0)
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("texts") - F.col("toxic") + 0.5) / (clean + 1))
-    found = counts.filter(F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * toxic)).filter(odds >= LEAST_ODDS).orderBy(odds.desc(), "feature").limit(LEXICON_ENTRIES).collect()
+    with Work(insights.sparkSession) as work:
+        # stored: the totals are of the very texts that are counted, without copies and without reviews that have no insight
+        read = work.stored("read", _unlike(insights.join(chosen, "insight_id").select("detail", "_toxic"), ["_toxic"]))
+        counts = read.mapInArrow(run, "feature bigint, stem boolean, toxic bigint, texts bigint").groupBy("feature", "stem").agg(
+            F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts"))
+        totals = read.agg(F.sum("_toxic").alias("toxic"), F.count("*").alias("texts")).first()
+        toxic, clean = totals.toxic or 0, totals.texts - (totals.toxic or 0)
+        odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("texts") - F.col("toxic") + 0.5) / (clean + 1))
+        found = counts.filter(F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * toxic)).filter(odds >= LEAST_ODDS).orderBy(
+            odds.desc(), "feature").limit(LEXICON_ENTRIES).collect()
     lexicon = lambda stem: np.sort(np.array([r.feature for r in found if r.stem == stem], np.int64).view(np.uint64))
     return Voters(lexicon(False), lexicon(True))
 

@@ -39,6 +39,20 @@ def test_held_out_accuracy(spark, sf_dir):
     assert [r.predicted for r in scored.filter("insight_id is null or insight_id < 0").collect()] == [0, 0, 0]
 
 
+def test_copies_and_reviews_without_insights_leave_the_lexicons_alone(spark):
+    toxic = [(k, f"vile{k % 30} scorn{k % 30} some words here and number n{k} to tell it by") for k in range(300)]
+    clean = [(k, f"some words here and calm c{k} to tell it by in peace p{k}") for k in range(300, 3300)]
+    hot = [(k, "one rude line that very many people copied word for word") for k in range(3300, 7300)]
+    lost = [(k, 1) for k in range(10_000, 14_000)]
+    schema = "insight_id bigint, detail string"
+    alone = T.mine_voters(spark.createDataFrame(toxic + clean, schema), spark.createDataFrame([(k, int(k < 300)) for k, _ in toxic + clean], "insight_id bigint, toxic int"))
+    every = toxic + clean + hot
+    marked = [(k, int(k < 300 or k >= 3300)) for k, _ in every] + lost
+    heavy = T.mine_voters(spark.createDataFrame(every, schema), spark.createDataFrame(marked, "insight_id bigint, toxic int"))
+    assert len(alone.words) >= 60 and set(alone.words.tolist()) <= set(heavy.words.tolist())
+    assert len(alone.stems) > 0 and set(alone.stems.tolist()) <= set(heavy.stems.tolist())
+
+
 def test_no_reviews(spark):
     insights = spark.createDataFrame([(1, "a b"), (2, None)], "insight_id bigint, detail string")
     classifier = T.fit_toxicity(insights, spark.createDataFrame([], "insight_id bigint, toxic int"))
