@@ -104,6 +104,43 @@ FROM e GROUP BY conv_id
 """
 
 
+# DuckDB's integer division cuts towards zero, which is rounding down for what is never negative
+LEXICAL_SEARCH = f"""
+WITH dw AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_low('text')}, '{_LETTERS}') AS w FROM documents),
+bt AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all({_low('text')}, '{_LETTERS}')) AS term FROM benchmark)),
+s AS (SELECT count(*) FILTER (len(w) > 0)::bigint AS n_docs, coalesce(sum(len(w)), 0)::bigint AS n_terms FROM dw),
+tf AS (SELECT r, term, count(*)::bigint AS tf FROM (SELECT r, unnest(w) AS term FROM dw) WHERE term IN (SELECT term FROM bt) GROUP BY r, term),
+wt AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint AS weight FROM tf, s GROUP BY term, n_docs),
+m AS (SELECT r, doc_id, 50 + (50 * len(w)::bigint * n_docs) // greatest(n_terms, 1) AS m FROM dw, s),
+sc AS (SELECT bt.item_id, m.r, m.doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m.m)))::bigint AS score
+       FROM bt JOIN tf USING (term) JOIN wt USING (term) JOIN m ON m.r = tf.r GROUP BY bt.item_id, m.r, m.doc_id),
+rk AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM sc WHERE score > 0)
+SELECT item_id, rank::int AS rank, doc_id, score FROM rk WHERE rank <= 50
+"""
+
+
+def centroids(width: int = 64, clusters: int = 40, rounds: int = 5, seed: str = "2:") -> str:
+    """Every round as two steps of its own: the nearest centroids, and the centroids after them."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS (SELECT v.r, v.vec_id, v.x, (min({{'d': list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint, 'c': c.c}})) AS best
+        FROM v, c{k} AS c GROUP BY v.r, v.vec_id, v.x)""")
+        if k < rounds:
+            steps.append(f"""u{k} AS (SELECT best.c AS c, k, sum(x[k])::hugeint AS s, count(*)::hugeint AS n FROM a{k}, unnest(range(1, {width + 1})) AS t(k) GROUP BY best.c, k),
+n{k} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::bigint ORDER BY k) AS x FROM u{k} GROUP BY c),
+c{k + 1} AS MATERIALIZED (SELECT c.c, coalesce(n.x, c.x) AS x FROM c{k} AS c LEFT JOIN n{k} AS n ON n.c = c.c)""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(256 * e::double)::bigint) AS x FROM embeddings
+       WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {width}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS c, x FROM (SELECT x, sha256('{seed}' || vec_id) AS h FROM v ORDER BY h NULLS LAST, x LIMIT {clusters})),
+{", ".join(steps)},
+e AS (SELECT best.c AS c, sum(best.d)::bigint AS total FROM a{rounds} GROUP BY best.c)
+SELECT a.vec_id, a.best.c::int AS cluster, a.best.d AS distance, e.total AS cluster_inertia, (SELECT sum(total)::bigint FROM e) AS inertia,
+       sha256(array_to_string(f.x, ',')) AS centroid_sha256
+FROM a{rounds} AS a JOIN e ON e.c = a.best.c JOIN c{rounds} AS f ON f.c = a.best.c
+"""
+
+
 def license_scans(templates: str, slack: int, least_share: float) -> str:
     """`templates`: SQL values (template, label, base, words)."""
     return f"""

@@ -9,7 +9,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaseloom.llm import bpe, chat_format, decontamination, license_scan, near_dedup, oracle, quality_rules, suffix_dedup, token_output, toxicity, url_filter
+from leaseloom.llm import (
+    bpe,
+    centroids,
+    chat_format,
+    decontamination,
+    lexical_search,
+    license_scan,
+    near_dedup,
+    oracle,
+    quality_classifier,
+    quality_rules,
+    suffix_dedup,
+    token_output,
+    toxicity,
+    url_filter,
+)
 from leaseloom.sources.folders import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +137,25 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_token_files(spark, path, with_ids=False).withColumnRenamed("insight_id", "doc_id")
 
 
+@query
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = insights(spark, sf_dir)
+    model = quality_classifier.fit_quality(written, reviews(spark, sf_dir))
+    return quality_classifier.score_quality(written, model).withColumnRenamed("insight_id", "doc_id")
+
+
+@query
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("headline_id"), F.col("text").alias("headline"))
+    return lexical_search.rank_details(insights(spark, sf_dir), items).withColumnsRenamed({"headline_id": "item_id", "insight_id": "doc_id"})
+
+
+@query
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("profile_id"), F.col("embedding").alias("figures"))
+    return centroids.cluster_profiles(profiles, width=64).drop("compared").withColumnRenamed("profile_id", "vec_id")
+
+
 def _license_templates() -> str:
     every = [(*t, True) for t in license_scan.BASE] + [(*t, False) for t in license_scan.NOTICES]
     return ", ".join(f"({k}, '{label}', {base}, '{text}')" for k, (text, label, base) in enumerate(every))
@@ -134,4 +168,6 @@ ORACLE_SQL |= {
     "op6_url_filters": oracle.URL_FILTERS,
     "op7_license_scans": oracle.license_scans(_license_templates(), license_scan.SLACK_WORDS, license_scan.LEAST_SHARE),
     "op8_chat_formatting": oracle.CHAT_FORMATTING,
+    "op12_ranked_lexical_search": oracle.LEXICAL_SEARCH,
+    "op13_centroid_clustering": oracle.centroids(),
 }
