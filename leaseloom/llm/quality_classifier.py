@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from leaseloom.llm import text_arrays as A
 
 #: Reviewed insights that the model is fitted on, at most; those with the smallest hash of their id. One in five of them sets the sigmoid.
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 6_000
 CALIBRATION_SHARE = 5
 #: Hashed n-grams: 2 to that power.
 CELL_BITS = 18
@@ -99,15 +99,16 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.level, -30, 30)))
 
 
-def log_count_ratios(cells: np.ndarray, owner: np.ndarray, good: np.ndarray) -> np.ndarray:
-    """log of (share of the n-gram in the counts of good texts / its share in those of bad ones); 0 for those of too few texts."""
+def log_count_ratios(texts: list[np.ndarray], good: np.ndarray) -> np.ndarray:
+    """log of (share of the n-gram in the counts of good texts / its share in those of bad ones); 0 for those of too few texts. A text's
+    cells are distinct."""
     size = 1 << CELL_BITS
-    seen = np.bincount(cells, minlength=size)
-    known = seen >= LEAST_TEXTS
-    up = np.bincount(cells, good[owner], size)
-    shares = [np.where(known, n + SMOOTHING, 0) for n in (up, seen - up)]
-    up, down = (s / max(s.sum(), 1e-12) for s in shares)
-    return np.where(known, np.log(np.maximum(up, 1e-12) / np.maximum(down, 1e-12)), 0)
+    up, down = np.zeros(size), np.zeros(size)
+    for cells, is_good in zip(texts, good, strict=True):
+        (up if is_good else down)[cells] += 1
+    known = up + down >= LEAST_TEXTS
+    up, down = (np.where(known, n + SMOOTHING, 0) for n in (up, down))
+    return np.where(known, np.log(np.maximum(up / max(up.sum(), 1e-12), 1e-12) / np.maximum(down / max(down.sum(), 1e-12), 1e-12)), 0)
 
 
 def hinge_by_dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, cost: np.ndarray, size: int,
@@ -159,13 +160,11 @@ def fit_model(texts: list[np.ndarray], good: np.ndarray, calibrates: np.ndarray)
     if not len(learned) or good[learned].min() == good[learned].max():
         share = np.clip(good.mean(), 0.02, 0.98) if len(good) else 0.5
         return QualityModel(np.zeros(size), np.zeros(size), 0.0, 1.0, float(np.log(share / (1 - share))))
-    flat = lambda rows: (np.concatenate([texts[i] for i in rows]), np.repeat(np.arange(len(rows)), [len(texts[i]) for i in rows]))
-    cells, owner = flat(learned)
-    ratio = log_count_ratios(cells, owner, good[learned])
+    ratio = log_count_ratios([texts[i] for i in learned], good[learned])
     rows = []
     for i in learned:
         at = texts[i][ratio[texts[i]] != 0]
-        value = ratio[at]
+        value = ratio[at].astype(np.float32)
         rows.append((at, value / max(np.sqrt(value @ value), 1e-6)))
     up = good[learned].mean()
     # both classes weigh alike
@@ -175,7 +174,8 @@ def fit_model(texts: list[np.ndarray], good: np.ndarray, calibrates: np.ndarray)
     seen = np.flatnonzero(calibrates)
     if not len(seen):
         return model
-    slope, level = fit_sigmoid(model.margin(*flat(seen), len(seen)), good[seen])
+    margins = np.array([model.margin(texts[i], np.zeros(len(texts[i]), np.int64), 1)[0] for i in seen])
+    slope, level = fit_sigmoid(margins, good[seen])
     return QualityModel(model.weight, model.square, bias, slope, level)
 
 
@@ -198,12 +198,12 @@ def fit_quality(insights: DataFrame, reviews: DataFrame, rows: int = SAMPLE_ROWS
 
     one = insights.select("insight_id", "detail").join(chosen, "insight_id").groupBy("insight_id", "_good").agg(F.min("detail").alias("detail"))
     found = one.mapInArrow(run, "insight_id bigint, good int, cells binary").collect()
-    found.sort(key=lambda r: r.insight_id)
-    unlike = {(bytes(r.cells), r.good): r for r in reversed(found)}
-    found = sorted(unlike.values(), key=lambda r: r.insight_id)
-    ids = np.array([r.insight_id for r in found], np.int64)
+    unlike: dict[tuple[bytes, int], int] = {}
+    for r in sorted(found, key=lambda r: r.insight_id):
+        unlike.setdefault((bytes(r.cells), r.good), r.insight_id)
+    ids = np.array(list(unlike.values()), np.int64)
     calibrates = A.mix(ids.view(np.uint64)) % np.uint64(CALIBRATION_SHARE) == 0 if len(ids) else np.zeros(0, bool)
-    return fit_model([np.frombuffer(r.cells, "<u4").astype(np.int64) for r in found], np.array([float(r.good > 0) for r in found]), calibrates)
+    return fit_model([np.frombuffer(cells, "<u4") for cells, _ in unlike], np.array([float(good > 0) for _, good in unlike]), calibrates)
 
 
 def score_quality(insights: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:

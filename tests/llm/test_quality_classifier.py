@@ -29,8 +29,7 @@ def test_ratios_and_descent_against_plain_statements():
     r = np.random.default_rng(4)
     good = (r.random(300) < 0.7).astype(float)
     texts = [np.unique(r.integers(0, 40, 12) + (20 if g else 0)) for g in good]
-    flat, owner = np.concatenate(texts), np.repeat(np.arange(300), [len(t) for t in texts])
-    ratio = Q.log_count_ratios(flat, owner, good)
+    ratio = Q.log_count_ratios(texts, good)
     up, down = Counter(), Counter()
     for t, g in zip(texts, good, strict=True):
         (up if g else down).update(t.tolist())
