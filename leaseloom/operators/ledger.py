@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leaseloom import schemas as S
@@ -29,6 +29,14 @@ def load_tally(T: Tables, issues: DataFrame) -> DataFrame:
     return facts.unionByName(total).unionByName(raised)
 
 
+def status_of_run() -> Column:
+    """The status of a run from its counts: files_seen, files_failed, errors, warnings."""
+    failed = F.col("files_failed")
+    return (
+        F.when((F.col("errors") > 0) | (failed > 0), F.when(failed == F.col("files_seen"), "failed").otherwise("partial"))
+        .when(F.col("warnings") > 0, "partial").otherwise("succeeded"))
+
+
 def run_status(files: DataFrame, issues: DataFrame) -> DataFrame:
     """`files`: run_id, failed (boolean), one row per file seen. Runs with no file seen and no issue
     are succeeded by definition and have no row."""
@@ -37,12 +45,7 @@ def run_status(files: DataFrame, issues: DataFrame) -> DataFrame:
         F.count_if(F.col("severity") == "error").alias("errors"),
         F.count_if(F.col("severity") == "warning").alias("warnings"))
     zero = {c: F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("files_seen", "files_failed", "errors", "warnings")}
-    failed = F.col("files_failed")
-    return seen.join(raised, "run_id", "full").select("run_id", *zero.values()).withColumn(
-        "status",
-        F.when((F.col("errors") > 0) | (failed > 0), F.when(failed == F.col("files_seen"), "failed").otherwise("partial"))
-        .when(F.col("warnings") > 0, "partial").otherwise("succeeded"),
-    )
+    return seen.join(raised, "run_id", "full").select("run_id", *zero.values()).withColumn("status", status_of_run())
 
 
 def golden_counts(T: Tables) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leaseloom import schemas as S
 from leaseloom.functions.scalars import is_occupied, percent, quadrant, ratio
 from leaseloom.operators.rollups import (
-    BOOK, LEASE, book_charges, book_code_charges, book_detail, book_spine, is_expiring,
+    BOOK, LEASE, book_charges, book_code_charges, book_detail, book_expirations, book_spine,
     lease_charge_rollup, with_category,
 )
 from leaseloom.operators.scan import cut, grouped_median_disc
@@ -53,16 +53,7 @@ def charge_mix(T: Tables) -> DataFrame:
 
 def expiration_schedule(T: Tables) -> DataFrame:
     """Occupied and notice leases by the month they expire in."""
-    return (
-        T.lease.filter(is_expiring())
-        .join(T.snapshot.select("snapshot_id", "as_of_date"), "snapshot_id")
-        .groupBy(*BOOK, F.trunc("lease_expiration", "MM").alias("expiry_month"))
-        .agg(
-            F.count(F.lit(1)).alias("expiring_leases"),
-            F.sum("charges_total").alias("charges_at_risk"),
-            F.count_if(F.col("lease_expiration") < F.col("as_of_date")).alias("holdover_mtm"),
-        )
-    )
+    return book_expirations(T)
 
 
 def loss_to_lease(T: Tables) -> DataFrame:

@@ -96,7 +96,7 @@ def _item(col_no: int, name: str):
         F.lit(col_no).alias("col_no"), k.alias("sub"), F.concat(F.lit(f"{name}["), k.cast("string"), F.lit("]")).alias("leaf"), v.cast("string").alias("raw"))
 
 
-def _entries(df: DataFrame) -> Column:
+def row_entries(df: DataFrame) -> Column:
     """The scalars of a row in column order, list items one by one; nulls and booleans are no figures."""
     parts = []
     for i, f in enumerate(x for x in df.schema.fields if x.name not in ("snapshot_id", "_i")):
@@ -115,11 +115,16 @@ PATH_ORDER = ["section_no", "i", "col_no", "sub"]
 
 def _paths(df: DataFrame, section_no: int, prefix: Column, i: Column) -> DataFrame:
     return df.select("snapshot_id", F.lit(section_no).alias("section_no"), i.cast("bigint").alias("i"), prefix.alias("_p"),
-                     F.explode(_entries(df)).alias("e")).select(
+                     F.explode(row_entries(df)).alias("e")).select(
         "snapshot_id", "section_no", "i", "e.col_no", "e.sub", F.concat("_p", "e.leaf").alias("path"), "e.raw",
         normalise_figure(F.col("e.raw")).alias("value"))
 
 
+def sort_lead(section: str, first: Column) -> Column:
+    """What the rows of a section that begin alike have in common: neither they nor these are sorted as a whole."""
+    return F.floor(first) if section == "matrix" else F.substring(first, 1, 3)
+
+
 def flatten_paths(sections: Mapping[str, DataFrame]) -> DataFrame:
     """Every scalar of the payload with its path, raw text and normalised value."""
     frames = [_paths(sections["dates"], 0, F.lit("$."), F.lit(0))]
@@ -128,9 +133,7 @@ def flatten_paths(sections: Mapping[str, DataFrame]) -> DataFrame:
         if not order:
             frames.append(_paths(df, no, F.lit(f"$.{name}."), F.lit(0)))
             continue
-        # a bucket is what begins alike, so neither the rows nor the buckets of a snapshot are sorted as a whole
-        lead = F.floor(order[0]) if name == "matrix" else F.substring(order[0], 1, 3)
-        indexed = two_level_row_number(df, ["snapshot_id"], {"_lead": lead}, [F.col(c) for c in order], "_i")
+        indexed = two_level_row_number(df, ["snapshot_id"], {"_lead": sort_lead(name, F.col(order[0]))}, [F.col(c) for c in order], "_i")
         at = F.col("_i") - 1
         frames.append(_paths(indexed, no, F.concat(F.lit(f"$.{name}["), at.cast("string"), F.lit("].")), at))
     last = len(SECTION_ORDER) + 1
@@ -254,9 +257,14 @@ def reduce_chunk(sections: Mapping[str, DataFrame], findings: DataFrame) -> Data
     return reduce(DataFrame.unionByName, parts)
 
 
+def frame_length(expected: Mapping[str, bool]) -> int:
+    """Characters of a document without what its parts hold."""
+    return 2 + sum(len(k) + 3 for k in expected) + len(expected) - 1 + 2 * sum(expected.values())
+
+
 def chunk_sizes(parts: DataFrame, expected: Mapping[str, bool]) -> DataFrame:
     """Length and token estimate of each chunk's document, from its parts' lengths alone."""
-    frame = 2 + sum(len(k) + 3 for k in expected) + len(expected) - 1 + 2 * sum(expected.values())
+    frame = frame_length(expected)
     per_part = parts.groupBy("snapshot_id", "chunk", "part", "is_list").agg(
         F.sum(F.length("json")).alias("_chars"), F.count(F.lit(1)).alias("_n"))
     length = F.sum(F.col("_chars") + F.when(F.col("is_list"), F.col("_n") - 1).otherwise(0)) + frame
@@ -269,17 +277,22 @@ def chunk_fit(sizes: DataFrame, num_ctx: int, headroom: float = 1.3) -> DataFram
     return sizes.withColumns({"needed": F.floor(need).cast("bigint"), "num_ctx": F.lit(num_ctx).cast("bigint"), "fits": need <= num_ctx})
 
 
-def assemble_chunks(parts: DataFrame, fit: DataFrame, expected: Mapping[str, bool]) -> DataFrame:
-    """One row for each chunk of `fit`: its document, or for a refused one a null document and the reason. A document's size is bounded
-    by the context it fits; the parts of a refused chunk are never gathered."""
-    kept = parts.join(fit.filter("fits").select("snapshot_id", "chunk"), ["snapshot_id", "chunk"])
-    text = kept.groupBy("snapshot_id", "chunk", "part").agg(
+def documents(parts: DataFrame, keys: list[str], expected: Mapping[str, bool]) -> DataFrame:
+    """One document for each of `keys`, which are known to fit a context."""
+    text = parts.groupBy(*keys, "part").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "json"))), lambda x: x["json"]), ",").alias("t"))
-    parts_of = text.groupBy("snapshot_id", "chunk").agg(F.map_from_entries(F.collect_list(F.struct("part", "t"))).alias("m"))
+    parts_of = text.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("part", "t"))).alias("m"))
     fields = []
     for key in sorted(expected):
         body = F.coalesce(F.col("m")[key], F.lit(""))
         fields.append(F.concat(F.lit(f'"{key}":['), body, F.lit("]")) if expected[key] else F.concat(F.lit(f'"{key}":'), body))
-    documents = parts_of.select("snapshot_id", "chunk", F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("document"))
+    return parts_of.select(*keys, F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("document"))
+
+
+def assemble_chunks(parts: DataFrame, fit: DataFrame, expected: Mapping[str, bool]) -> DataFrame:
+    """One row for each chunk of `fit`: its document, or for a refused one a null document and the reason. A document's size is bounded
+    by the context it fits; the parts of a refused chunk are never gathered (`pieces.split_documents` gives them in several documents)."""
+    kept = parts.join(fit.filter("fits").select("snapshot_id", "chunk"), ["snapshot_id", "chunk"])
+    made = documents(kept, ["snapshot_id", "chunk"], expected)
     reason = F.when(~F.col("fits"), F.format_string("needs a context of %d tokens, %d given", F.col("needed"), F.col("num_ctx")))
-    return fit.join(documents, ["snapshot_id", "chunk"], "left").select("snapshot_id", "chunk", "document", "needed", "num_ctx", reason.alias("reason"))
+    return fit.join(made, ["snapshot_id", "chunk"], "left").select("snapshot_id", "chunk", "document", "needed", "num_ctx", reason.alias("reason"))

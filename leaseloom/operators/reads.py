@@ -15,7 +15,7 @@ from leaseloom.operators import marts as M
 from leaseloom.operators.rollups import (
     BOOK, book_code_charges, book_spine, is_expiring, only,
 )
-from leaseloom.tables import Tables
+from leaseloom.tables import BY_SNAPSHOT, Tables
 
 KPI_SUMS = ("units", "occupied_units", "notice_units", "vacant_units", "non_revenue_units", "future_leases",
             "market_rent", "lease_charges", "square_feet", "balance")
@@ -26,8 +26,7 @@ def at(T: Tables, snapshot_id: int | None) -> Tables:
     """The bundle restricted to one snapshot."""
     if snapshot_id is None:
         return T
-    names = ("snapshot", "lease", "lease_charge", "summary_group", "charge_summary", "availability", "insight",
-             "insight_run")
+    names = ("snapshot", *BY_SNAPSHOT, "insight", "insight_run")
     return T.with_frames(**{n: only(getattr(T, n), snapshot_id) for n in names if getattr(T, n) is not None})
 
 

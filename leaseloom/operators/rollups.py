@@ -1,7 +1,8 @@
 """Shared aggregates: one pass over each fact, at lease grain and at book grain.
 
 A book is a (snapshot, property). Catalyst prunes the aggregate columns a caller does not select, so
-one wide definition serves every mart without computing what it does not need.
+one wide definition serves every mart without computing what it does not need. Where the aggregates are
+stored with the tables, they are read instead of the facts.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ def sum_if(cond: Column, value: str) -> Column:
 
 def book_detail(T: Tables) -> DataFrame:
     """Every lease-derived figure at book grain, in one pass over the leases."""
+    if T.book_detail is not None:
+        return T.book_detail
     status = F.col("occupancy_status")
     current, future = F.col("section") == "current", F.col("section") == "future"
     occupied, vacant = is_occupied(status), status == "vacant"
@@ -65,11 +68,52 @@ def book_detail(T: Tables) -> DataFrame:
 def book_code_charges(T: Tables) -> DataFrame:
     """Charge lines counted and summed per book, lease state and code; the only pass over the lines
     the book-grain marts make. The lines carry their lease's book and state, so no fact join."""
+    if T.book_code_charges is not None:
+        return T.book_code_charges
     return T.lease_charge.groupBy(*BOOK, "section", "occupancy_status", "charge_code").agg(
         F.count(F.lit(1)).alias("line_count"), F.sum("amount").alias("amount")
     )
 
 
+def book_expirations(T: Tables) -> DataFrame:
+    """Occupied and notice leases by the month they expire in."""
+    if T.book_expirations is not None:
+        return T.book_expirations
+    return _dated(T).filter(is_expiring()).groupBy(*BOOK, F.trunc("lease_expiration", "MM").alias("expiry_month")).agg(
+        F.count(F.lit(1)).alias("expiring_leases"),
+        F.sum("charges_total").alias("charges_at_risk"),
+        F.count_if(F.col("lease_expiration") < F.col("as_of_date")).alias("holdover_mtm"),
+    )
+
+
+def book_dates(T: Tables) -> DataFrame:
+    """Leases whose dates disagree with the report's, by book: held beyond their end, and moved out before it."""
+    if T.book_dates is not None:
+        return T.book_dates
+    day = F.col("as_of_date")
+    return _dated(T).groupBy(*BOOK).agg(
+        F.count_if(is_occupied(F.col("occupancy_status")) & (F.col("lease_expiration") < day)).alias("expired_held"),
+        F.count_if(F.col("move_out") < day).alias("moved_out"),
+    )
+
+
+def book_repeats(T: Tables) -> DataFrame:
+    """Lease and code pairs with several lines, by book."""
+    if T.book_repeats is not None:
+        return T.book_repeats
+    repeats = T.lease_charge.groupBy(*BOOK, "lease_id", "charge_code").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    return repeats.groupBy(*BOOK).agg(F.count(F.lit(1)).alias("blocks"))
+
+
+#: The aggregates that a load stores.
+ROLLUPS = {"book_detail": book_detail, "book_code_charges": book_code_charges, "book_expirations": book_expirations,
+           "book_dates": book_dates, "book_repeats": book_repeats}
+
+
+def _dated(T: Tables) -> DataFrame:
+    return T.lease.join(T.snapshot.select("snapshot_id", "as_of_date"), "snapshot_id")
+
+
 def with_category(df: DataFrame, T: Tables) -> DataFrame:
     return df.join(T.charge_code.select("charge_code", "category"), "charge_code")
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from leaseloom import schemas as S
 from leaseloom.functions.scalars import is_occupied
-from leaseloom.operators.rollups import BOOK, book_code_charges, book_detail
-from leaseloom.tables import Tables
+from leaseloom.operators.rollups import BOOK, book_code_charges, book_dates, book_detail, book_repeats
+from leaseloom.tables import BY_SNAPSHOT, Tables
 
 TOLERANCE = 0.01
 
@@ -22,8 +22,7 @@ def _within(df: DataFrame, snapshot_ids: Sequence[int] | None) -> DataFrame:
 
 
 def _scoped(T: Tables, snapshot_ids: Sequence[int] | None) -> Tables:
-    names = ("lease", "lease_charge", "summary_group", "charge_summary", "availability")
-    held = {n: getattr(T, n) for n in names if getattr(T, n) is not None}
+    held = {n: getattr(T, n) for n in BY_SNAPSHOT if getattr(T, n) is not None}
     return T.with_frames(**{n: _within(df, snapshot_ids) for n, df in held.items()})
 
 
@@ -124,45 +123,32 @@ def rule_availability_occupancy_split_vs_detail(T: Tables, snapshot_ids: Sequenc
     }, F.col("snapshot_id"))
 
 
-def _counted(T: Tables, hits: DataFrame, rule: str, name: str) -> DataFrame:
+def _counted(T: Tables, books: DataFrame, count: str, rule: str, name: str) -> DataFrame:
     """Informational counts per property, over all the snapshots given."""
-    per = hits.groupBy("property_id").agg(F.count(F.lit(1)).alias("n")).join(_codes(T), "property_id")
+    per = books.groupBy("property_id").agg(F.sum(count).alias("n")).filter(F.col("n") > 0).join(_codes(T), "property_id")
     return _emit(per, "info", rule, {"property_code": F.col("property_code"), name: F.col("n")})
 
 
-def _dated(T: Tables) -> DataFrame:
-    return T.lease.join(T.snapshot.select("snapshot_id", "as_of_date"), "snapshot_id")
-
-
 def rule_expired_lease_no_moveout(T: Tables, snapshot_ids: Sequence[int] | None = None) -> DataFrame:
-    T = _scoped(T, snapshot_ids)
-    hits = _dated(T).filter(
-        is_occupied(F.col("occupancy_status")) & (F.col("lease_expiration") < F.col("as_of_date")))
-    return _counted(T, hits, "expired_lease_no_moveout", "count")
+    return _counted(T, book_dates(_scoped(T, snapshot_ids)), "expired_held", "expired_lease_no_moveout", "count")
 
 
 def rule_moveout_before_asof(T: Tables, snapshot_ids: Sequence[int] | None = None) -> DataFrame:
-    T = _scoped(T, snapshot_ids)
-    return _counted(T, _dated(T).filter(F.col("move_out") < F.col("as_of_date")), "moveout_before_asof", "count")
+    return _counted(T, book_dates(_scoped(T, snapshot_ids)), "moved_out", "moveout_before_asof", "count")
 
 
 def rule_zero_unit_property(T: Tables, snapshot_ids: Sequence[int] | None = None) -> DataFrame:
     T = _scoped(T, snapshot_ids)
     idle = (
         _codes(T)
-        .join(T.lease.select("property_id").distinct(), "property_id", "left_anti")
+        .join(book_detail(T).select("property_id").distinct(), "property_id", "left_anti")
         .join(T.availability.select("property_id").distinct(), "property_id", "left_semi")
     )
     return _emit(idle, "info", "zero_unit_property", {"property_code": F.col("property_code")})
 
 
 def rule_duplicate_charge_code_in_block(T: Tables, snapshot_ids: Sequence[int] | None = None) -> DataFrame:
-    T = _scoped(T, snapshot_ids)
-    repeats = (
-        T.lease_charge.groupBy(*BOOK, "lease_id", "charge_code")
-        .agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-    )
-    return _counted(T, repeats, "duplicate_charge_code_in_block", "blocks_with_repeats")
+    return _counted(T, book_repeats(_scoped(T, snapshot_ids)), "blocks", "duplicate_charge_code_in_block", "blocks_with_repeats")
 
 
 RULES = {

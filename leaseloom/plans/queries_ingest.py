@@ -14,6 +14,7 @@ from leaseloom.operators import rules as V
 from leaseloom.plans.catalog import Context, register
 from leaseloom.sources import grids, sinks
 from leaseloom.sources.folders import shared_folder
+from leaseloom.sources.versions import Store
 
 # ---- report grammar ----------------------------------------------------------
 # Two faults are printed into the grids: ids of every 307th lease and areas of every 311th.
@@ -355,12 +356,14 @@ register("s4_csv_export_datasets", "dataset:s n:i", _export_sizes,
 
 def _replaced(c: Context) -> DataFrame:
     """Load every book, then reload every third book with its even leases only."""
-    out = shared_folder(c.spark)
-    kept = ("snapshot_id", "property_id", "lease_id", "market_rent")
-    sinks.bulk_write(c.T.lease.select(*kept), out, ("snapshot_id",))
+    store, kept = Store(c.spark, shared_folder(c.spark)), ("snapshot_id", "property_id", "lease_id", "market_rent")
+    days = [r.snapshot_id for r in c.T.snapshot.select("snapshot_id").collect()]
+    store.replace("lease", c.T.lease.select(*kept), days)
+    store.commit()
     reloaded = c.T.lease.filter("property_id % 3 = 0")
-    sinks.replace_scope(reloaded.filter("lease_id % 2 = 0").select(*kept), out, reloaded.select("snapshot_id", "property_id").distinct())
-    return c.spark.read.schema("snapshot_id int, property_id int, lease_id bigint, market_rent decimal(12,2)").parquet(out)
+    store.replace("lease", reloaded.filter("lease_id % 2 = 0").select(*kept), days, reloaded.select("snapshot_id", "property_id").distinct())
+    store.commit()
+    return Store(c.spark, store.path).read("lease")
 
 
 register("s7_replace_scope", "snapshot_id:i property_id:i lease_id:i market_rent:d", _replaced,

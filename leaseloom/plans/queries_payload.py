@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leaseloom.operators import evidence as E
 from leaseloom.operators import payload as P
+from leaseloom.operators import pieces
 from leaseloom.plans import driver_tables as D
 from leaseloom.plans.catalog import Context, register
 from leaseloom.plans.queries_marts import _INSIGHT_SQL, _RUNS_SQL
@@ -14,6 +15,7 @@ from leaseloom.plans.reviews import import_insights
 from leaseloom.sources import sinks
 from leaseloom.sources.folders import shared_folder
 from leaseloom.sources.grids import insight_source
+from leaseloom.sources.versions import Store, replace_snapshot_insights
 
 _SUMS = "units occupied_units vacant_units non_revenue_units future_leases market_rent lease_charges square_feet balance".split()
 
@@ -112,13 +114,6 @@ def _asset_documents(c: Context) -> DataFrame:
 
 
 register("i3_asset_documents", "snapshot_id:i chunk:s document:s needed:i num_ctx:i reason:s", _asset_documents)
-# `needed` is rounded down: a refused chunk may need num_ctx and a fraction
-register("i3_asset_document_verdicts", "snapshot_id:i chunk:s refused:i made:i num_ctx:i",
-         lambda c: _asset_documents(c).groupBy("snapshot_id", "chunk").agg(
-             F.count_if(F.col("document").isNull() & (F.col("needed") >= F.col("num_ctx")) & F.col("reason").isNotNull()).alias("refused"),
-             F.count_if(F.col("document").isNotNull() & (F.col("needed") <= F.col("num_ctx")) & F.col("reason").isNull()).alias("made"),
-             F.max("num_ctx").alias("num_ctx")),
-         "WITH " + _PATHS + "\n---\nSELECT snapshot_id, 'map:' || asset_key AS chunk, 0 AS refused, 1 AS made, 2000 AS num_ctx FROM asset")
 register("i4_positioning_chunks", "snapshot_id:i chunk:s capture:d units:i property_count:i as_of:s",
          lambda c: P.positioning_chunks(c.sections).select(
              "snapshot_id", "chunk", F.get_json_object("document", "$.property.revenue_capture_pct").alias("capture"), F.get_json_object("document", "$.property.units").alias("units"),
@@ -193,6 +188,67 @@ register("i6_chunk_fit", "snapshot_id:i chunk:s length:i tokens:i needed:i fits:
          lambda c: P.chunk_fit(P.chunk_sizes(P.asset_chunks(c.sections), P.ASSET_PARTS), num_ctx=1500).unionByName(
              P.chunk_fit(P.chunk_sizes(P.reduce_chunk(c.sections, _headlines(c)), P.REDUCE_PARTS), num_ctx=4096)),
          "WITH " + _PATHS + "\n---\n" + _fit_sql(_ASSET_LENGTHS, P.ASSET_PARTS, 1500) + " UNION ALL " + _fit_sql(_REDUCE_LENGTHS, P.REDUCE_PARTS, 4096))
+# `needed` is rounded down: a refused chunk may need num_ctx and a fraction
+register("i3_asset_document_verdicts", "snapshot_id:i chunk:s refused:i made:i num_ctx:i",
+         lambda c: _asset_documents(c).groupBy("snapshot_id", "chunk").agg(
+             F.count_if(F.col("document").isNull() & (F.col("needed") >= F.col("num_ctx")) & F.col("reason").isNotNull()).alias("refused"),
+             F.count_if(F.col("document").isNotNull() & (F.col("needed") <= F.col("num_ctx")) & F.col("reason").isNull()).alias("made"),
+             F.max("num_ctx").alias("num_ctx")),
+         "WITH " + _PATHS + "\n---\nSELECT snapshot_id, chunk, CAST(NOT fits AS INT) AS refused, CAST(fits AS INT) AS made, 2000 AS num_ctx FROM ("
+         + _fit_sql(_ASSET_LENGTHS, P.ASSET_PARTS, 2000) + ")")
+_POSITIONING_LENGTHS = (
+    f"SELECT m.snapshot_id, 'positioning:' || property_code AS chunk, {_json_length(SECTION_SQL['matrix'][2])} + c + {len('{"as_of":"YYYY-MM-DD","portfolio_context":,"property":}')} AS length FROM sec_matrix m"
+    f" JOIN (SELECT snapshot_id, {_json_length('property_count capture_threshold occupancy_threshold pct_occupied')} AS c FROM"
+    " (SELECT snapshot_id, count(*) AS property_count, max(capture_threshold) AS capture_threshold, max(occupancy_threshold) AS occupancy_threshold FROM sec_matrix GROUP BY 1)"
+    " JOIN (SELECT snapshot_id, pct_occupied FROM sec_portfolio) USING (snapshot_id)) USING (snapshot_id)")
+
+
+def _sized(parts: str, expected: dict[str, bool]) -> str:
+    return f"SELECT snapshot_id, chunk, CAST(sum(chars) AS BIGINT) + {_frame(expected)} AS length FROM ({parts}) GROUP BY 1, 2"
+
+
+register("i6_size_report", "snapshot_id:i kind:s chunk:s length:i tokens:i fits:b",
+         lambda c: pieces.size_report(P.asset_chunks(c.sections), P.positioning_chunks(c.sections), P.reduce_chunk(c.sections, _headlines(c)), num_ctx=1500),
+         "WITH " + _PATHS + "\n---\nSELECT *, string_split(chunk, ':')[1] AS kind, greatest(1, length // 4) AS tokens,"
+         " CAST(greatest(1, length // 4) AS DOUBLE) * CAST(1.3 AS DOUBLE) <= 1500 AS fits FROM ("
+         + f"{_sized(_ASSET_LENGTHS, P.ASSET_PARTS)} UNION ALL {_sized(_REDUCE_LENGTHS, P.REDUCE_PARTS)} UNION ALL {_POSITIONING_LENGTHS})")
+
+_SPLIT_AT = (2000, 700)
+_SEQ = {"properties": "property_code", "charge_mix": "property_code || '|' || category", "expirations": "property_code || '|' || expiry_month",
+        "loss_to_lease": "property_code", "reconciliation": "property_code"}
+
+
+def _split(c: Context) -> DataFrame:
+    """Every piece at two sizes, with the rows and characters of its document."""
+    parts, every = P.asset_chunks(c.sections), None
+    for num_ctx in _SPLIT_AT:
+        made = pieces.split_documents(parts, P.ASSET_PARTS, num_ctx)
+        rows = sum((F.coalesce(F.json_array_length(F.get_json_object("document", f"$.{name}")), F.lit(0)) for name in _SEQ), F.lit(0))
+        one = made.select("snapshot_id", "chunk", F.lit(num_ctx).alias("num_ctx"), "piece", "pieces", rows.alias("rows"), F.length("document").alias("length"))
+        every = one if every is None else every.unionByName(one)
+    return every
+
+
+def _split_sql(num_ctx: int) -> str:
+    """The pieces by a running sum: what fits is the most characters whose quarter, rounded down, times 1.3 is within the context."""
+    most = f"(4 * CAST(floor({num_ctx} / 1.3) AS BIGINT) + 3)"
+    rows = " UNION ALL ".join(
+        f"SELECT s.snapshot_id, 'map:' || ak AS chunk, '{n}' AS part, {seq} AS seq, {_json_length(SECTION_SQL[n][2])} AS chars FROM sec_{n} s"
+        " JOIN (SELECT property_code AS pc, asset_key AS ak FROM prop) ON pc = property_code" for n, seq in _SEQ.items())
+    single = _ASSET_LENGTHS[:_ASSET_LENGTHS.index(" UNION ALL SELECT s.snapshot_id")]
+    return f"""SELECT snapshot_id, chunk, {num_ctx} AS num_ctx, piece, max(piece) OVER (PARTITION BY snapshot_id, chunk) AS pieces, rows, length FROM (
+ SELECT snapshot_id, chunk, piece, count(*) AS rows, max(fixed) + sum(chars) + count(*) - count(DISTINCT part) AS length FROM (
+  SELECT *, dense_rank() OVER (PARTITION BY snapshot_id, chunk ORDER BY CASE WHEN whole THEN 0 ELSE begins // ({most} - fixed - longest) END) AS piece FROM (
+   SELECT *, fixed + sum(chars) OVER (PARTITION BY snapshot_id, chunk) + count(*) OVER (PARTITION BY snapshot_id, chunk) - kinds <= {most} AS whole FROM (
+    SELECT *, sum(chars + 1) OVER (PARTITION BY snapshot_id, chunk ORDER BY part, seq ROWS UNBOUNDED PRECEDING) - chars - 1 AS begins,
+           max(chars) OVER (PARTITION BY snapshot_id, chunk) AS longest
+    FROM ({rows}) JOIN (SELECT snapshot_id, chunk, sum(chars) + {_frame(P.ASSET_PARTS)} AS fixed FROM ({single}) GROUP BY 1, 2) USING (snapshot_id, chunk)
+         JOIN (SELECT snapshot_id, chunk, count(DISTINCT part) AS kinds FROM ({rows}) GROUP BY 1, 2) USING (snapshot_id, chunk))))
+ GROUP BY snapshot_id, chunk, piece)"""
+
+
+register("i3_split_documents", "snapshot_id:i chunk:s num_ctx:i piece:i pieces:i rows:i length:i", _split,
+         "WITH " + _PATHS + "\n---\n" + " UNION ALL ".join(_split_sql(n) for n in _SPLIT_AT))
 register("i7_flatten_paths", "snapshot_id:i path:s value:s", lambda c: c.paths, "WITH " + _PATHS + "\n---\nSELECT * FROM path")
 
 
@@ -354,12 +410,11 @@ register("s6_insight_rejects", "reason:s n:i",
 
 def _replaced_insights(c: Context) -> DataFrame:
     """Store every finding, then replace 1998's with those that survive the gate."""
-    out = shared_folder(c.spark)
-    kept = ("insight_id", "scope", "category", "snapshot_id")
-    sinks.bulk_write(_insights(c).select(*kept), out, ("snapshot_id",))
+    store, kept = Store(c.spark, shared_folder(c.spark)), ("insight_id", "scope", "category", "snapshot_id")
+    store.replace("insight", _insights(c).select(*kept), [r.snapshot_id for r in c.T.snapshot.select("snapshot_id").collect()])
+    store.commit()
     survivors = E.evidence_gate(E.normalise_target(_insights(c), *_targets(c)), c.paths, *_targets(c))[0]
-    sinks.replace_snapshot_insights(survivors.select(*kept), out, 1998)
-    return c.spark.read.schema("insight_id bigint, scope string, category string, snapshot_id int").parquet(out)
+    return replace_snapshot_insights(store, survivors.select(*kept), 1998)
 
 
 register("s8_replace_snapshot_insights", "insight_id:i snapshot_id:i category:s", _replaced_insights,

@@ -1,4 +1,4 @@
-"""Sinks and seeds: scoped replacement, bulk writes, mart materialisation, exports."""
+"""Sinks and seeds: bulk writes, mart materialisation, exports. Replacement is in `versions`."""
 
 from __future__ import annotations
 
@@ -8,11 +8,9 @@ from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from leaseloom import schemas as S
 from leaseloom.functions.scalars import canonical_json, is_concession
-from leaseloom.operators.scan import cut
 from leaseloom.sources.literals import literal_rows
 
 T = TypeVar("T")
@@ -28,7 +26,7 @@ def charge_code_seed(spark: SparkSession, existing: DataFrame | None = None) ->
     return existing.unionByName(seed.join(existing.select("charge_code"), "charge_code", "left_anti"))
 
 
-def _balanced(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def balanced(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Rows of one output partition together, split again where a partition is large and merged where
     it is small, so neither a hot partition nor a tiny one sets the file count."""
     return df.hint("rebalance", *keys) if keys else df
@@ -42,57 +40,10 @@ def side_by_side(jobs: Mapping[str, Callable[[], T]], at_once: int = 4) -> dict[
 
 
 def bulk_write(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    writer = _balanced(df, partition_by).write.mode("append")
+    writer = balanced(df, partition_by).write.mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def overwrite_partitions(df: DataFrame, path: str, keys: tuple[str, ...]) -> None:
-    """Overwrite exactly the partitions present in `df`."""
-    (
-        _balanced(df, keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*keys).parquet(path)
-    )
-
-
-def _drop_snapshots(spark: SparkSession, path: str, snapshot_ids: list[int]) -> None:
-    """Remove whole snapshot partitions; a dynamic overwrite leaves those it writes nothing to."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for snapshot_id in snapshot_ids:
-        target = jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot_id={snapshot_id}")
-        target.getFileSystem(conf).delete(target, True)
-
-
-def replace_scope(df: DataFrame, path: str, touched: DataFrame) -> None:
-    """Give the books in `touched` (snapshot_id, property_id) exactly the rows of `df`: rows that vanished
-    from a reloaded file go, also a book's last one; other books and snapshots stay.
-
-    The table is partitioned by snapshot only, which keeps the partition count at the number of report
-    dates; the untouched books of a touched snapshot are carried over."""
-    spark = df.sparkSession
-    schema = [f for f in df.schema if f.name != "snapshot_id"] + [df.schema["snapshot_id"]]
-    current = spark.read.schema(StructType(schema)).parquet(path)
-    # report dates, so never many; as literals they prune the partitions that are read
-    snapshots = [r.snapshot_id for r in touched.select("snapshot_id").distinct().collect()]
-    kept = current.filter(F.col("snapshot_id").isin(snapshots)).join(
-        touched.select("snapshot_id", "property_id"), ["snapshot_id", "property_id"], "left_anti")
-    # staged first: a table cannot be overwritten while it is read
-    staged = cut(df.unionByName(kept.select(*df.columns)))
-    left = {r.snapshot_id for r in staged.select("snapshot_id").distinct().collect()}
-    overwrite_partitions(staged, path, ("snapshot_id",))
-    _drop_snapshots(spark, path, [s for s in snapshots if s not in left])
-
-
-def replace_snapshot_insights(df: DataFrame, path: str, snapshot_id: int, allow_empty: bool = False) -> None:
-    """Replace one snapshot's insights wholesale; an empty replacement is refused unless allowed."""
-    rows = df.filter(F.col("snapshot_id") == snapshot_id)
-    if not rows.isEmpty():
-        overwrite_partitions(rows, path, ("snapshot_id",))
-    elif allow_empty:
-        _drop_snapshots(df.sparkSession, path, [snapshot_id])
-    else:
-        raise ValueError(f"no insight survived for snapshot {snapshot_id}; refusing to replace")
-
-
 def materialise_marts(marts: Mapping[str, Callable[[], DataFrame]], out: str) -> dict[str, str]:
     """Write each mart under `out`, in the order given (dependencies first), one folder per mart."""
     paths = {}

@@ -31,6 +31,20 @@ class Tables:
     audit: DataFrame | None = None
     insight: DataFrame | None = None
     insight_run: DataFrame | None = None
+    # stored aggregates of the two facts, by book (see `rollups`); what reads a book's figures takes them where they are there
+    book_detail: DataFrame | None = None
+    book_code_charges: DataFrame | None = None
+    book_expirations: DataFrame | None = None
+    book_dates: DataFrame | None = None
+    book_repeats: DataFrame | None = None
 
     def with_frames(self, **frames: DataFrame) -> "Tables":
-        return replace(self, **frames)
+        """The bundle with these frames. Aggregates of facts that change are dropped, unless they come along."""
+        stale = {"lease", "lease_charge"} & set(frames)
+        return replace(self, **((dict.fromkeys(STORED) if stale else {}) | frames))
+
+
+#: Stored aggregates, all of them keyed by snapshot and property.
+STORED = ("book_detail", "book_code_charges", "book_expirations", "book_dates", "book_repeats")
+#: Frames that hold a snapshot each row, so that one snapshot is a filter on all of them.
+BY_SNAPSHOT = ("lease", "lease_charge", "summary_group", "charge_summary", "availability", *STORED)

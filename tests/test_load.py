@@ -1,8 +1,7 @@
 """Grids in, star schema out: what is loaded is what was printed, and a reload replaces whole books."""
 
-from pathlib import Path
-
 import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from leaseloom import schemas as S
@@ -12,8 +11,10 @@ from leaseloom.operators import rules as V
 from leaseloom.operators.payload import payload_sections
 from leaseloom.plans import catalog
 from leaseloom.plans.load import load_reports
-from leaseloom.sources import sinks
+from leaseloom.plans.reviews import apply_review
 from leaseloom.sources.folders import shared_folder
+from leaseloom.sources.versions import Store
+from leaseloom.tables import STORED
 
 
 @pytest.fixture(scope="module")
@@ -65,15 +66,6 @@ def test_load_and_reload(spark, ctx):
     assert figures(third.tables) == after and third.tables.run.orderBy(F.desc("run_id")).first().files_loaded == 0
 
 
-def test_a_book_that_lost_every_row_is_emptied(spark):
-    out = shared_folder(spark)
-    rows = spark.createDataFrame([(1, 1, 10), (1, 2, 20), (2, 1, 30)], "snapshot_id int, property_id int, v int")
-    sinks.bulk_write(rows, out, ("snapshot_id",))
-    touched = spark.createDataFrame([(1, 2), (2, 1)], "snapshot_id int, property_id int")
-    sinks.replace_scope(rows.filter("false"), out, touched)
-    assert [r.v for r in spark.read.parquet(out).collect()] == [10]
-
-
 TITLE = {1: S.RENT_ROLL_TITLE}
 
 
@@ -124,13 +116,96 @@ def test_empty_facts_and_broken_files(spark):
     assert nothing.tables.lease.count() == 0 and nothing.tables.run.first().status == "succeeded"
 
 
-def test_a_reload_reads_only_the_snapshots_it_replaces(spark):
+FACTS = ("lease", "lease_charge", "summary_group", "charge_summary", "availability")
+
+
+def folders(df):
+    """The tables that a plan scans."""
+    return {f.rsplit("/version=", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
+
+
+def parts(out, name):
+    return set(Store(SparkSession.active(), out).tables[name]["parts"])
+
+
+@pytest.fixture(scope="module")
+def year(spark):
+    """A store of three months, two books each."""
+    out = shared_folder(spark)
+    files = {f"{code}{m}.xlsx": roll(m, f"{n}00.00", name=f"Court ({code})") for n, (m, code) in enumerate([(m, c) for m in ("01", "02", "03") for c in ("115r", "116a")], 1)}
+    files["116a03.xlsx"][7] |= {7: "PETFEEM"}
+    return out, load_reports(spark, sheet(spark, files), None, out)
+
+
+def test_reads_take_the_stored_aggregates(year):
+    T = year[1].tables
+    scanned = {
+        "totals": R.portfolio_totals(T), "table": R.property_table(T), "assets": R.asset_table(T), "expirations": R.portfolio_expirations(T, 20250228),
+        "mix": R.portfolio_charge_mix(T), "matrix": M.property_profitability(T), "bridge": M.revenue_bridge(T), "concentration": M.expiration_concentration(T),
+        # the findings of a snapshot are those of the files its leases came from
+        **{k: df for k, df in payload_sections(T, 20250228).items() if k != "data_quality"}, **{name: rule(T, [20250128]) for name, rule in V.RULES.items()}}
+    for name, df in scanned.items():
+        assert not folders(df) & {"lease", "lease_charge"}, name
+    # and give what the facts give
+    bare = T.with_frames(lease=T.lease)
+    assert bare.book_detail is None
+    for read in (R.portfolio_totals, R.property_table, R.portfolio_expirations, R.portfolio_charge_mix, M.revenue_bridge):
+        assert sorted(map(str, read(T).collect())) == sorted(map(str, read(bare).collect())) != []
+
+
+def test_a_reloaded_book_changes_its_own_rows(spark, year):
+    out, before = year
+    rows = lambda T, name: {str(r) for r in getattr(T, name).collect()}
+    old = {name: (rows(before.tables, name), parts(out, name)) for name in (*FACTS[:2], *STORED)}
+    changed = roll("02", "777.00", name="Court (115r)")
+    again = load_reports(spark, sheet(spark, {"115r02.xlsx": changed}), None, out)
+    for name, (had, folders_before) in old.items():
+        now = rows(again.tables, name)
+        gone = had - now
+        assert all("20250228" in r and "property_id=1" in r.replace("'", "") for r in gone | (now - had)), name
+        assert {p.split("/")[1] for p in folders_before - parts(out, name)} == {"snapshot_id=20250228"}
+    assert {float(r.lease_charges) for r in again.marts["property_snapshot_kpi"].filter("snapshot_id = 20250228 and property_code = '115r'").collect()} == {778.0}
+    # the tallies are those of the stored tables
+    run = again.tables.run.filter("run_id = 2").first()
+    assert (run.files_loaded, run.rows_loaded) == (1, 4)
+    assert before.tables.run.filter("run_id = 1").first().rows_loaded == sum(getattr(before.tables, n).count() for n in FACTS)
+
+
+def test_a_review_touches_the_snapshots_that_hold_the_code(spark, year):
+    out, _ = year
+    T = Store(spark, out).frames(year[1].tables)
+    before = {name: parts(out, f"mart/{name}") for name in ("charge_mix", "ancillary", "revenue_bridge", "property_snapshot_kpi")}
+    change = spark.createDataFrame([("PETFEEM", "parking", None, True, "n", "me", None)],
+                                   "charge_code string, category string, description string, verified boolean, note string, changed_by string, changed_at timestamp")
+    T, mix = apply_review(T, change, out)
+    for name, had in before.items():
+        moved = {p.split("/")[1] for p in had ^ parts(out, f"mart/{name}")}
+        assert moved == (set() if name == "property_snapshot_kpi" else {"snapshot_id=20250328"}), name
+    found = {(r.snapshot_id, r.category) for r in mix.filter("charge_code = 'PETFEEM'").collect()}
+    assert found == {(20250328, "parking")} == {(r.snapshot_id, r.category) for r in M.charge_mix(T).filter("charge_code = 'PETFEEM'").collect()}
+    assert T.audit.count() == 1
+    had = parts(out, "mart/charge_mix")
+    # no real change: an audit of no rows, and no mart is written
+    T, _ = apply_review(T, change, out)
+    assert T.audit.count() == 1 and parts(out, "mart/charge_mix") == had
+
+
+def test_a_load_that_dies_is_not_seen(spark, monkeypatch):
     out = shared_folder(spark)
-    rows = spark.createDataFrame([(s, p, s * p) for s in range(1, 6) for p in range(3)], "snapshot_id int, property_id int, v int")
-    sinks.bulk_write(rows, out, ("snapshot_id",))
-    stamps = {f: f.stat().st_mtime_ns for f in Path(out.removeprefix("file:")).rglob("*.parquet")}
-    touched = spark.createDataFrame([(2, 1)], "snapshot_id int, property_id int")
-    sinks.replace_scope(spark.createDataFrame([(2, 1, -1)], rows.schema), out, touched)
-    kept = {f for f in stamps if f.exists() and f.stat().st_mtime_ns == stamps[f]}
-    assert {f.parent.name for f in stamps if f not in kept} == {"snapshot_id=2"} and len(kept) >= 4
-    assert sorted(r.v for r in spark.read.parquet(out).filter("snapshot_id = 2").collect()) == [-1, 0, 4]
+    one = load_reports(spark, sheet(spark, {"jan.xlsx": roll("01", "900.00")}), None, out)
+    changed = sheet(spark, {"jan.xlsx": roll("01", "100.00"), "feb.xlsx": roll("02", "100.00")})
+
+    def die(self):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "commit", die)
+        with pytest.raises(RuntimeError, match="killed"):
+            load_reports(spark, changed, None, out)
+    T = Store(spark, out).frames(one.tables)
+    assert [float(r.lease_charges) for r in M.property_snapshot_kpi(T).collect()] == [901.0] and T.run.count() == 1 == T.snapshot.count()
+    # the next load does it all, and a book that it names anew is renamed in every stored mart
+    renamed = sheet(spark, {"feb.xlsx": roll("02", "100.00", name="New (115r)")})
+    done = load_reports(spark, renamed, None, out)
+    assert sorted(float(r.lease_charges) for r in M.property_snapshot_kpi(done.tables).collect()) == [101.0, 901.0] and done.tables.run.count() == 2
+    assert {r.property_name for r in done.marts["property_snapshot_kpi"].collect()} == {"New"}

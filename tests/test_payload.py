@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from leaseloom.operators import evidence as E
 from leaseloom.operators import payload as P
+from leaseloom.operators import pieces
 from leaseloom.plans import catalog, queries_payload  # noqa: F401
-from leaseloom.sources import sinks
 from leaseloom.sources.folders import shared_folder
+from leaseloom.sources.versions import Store, replace_snapshot_insights
 
 
 @pytest.fixture(scope="module")
@@ -98,10 +99,50 @@ def test_targets_and_evidence(spark, ctx):
 
 
 def test_empty_replacement_is_refused(spark):
-    out = shared_folder(spark)
+    store = Store(spark, shared_folder(spark))
     rows = spark.createDataFrame([(1, 1), (2, 2)], "insight_id bigint, snapshot_id int")
-    sinks.bulk_write(rows, out, ("snapshot_id",))
-    with pytest.raises(ValueError):
-        sinks.replace_snapshot_insights(rows.filter("false"), out, 1)
-    sinks.replace_snapshot_insights(rows.filter("false"), out, 1, allow_empty=True)
-    assert [r.insight_id for r in spark.read.parquet(out).collect()] == [2]
+    store.replace("insight", rows, [1, 2])
+    store.commit()
+    with pytest.raises(ValueError, match="refusing"):
+        replace_snapshot_insights(store, rows.filter("false"), 1)
+    assert Store(spark, store.path).read("insight").count() == 2
+    replace_snapshot_insights(store, rows.filter("false"), 1, allow_empty=True)
+    assert [r.insight_id for r in Store(spark, store.path).read("insight").collect()] == [2]
+
+
+@pytest.mark.parametrize("num_ctx", [700, 2000, 10**6])
+def test_pieces_hold_every_row_once_and_fit(ctx, num_ctx):
+    parts = P.asset_chunks(ctx.sections)
+    made = pieces.split_documents(parts, P.ASSET_PARTS, num_ctx).collect()
+    whole = {(r.snapshot_id, r.chunk): json.loads(r.document)
+             for r in P.assemble_chunks(parts, P.chunk_fit(P.chunk_sizes(parts, P.ASSET_PARTS), num_ctx=10**6), P.ASSET_PARTS).collect()}
+    by_chunk = {}
+    for r in sorted(made, key=lambda r: (r.snapshot_id, r.chunk, r.piece)):
+        assert r.reason is None and r.tokens == max(1, len(r.document) // 4) and r.tokens * 1.3 <= num_ctx
+        by_chunk.setdefault((r.snapshot_id, r.chunk), []).append(json.loads(r.document))
+        assert r.piece == len(by_chunk[r.snapshot_id, r.chunk])
+    assert by_chunk.keys() == whole.keys()
+    assert (max(map(len, by_chunk.values())) > 1) == (num_ctx < 10**6)
+    for key, documents in by_chunk.items():
+        for name, is_list in P.ASSET_PARTS.items():
+            if is_list:
+                assert [x for d in documents for x in d[name]] == whole[key][name]
+            else:
+                assert all(d[name] == whole[key][name] for d in documents)
+        assert len(documents) == 1 or all(any(d[n] for n, is_list in P.ASSET_PARTS.items() if is_list) for d in documents)
+
+
+def test_long_rows_leave_no_empty_piece_and_too_long_ones_are_named(spark):
+    row = lambda chunk, part, is_list, seq, size: (1, chunk, part, is_list, seq, "x" * size)
+    expected = {"a": False, "l": True}
+    rows = [row("c", "a", False, "", 10)] + [row("c", "l", True, f"{k:04d}", 5 + 150 * (k % 7 == 0)) for k in range(100)]
+    rows += [row("d", "a", False, "", 10), row("d", "l", True, "1", 500), row("e", "a", False, "", 900), row("f", "a", False, "", 3)]
+    parts = spark.createDataFrame(rows, "snapshot_id int, chunk string, part string, is_list boolean, seq string, json string")
+    assert pieces.longest_document(130) == 403
+    got = pieces.split_documents(parts, expected, 130).collect()
+    c = sorted((r.piece, r.pieces, r.document) for r in got if r.chunk == "c")
+    assert [p for p, _, _ in c] == list(range(1, len(c) + 1)) and {n for _, n, _ in c} == {len(c)} and all(len(d) <= 403 for _, _, d in c)
+    assert sum(d.count("x") for _, _, d in c) == sum(len(r[5]) for r in rows if r[1] == "c") + 10 * (len(c) - 1)
+    assert {(r.chunk, r.document, r.pieces) for r in got if r.reason} == {("d", None, 0), ("e", None, 0)}
+    assert [(r.piece, r.document) for r in got if r.chunk == "f"] == [(1, '{"a":xxx,"l":[]}')]
+    assert pieces.split_documents(parts.limit(0), expected, 130).collect() == []
