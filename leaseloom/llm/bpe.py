@@ -9,6 +9,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from leaseloom.llm import text_arrays as A
 REMEMBERED = 150_000
 #: Bytes of a piece that is remembered apart from its word.
 SHORT = 6
+#: Parts of a piece from which on the best pair is taken from a heap.
+LONG = 300
 PIECE_BYTES = 512 << 10
 OUT = "insight_id bigint, token_ids array<int>"
 
@@ -99,6 +102,8 @@ class BytePairs:
         parts = [self.characters[b] for b in piece]
         if last:
             parts[-1] += self.end
+        if len(parts) > LONG:
+            return [self.vocabulary[p] for p in self._merged(parts)]
         rank, never = self.merges.get, len(self.merges)
         ranks = [rank(pair, never) for pair in zip(parts, parts[1:], strict=False)]
         while ranks:
@@ -120,6 +125,31 @@ class BytePairs:
             self.pieces[piece, last] = ids
         return ids
 
+    def _merged(self, parts: list[str]) -> list[str]:
+        """The same merges in the same order, the best pair from a heap and the parts in a linked list: a long piece costs n log n."""
+        rank, n = self.merges.get, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, k) for k in range(n - 1) if (r := rank((parts[k], parts[k + 1]))) is not None]
+        heapify(heap)
+        gone = bytearray(n)
+        while heap:
+            best, k = heappop(heap)
+            second = after[k]
+            # a pair that one of its parts has left since
+            if gone[k] or second == n or rank((parts[k], parts[second])) != best:
+                continue
+            parts[k] += parts[second]
+            gone[second] = 1
+            third = after[k] = after[second]
+            if third < n:
+                before[third] = k
+                if (r := rank((parts[k], parts[third]))) is not None:
+                    heappush(heap, (r, k))
+            first = before[k]
+            if first >= 0 and (r := rank((parts[first], parts[k]))) is not None:
+                heappush(heap, (r, first))
+        return [part for part, is_gone in zip(parts, gone, strict=True) if not is_gone]
+
     @property
     def names(self) -> np.ndarray:
         out = np.full(max(self.tokens) + 1, "", object)

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -29,6 +30,17 @@ def test_encoding_and_decoding_are_those_of_the_library():
     assert bpe.decoded(pa.array(ids, pa.list_(pa.int32())), WORDS).to_pylist() == [library.decode(i, skip_special_tokens=False) for i in ids]
 
 
+def test_long_words_are_encoded_as_the_library_does_and_in_time():
+    pairs, library = bpe.BytePairs(WORDS), Tokenizer.from_file(WORDS)
+    r = random.Random(3)
+    letters = "".join(r.choice("etaoinshrdlu") for _ in range(200_000))
+    for text in ("".join(r.choice("acgt") for _ in range(40_000)), letters[:30_000], "ab" * 5_000, "x" * 301, letters[:bpe.LONG + 1]):
+        assert np.frombuffer(pairs.encode(text), np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
+    begin = time.process_time()
+    pairs.encode(letters)
+    assert time.process_time() - begin < 10
+
+
 def test_cuts_never_part_a_token():
     pairs = bpe.BytePairs(WORDS)
     assert not pairs.inside.all() and pairs.inside[ord("t"), ord("h")]
