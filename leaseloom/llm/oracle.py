@@ -38,7 +38,7 @@ dx AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS s
 hit AS (SELECT dx.doc_id, dx.k, dx.n, win.item_id FROM dx JOIN win USING (n, s)),
 words AS (SELECT doc_id, count(DISTINCT k + j) AS n_hit FROM hit, unnest(range(0, n)) AS t(j) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-          FROM (SELECT DISTINCT doc_id, item_id::varchar AS item FROM hit) GROUP BY doc_id)
+          FROM (SELECT DISTINCT doc_id, item_id::varchar AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
@@ -141,26 +141,59 @@ FROM a{rounds} AS a JOIN e ON e.c = a.best.c JOIN c{rounds} AS f ON f.c = a.best
 """
 
 
-def license_scans(templates: str, slack: int, least_share: float) -> str:
-    """`templates`: SQL values (template, label, base, words)."""
-    return f"""
-WITH t(template, label, base, w) AS (SELECT a, b, c, string_split(d, ' ') FROM (VALUES {templates}) AS v(a, b, c, d)),
+# ---- fixed values: phrases and notices (words, label, whether a base phrase), and the words that name a label's license ----
+_TEMPLATES = (
+    ("mit license", "mit", True), ("apache license", "apache", True), ("general public license", "gpl", True),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit", False),
+    ("released under the mit license", "mit", False),
+    ("licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache-2.0", False),
+    ("licensed under the apache license version 2 0", "apache-2.0", False),
+    ("you can redistribute it and or modify it under the terms of the gnu general public license", "gpl", False),
+    ("licensed under the gnu general public license version 3", "gpl-3.0", False),
+    ("licensed under the gnu general public license version 2", "gpl-2.0", False),
+    ("licensed under the gnu lesser general public license", "lgpl", False),
+    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", False),
+    ("licensed under cc by nc 4 0", "cc-by-nc-4.0", False), ("licensed under cc by sa 4 0", "cc-by-sa-4.0", False), ("licensed under cc by 4 0", "cc-by-4.0", False),
+    ("this source code form is subject to the terms of the mozilla public license", "mpl", False),
+    ("all rights reserved no part of this publication may be reproduced", "proprietary", False), ("all rights reserved", "proprietary", False),
+)
+_NAMING = (
+    ("mit", "mit license"), ("mit", "hereby granted"), ("apache-2.0", "apache license"), ("apache-2.0", "2 0"), ("gpl", "gnu general public license"),
+    ("gpl-3.0", "gnu general public license"), ("gpl-3.0", "version 3"), ("gpl-2.0", "gnu general public license"), ("gpl-2.0", "version 2"),
+    ("lgpl", "gnu lesser general public license"), ("bsd", "are permitted"), ("cc-by-nc-4.0", "cc by nc 4 0"), ("cc-by-sa-4.0", "cc by sa 4 0"),
+    ("cc-by-4.0", "cc by 4 0"), ("mpl", "mozilla public license"), ("proprietary", "all rights reserved"),
+)
+_TEMPLATE_ROWS = ", ".join(f"({k}, '{label}', {base}, '{text}')" for k, (text, label, base) in enumerate(_TEMPLATES))
+_NAMING_ROWS = ", ".join(f"('{label}', '{text}')" for label, text in _NAMING)
+_DENY = "lambda x: x IN ('not', 'never', 'cannot', 'no')"
+
+# words 2 apart at most belong to one passage; nine tenths of the pairs, or one edit, and nothing that names the license missing or denied
+LICENSE_SCANS = f"""
+WITH t(template, label, base, w) AS (SELECT a, b, c, string_split(d, ' ') FROM (VALUES {_TEMPLATE_ROWS}) AS v(a, b, c, d)),
+naming(label, n) AS (SELECT a, string_split(b, ' ') FROM (VALUES {_NAMING_ROWS}) AS v(a, b)),
+needed AS (SELECT template, list_distinct(flatten(list(range(k - 1, k + len(n) - 2)))) AS needed FROM t JOIN naming USING (label), unnest(range(1, len(w) - len(n) + 2)) AS u(k)
+           WHERE w[k:k + len(n) - 1] = n GROUP BY template),
 tg AS (SELECT template, label, base, len(w) - 1 AS grams, k - 1 AS spot, w[k] || ' ' || w[k + 1] AS g FROM t, unnest(range(1, len(w))) AS u(k)),
-d AS (SELECT doc_id, regexp_extract_all({_low('text')}, '{_LETTERS}') AS w FROM documents),
-dg AS (SELECT doc_id, k - 1 AS place, w[k] || ' ' || w[k + 1] AS g FROM d, unnest(range(1, greatest(len(w), 1))) AS u(k)),
-hit AS (SELECT doc_id, template, label, base, grams, place - spot AS diagonal, list(DISTINCT spot) AS ats, min(place) AS low, max(place) AS high
-        FROM dg JOIN tg USING (g) GROUP BY doc_id, template, label, base, grams, place - spot),
-near AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER o > {slack} OR low - lag(high) OVER o > grams + {slack}, true) AS far
-         FROM hit WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-numbered AS (SELECT *, sum(far::int) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS passage FROM near),
-passages AS (SELECT doc_id, template, label, base, grams, passage, len(list_distinct(flatten(list(ats)))) / grams AS share,
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_low('text')}, '{_LETTERS}') AS w FROM documents),
+dg AS (SELECT r, k - 1 AS place, w[k] || ' ' || w[k + 1] AS g FROM d, unnest(range(1, greatest(len(w), 1))) AS u(k)),
+hit AS (SELECT r, template, label, base, grams, place - spot AS diagonal, list(DISTINCT spot) AS ats, min(place) AS low, max(place) AS high
+        FROM dg JOIN tg USING (g) GROUP BY r, template, label, base, grams, place - spot),
+near AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER o > 2 OR low - lag(high) OVER o > grams + 2, true) AS far
+         FROM hit WINDOW o AS (PARTITION BY r, template ORDER BY diagonal)),
+numbered AS (SELECT *, sum(far::int) OVER (PARTITION BY r, template ORDER BY diagonal) AS passage FROM near),
+passages AS (SELECT r, template, label, base, grams, passage, list_distinct(flatten(list(ats))) AS found, min(low) AS low, max(high) AS high,
                     count(*) FILTER (len(ats) = grams) AS places, min(diagonal) FILTER (len(ats) = grams) AS first_place,
-                    max(diagonal) FILTER (len(ats) = grams) AS last_place FROM numbered GROUP BY doc_id, template, label, base, grams, passage),
-judged AS (SELECT doc_id, sum(places) FILTER (base) AS n_base, min(first_place) FILTER (base) AS first_word, max(last_place) FILTER (base) AS last_word,
+                    max(diagonal) FILTER (len(ats) = grams) AS last_place FROM numbered GROUP BY r, template, label, base, grams, passage),
+missing AS (SELECT p.*, len(found) / grams AS share, list_filter(range(0, grams), lambda x: NOT list_contains(found, x)) AS missed, coalesce(needed, []) AS needed,
+                   len(list_filter(d.w[greatest(low - 1, 1):high + 2 + (NOT list_contains(found, grams - 1))::int], {_DENY})) AS denied,
+                   len(list_filter(t.w[list_min(found) + 1:list_max(found) + 2 + (NOT list_contains(found, grams - 1))::int], {_DENY})) AS own
+            FROM passages AS p JOIN d USING (r) JOIN t USING (template) LEFT JOIN needed USING (template)),
+meant AS (SELECT *, (share >= 0.9 OR len(missed) = 1 OR (len(missed) = 2 AND missed[2] - missed[1] = 1)) AND NOT list_has_any(missed, needed) AND denied <= own AS counts FROM missing),
+judged AS (SELECT r, sum(places) FILTER (base) AS n_base, min(first_place) FILTER (base) AS first_word, max(last_place) FILTER (base) AS last_word,
                   array_to_string(list_sort(list(DISTINCT label) FILTER (base AND places > 0)), ',') AS base_labels,
-                  array_to_string(list_sort(list(DISTINCT label) FILTER (CASE WHEN base THEN places > 0 ELSE share >= {least_share} END)), ',') AS labels,
-                  max(share) AS score FROM passages GROUP BY doc_id)
+                  array_to_string(list_sort(list(DISTINCT label) FILTER (CASE WHEN base THEN places > 0 ELSE counts END)), ',') AS labels,
+                  max(share) AS score FROM meant GROUP BY r)
 SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_base, 0)::bigint AS n_base, first_word::bigint AS first_word, last_word::bigint AS last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::double AS score
-FROM d LEFT JOIN judged USING (doc_id)
+FROM d LEFT JOIN judged USING (r)
 """

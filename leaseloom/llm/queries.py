@@ -156,17 +156,12 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_profiles(profiles, width=64).drop("compared").withColumnRenamed("profile_id", "vec_id")
 
 
-def _license_templates() -> str:
-    every = [(*t, True) for t in license_scan.BASE] + [(*t, False) for t in license_scan.NOTICES]
-    return ", ".join(f"({k}, '{label}', {base}, '{text}')" for k, (text, label, base) in enumerate(every))
-
-
 ORACLE_SQL |= {
     "op1_suffix_array_dedup": oracle.SUFFIX_DEDUP,
     "op3_benchmark_decontamination": oracle.DECONTAMINATION,
     "op5_minhash_near_dedup": oracle.NEAR_DEDUP,
     "op6_url_filters": oracle.URL_FILTERS,
-    "op7_license_scans": oracle.license_scans(_license_templates(), license_scan.SLACK_WORDS, license_scan.LEAST_SHARE),
+    "op7_license_scans": oracle.LICENSE_SCANS,
     "op8_chat_formatting": oracle.CHAT_FORMATTING,
     "op12_ranked_lexical_search": oracle.LEXICAL_SEARCH,
     "op13_centroid_clustering": oracle.centroids(),
