@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from leaseloom.llm import text_arrays as A
 from leaseloom.llm.fm_index import FMIndex
+from leaseloom.llm.staging import Work, set_aside
 
 #: Words of a window, and held-out bytes looked up at once: more are taken in blocks of about that size, one pass after the other.
 WINDOW_WORDS = 10
@@ -25,7 +26,7 @@ _NAMES = ["_held_words", "_held_spans", "_held_items"]
 class Windows:
     """The distinct windows of a block of held-out texts as rows of word numbers, and the items that each belongs to."""
 
-    def __init__(self, items: list[tuple[str, str | None]], length: int = WINDOW_WORDS):
+    def __init__(self, items: list[tuple[str | None, str | None]], length: int = WINDOW_WORDS):
         data, offsets = A.utf8(pa.array([text for _, text in items], pa.large_string()))
         w = A.words(data, offsets, A.WORD)
         self.length = length
@@ -46,7 +47,7 @@ class Windows:
         self.patterns, which = np.unique(every, axis=0, return_inverse=True)
         self.items: list[list[str]] = [[] for _ in self.patterns]
         for row, item_id in zip(which.reshape(-1), owners, strict=True):
-            if not self.items[row] or self.items[row][-1] != item_id:
+            if item_id is not None and (not self.items[row] or self.items[row][-1] != item_id):
                 self.items[row].append(item_id)
         self.lengths = (self.patterns >= 0).sum(1)
 
@@ -115,24 +116,29 @@ def _scan(windows: Windows, first: bool, cut: bool = False):
 
 def _blocks(held_out: DataFrame, window_words: int, block_bytes: int) -> Iterator[tuple[int, Windows]]:
     """How many blocks are still to come, and the windows of each block, collected one after the other."""
-    held_out = held_out.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    held_out = held_out.select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = held_out.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = max(1, math.ceil(total / block_bytes))
     for k in range(blocks):
         block = held_out.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else held_out
-        yield blocks - 1 - k, Windows(sorted((r.item_id, r.text) for r in block.filter("text is not null").collect()), window_words)
+        yield blocks - 1 - k, Windows(
+            sorted(((r.item_id, r.text) for r in block.filter("text is not null").collect()), key=lambda r: (r[0] or "", r[1])), window_words)
 
 
 def _found(insights: DataFrame, held_out: DataFrame, window_words: int, block_bytes: int, cut: bool = False) -> DataFrame:
     """The insights with _FOUND: one pass for each block of the held-out texts, one after the other over the same rows. With `cut` and only
     one block, the insights without what it finds, in the same pass."""
-    frame = insights.drop(*_NAMES)
+    work, frame = Work(insights.sparkSession), insights
     plain = frame.schema
     schema = StructType([*plain.fields, *StructType.fromDDL(_FOUND).fields])
     for k, (more, windows) in enumerate(_blocks(held_out, window_words, block_bytes)):
         if cut and not k and not more:
             return frame.mapInArrow(_scan(windows, True, cut=True), plain)
         frame = frame.mapInArrow(_scan(windows, k == 0), schema)
+        if more:
+            # stored before the next block is looked up, so that a task holds one block's windows whatever their number
+            frame = work.kept(f"block_{k}", frame)
+            work.delete(f"block_{k - 1}")
     return frame.withColumn("_held_spans", merged_spans(F.col("_held_spans"))) if k else frame
 
 
@@ -142,9 +148,11 @@ def find_held_out(insights: DataFrame, held_out: DataFrame, window_words: int =
     Words are lower-cased runs of ASCII letters and digits and of everything beyond ASCII. A window is `window_words` consecutive
     words of an item, or all of them if it has fewer; an item without words has none. Gives one row per insight: insight_id, detail,
     n_words, spans (merged stretches of hit words, first and last counted from 0) and items (sorted distinct ids of items with an
-    occurring window). A null detail or text has no words; a null item_id is left out; repeated rows are judged alike.
+    occurring window). A null detail or text has no words; the text of a null item_id
+    counts too, its id does not; repeated rows are judged alike.
 
-    The held-out texts are taken in blocks of about `block_bytes`, so what a task holds of them does not grow."""
+    The held-out texts are taken in blocks of about `block_bytes`, one pass each over the rows as the pass before stored them, so what a task
+    or the driver holds of them does not grow."""
     return _found(insights.select("insight_id", "detail"), held_out, window_words, block_bytes).select(
         "insight_id", "detail", *(F.col(c).alias(name) for c, name in zip(_NAMES, ("n_words", "spans", "items"), strict=True)))
 
@@ -184,5 +192,7 @@ def without_held_out(insights: DataFrame, held_out: DataFrame, window_words: int
             others = [c for c in b.schema.names if c not in _NAMES]
             yield pa.RecordBatch.from_arrays([detail if c == "detail" else b.column(c) for c in others], others)
 
-    found = _found(insights, held_out, window_words, block_bytes, cut=True)
-    return found.mapInArrow(run, insights.drop(*_NAMES).schema) if set(_NAMES) <= set(found.columns) else found
+    plain, back = set_aside(insights, set(_NAMES))
+    found = _found(plain, held_out, window_words, block_bytes, cut=True)
+    whole = found.mapInArrow(run, plain.schema) if set(_NAMES) <= set(found.columns) else found
+    return whole.withColumnsRenamed(back)

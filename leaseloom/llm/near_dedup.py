@@ -20,7 +20,7 @@ from leaseloom.llm import shingles as H
 from leaseloom.llm import slices as S
 from leaseloom.llm import text_arrays as A
 from leaseloom.llm.components import connected_components
-from leaseloom.llm.staging import Work
+from leaseloom.llm.staging import Work, set_aside
 
 #: Links need an intersection of at least so many hundredths of the union.
 LEAST_PERCENT = 80
@@ -269,12 +269,13 @@ def one_of_each(insights: DataFrame, least_percent: int = LEAST_PERCENT, outside
             key = pa.array([k if n else None for k, n in zip(_binaries(H.set_keys(hashes, offsets)).to_pylist(), np.diff(offsets), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, key], [*b.schema.names, "_set_key"])
 
+    insights, back = set_aside(insights, {"_set_key", "_place"})
     own = insights.columns
     keyed = insights.mapInArrow(run, StructType([*insights.schema.fields, StructField("_set_key", BinaryType())])).withColumn(
         "_place", F.coalesce("insight_id", F.lit(LAST_ID)))
     first = result.filter("is_first").select(F.col("set_key").alias("_set_key"), F.col("smallest").alias("_place"))
     chosen = keyed.join(first, ["_set_key", "_place"], "left_semi").dropDuplicates(["_set_key", "_place"])
-    return chosen.unionByName(keyed.filter("_set_key is null")).select(*own)
+    return chosen.unionByName(keyed.filter("_set_key is null")).select(*own).withColumnsRenamed(back)
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

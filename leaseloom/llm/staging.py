@@ -31,3 +31,16 @@ class Work:
     def stored(self, name: str, df: DataFrame) -> DataFrame:
         self.names.append(name)
         return self.kept(name, df)
+
+
+def set_aside(df: DataFrame, names: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with its columns of these names under others, so that an operator can use the names, and the names they had."""
+    taken, aside = set(df.columns) | names, {}
+    for column in df.columns:
+        if column in names:
+            free = f"{column}_"
+            while free in taken:
+                free += "_"
+            taken.add(free)
+            aside[column] = free
+    return df.withColumnsRenamed(aside), {free: column for column, free in aside.items()}

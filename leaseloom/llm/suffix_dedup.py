@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from leaseloom.llm import slices as S
 from leaseloom.llm import text_arrays as A
-from leaseloom.llm.staging import Work
+from leaseloom.llm.staging import Work, set_aside
 from leaseloom.llm.suffix_array import common_prefixes, packed_bytes, suffix_array
 
 MIN_BYTES = 50
@@ -248,6 +248,10 @@ def _judge(size: int, with_text: bool):
     return run
 
 
+#: What a row has beside its own columns while it is judged.
+_WORK_COLUMNS = {"_order", "_text", "text_key", "first_id", *(c.split()[0] for c in RESULT.split(", ")), "kept"}
+
+
 def _judged(insights: DataFrame, min_bytes: int, gram_bytes: int, shard_bytes: int, with_text: bool) -> tuple[DataFrame, Column]:
     """The rows with what became of their text (RESULT; the detail itself left out), and which of them are later copies of a whole text."""
     spark = insights.sparkSession
@@ -286,6 +290,6 @@ def repeated_passages(insights: DataFrame, min_bytes: int = MIN_BYTES, gram_byte
 def without_repeats(insights: DataFrame, min_bytes: int = MIN_BYTES, gram_bytes: int = GRAM_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The rows of `insights` (insight_id, detail and any other columns) without those bytes; what is left of a character that was cut
     through goes too, and a null detail comes back empty. No row goes."""
-    own = insights.columns
-    rows, copy = _judged(insights, min_bytes, gram_bytes, shard_bytes, True)
-    return rows.withColumn("detail", F.when(copy, F.lit("")).otherwise(F.col("kept"))).select(*own)
+    plain, back = set_aside(insights, _WORK_COLUMNS)
+    rows, copy = _judged(plain, min_bytes, gram_bytes, shard_bytes, True)
+    return rows.withColumn("detail", F.when(copy, F.lit("")).otherwise(F.col("kept"))).select(*plain.columns).withColumnsRenamed(back)

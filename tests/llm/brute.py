@@ -76,7 +76,7 @@ def held_out_hits(rows, items, size=10):
     for item_id, text in items:
         w = WORD.findall(lower(text))
         for x in ([tuple(w[k:k + size]) for k in range(len(w) - size + 1)] if len(w) >= size else [tuple(w)] if w else []):
-            windows.setdefault(x, set()).add(str(item_id))
+            windows.setdefault(x, set()).update([] if item_id is None else [str(item_id)])
     out = []
     for i, text in rows:
         w = WORD.findall(lower(text))
@@ -84,7 +84,7 @@ def held_out_hits(rows, items, size=10):
         for length in {len(x) for x in windows}:
             for k in range(len(w) - length + 1):
                 ids = windows.get(tuple(w[k:k + length]))
-                if ids:
+                if ids is not None:
                     hit.update(range(k, k + length))
                     found |= ids
         out.append((i, len(w), sorted(hit), sorted(found)))

@@ -38,6 +38,14 @@ def test_one_of_each(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(0, "h", "a b c d e f"), (5, "h", ""), (5, "h", None), (8, "h", "z")], key=str)
 
 
+def test_the_callers_columns_come_back_whatever_they_are_called(spark):
+    names = ["_set_key", "_place", "set_key", "smallest", "is_first", "place", "_place_"]
+    rows = [(1, "a b c d e f", *names), (0, "a b c d e f", *names), (5, "", *names)]
+    df = spark.createDataFrame(rows, f"insight_id bigint, detail string, {', '.join(f'{n} string' for n in names)}")
+    out = N.one_of_each(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == sorted(rows[1:])
+
+
 def test_signatures_lose_no_link():
     assert N.least_matches(85) == 80 and N.least_matches(100) == 128
 

@@ -53,6 +53,14 @@ def test_rows_without_repeats(spark):
     assert sorted(map(tuple, out.collect())) == [(1, "p", "a" * 60), (2, "q", "b"), (3, "r", ""), (4, "s", "é" * 40), (5, "t", "ü")]
 
 
+def test_the_callers_columns_come_back_whatever_they_are_called(spark):
+    names = ["text_key", "kept", "n_bytes", "first_id", "n_removed", "n_spans", "kept_sha256", "_order", "_text", "kept_"]
+    df = spark.createDataFrame([(1, "a" * 60, *names), (2, "b" + "a" * 60, *names)], f"insight_id bigint, detail string, {', '.join(f'{n} string' for n in names)}")
+    out = D.without_repeats(df)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect())) == [(1, "a" * 60, *names), (2, "b", *names)]
+
+
 def test_strings_with_one_hash_are_still_told_apart(monkeypatch):
     body = np.frombuffer(b"a" * 50 + b"b" * 50 + b"a" * 50, np.uint8)
     monkeypatch.setattr(D.A, "stretch_hashes", lambda sums, starts, ends: np.zeros(len(starts), np.uint64))
