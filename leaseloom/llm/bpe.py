@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 
 from leaseloom.llm import text_arrays as A
 
-#: Words, and pieces of words, remembered by a task before it starts afresh; it bounds memory only.
-REMEMBERED = 150_000
+#: Words, and pieces of words, remembered by a task before it starts afresh, and characters of a word that is; they bound memory only.
+REMEMBERED, REMEMBERED_LENGTH = 500_000, 60
 #: Bytes of a piece that is remembered apart from its word.
 SHORT = 6
 #: Parts of a piece from which on the best pair is taken from a heap.
@@ -80,7 +80,9 @@ class BytePairs:
         for word in self.word.findall(plain):
             ids = words.get(word)
             if ids is None:
-                ids = words[word] = np.array(self._word(word.encode()), "<i4").tobytes()
+                ids = np.array(self._word(word.encode()), "<i4").tobytes()
+                if len(word) <= REMEMBERED_LENGTH:
+                    words[word] = ids
             out.append(ids)
         return b"".join(out)
 
