@@ -71,10 +71,16 @@ URL_FILTERS = f"""
 WITH RECURSIVE rules(rule_host, rule_path, verdict) AS (VALUES {_RULES}),
 p AS (SELECT page_id, url, {_parts("coalesce(url, '')")} FROM pages),
 tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM pages WHERE html IS NOT NULL),
-links AS (SELECT url AS source, regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS target FROM tags
+named AS (SELECT url AS source, regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS target FROM tags
           WHERE regexp_matches(tag, '(?i)^<link') AND regexp_matches(tag, '(?i)\\brel\\s*=\\s*["'']?canonical\\b')
           UNION ALL SELECT url, regexp_extract(tag, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM tags
           WHERE regexp_matches(tag, '(?i)^<meta') AND regexp_matches(tag, '(?i)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b')),
+split AS (SELECT source, target, regexp_extract(target, '^[^?#]*') AS own, regexp_extract(source, '^(.*?:)//', 1) AS scheme, regexp_extract(source, '^(.*?://[^/?#]*)', 1) AS root,
+                 regexp_extract(regexp_extract(source, '://[^/?#]*([^?#]*)', 1), '^(.*)/[^/]*$', 1) AS folder FROM named WHERE source IS NOT NULL AND target <> ''),
+links AS (SELECT source, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN scheme || target ELSE root ||
+                 list_reduce(string_split(CASE WHEN starts_with(own, '/') THEN own ELSE folder || '/' || own END, '/'),
+                             lambda so_far, part: CASE part WHEN '..' THEN regexp_replace(so_far, '/[^/]*$', '') WHEN '.' THEN so_far ELSE so_far || '/' || part END) END AS target
+          FROM split WHERE contains(target, '://') OR (contains(source, '://') AND own <> '' AND NOT regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:'))),
 ends AS (SELECT source AS url FROM links UNION SELECT target FROM links UNION SELECT url FROM pages),
 nodes AS (SELECT url, host, path, CASE WHEN host <> '' THEN host || regexp_replace(path, '/$', '') END AS node
           FROM (SELECT url, {_parts("coalesce(url, '')")} FROM ends)),

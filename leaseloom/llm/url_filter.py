@@ -51,10 +51,30 @@ def _node(host: Column, path: Column) -> Column:
     return F.when(host != "", F.concat(host, F.regexp_replace(path, "/$", "")))
 
 
+def resolved(target: Column, source: Column) -> Column:
+    """Where a link on the page `source` leads: an address with `://` as it is; one that begins with `//`, with `/` or with a name under the
+    page's scheme, host or folder, dots in it followed; null for an address within the page, of another kind (`mailto:`), or on a page
+    whose own url has no `://`."""
+    scheme, root = F.regexp_extract(source, r"^(.*?:)//", 1), F.regexp_extract(source, r"^(.*?://[^/?#]*)", 1)
+    path = F.regexp_extract(target, r"^[^?#]*", 0)
+    folder = F.regexp_extract(path_of(source), r"^(.*)/[^/]*$", 1)
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(folder, F.lit("/"), path))
+    # one step after the other: `..` goes back one, `.` stays
+    steps = F.aggregate(F.slice(F.split(whole, "/"), 2, 1 << 20), F.lit(""), lambda at, step: F.when(
+        step == "..", F.regexp_replace(at, "/[^/]*$", "")).when(step == ".", at).otherwise(F.concat(at, F.lit("/"), step)))
+    return (
+        F.when(target.contains("://"), target)
+        .when(~source.contains("://") | (path == "") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .otherwise(F.concat(root, steps)))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """Links (source, target) from each page's url to its canonical address and to where it is sent on. `pages`: url, html."""
-    targets = F.array(F.regexp_extract("html", _CANONICAL, 1), F.regexp_extract("html", _REFRESH, 1))
-    return pages.filter("html is not null").select(F.col("url").alias("source"), F.explode(targets).alias("target")).filter("target like '%://%'")
+    """Links (source, target) from each page's url to its canonical addresses and to where it is sent on, all of a page's tags, resolved
+    against the page. `pages`: url, html; a null url or html has none."""
+    targets = F.concat(F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(1)), F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(1)))
+    links = pages.filter("html is not null and url is not null").select(F.col("url").alias("source"), F.explode(targets).alias("target"))
+    return links.select("source", resolved(F.col("target"), F.col("source")).alias("target")).filter("target is not null")
 
 
 def filter_urls(pages: DataFrame, links: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
