@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from leaseloom.functions.scalars import normalise_figure
 from leaseloom.operators.payload import SECTION_ORDER, row_entries
+from leaseloom.operators.scan import cut
 
 LEVELS = ("snapshot", "section", "branch", "book")
 NODE = ["snapshot_id", "level", "section", "branch", "book"]
@@ -63,7 +64,8 @@ def digest_tree(sections: Mapping[str, DataFrame]) -> DataFrame:
 def changed_nodes(before: DataFrame, after: DataFrame) -> DataFrame:
     """The nodes that two trees do not have in common, with `change`: changed, added or removed. A level is compared only below the nodes that
     differ above it."""
-    found, open_ = [], None
+    # both are read level by level
+    before, after, found, open_ = cut(before), cut(after), [], None
     for depth, level in enumerate(LEVELS):
         keys = ["snapshot_id", *NODE[2:2 + depth]]
         one, two = (df.filter(F.col("level") == level).select(*keys, F.col("digest").alias(name)) for df, name in ((before, "_was"), (after, "_is")))

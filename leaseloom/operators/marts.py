@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leaseloom import schemas as S
 from leaseloom.functions.scalars import is_occupied, percent, quadrant, ratio
 from leaseloom.operators.rollups import (
-    BOOK, LEASE, book_charges, book_code_charges, book_detail, book_expirations, book_spine,
+    BOOK, book_charges, book_code_charges, book_detail, book_expirations, book_spine,
     lease_charge_rollup, with_category,
 )
 from leaseloom.operators.scan import cut, grouped_median_disc
@@ -62,7 +62,7 @@ def loss_to_lease(T: Tables) -> DataFrame:
     occupied = is_occupied(F.col("occupancy_status"))
     return (
         T.lease.filter(occupied)
-        .join(lease_charge_rollup(T, occupied), LEASE, "left")
+        .join(lease_charge_rollup(T, occupied), list(T.lease_key), "left")
         .select(
             *BOOK, "unit_id", "unit_code", "unit_type_code", "market_rent",
             contract.alias("contract_rent"),
@@ -303,7 +303,7 @@ def unit_rent_outlier(T: Tables, min_peers: int = 3) -> DataFrame:
     contract = F.when(F.col("charge_lines") > 0, F.coalesce(F.col("rent_amount"), F.lit(0)))
     above = F.col("market_rent") - F.col("median_market_rent")
     return (
-        priced.join(lease_charge_rollup(T, held), LEASE, "left")
+        priced.join(lease_charge_rollup(T, held), list(T.lease_key), "left")
         .join(peers, ["snapshot_id", "property_id", "unit_type_code"])
         .join(T.property.select("property_id", "property_code"), "property_id")
         .select(

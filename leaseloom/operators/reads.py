@@ -100,6 +100,36 @@ def portfolio_charge_mix(T: Tables, snapshot_id: int | None = None) -> DataFrame
     ).orderBy("snapshot_id", F.desc("amount"))
 
 
+#: The grains of `book_grains`, by what each is keyed by beside the snapshot.
+GRAINS = {"portfolio": (), "asset": ("asset_key",), "book": ("asset_key", "property_code")}
+CHARGE_GRAINS = {"portfolio": ("category",), "book": ("property_code", "category")}
+
+
+def _grain(grains: dict[str, tuple[str, ...]], keys: list[str]) -> Column:
+    """The name of a row's grain, by which keys it was not grouped by."""
+    bit = {k: 1 << (len(keys) - 1 - i) for i, k in enumerate(keys)}
+    names = {sum(b for k, b in bit.items() if k not in ("snapshot_id", *held)): name for name, held in grains.items()}
+    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.grouping_id(*keys).cast("int")]
+
+
+def book_grains(T: Tables, snapshot_id: int | None = None) -> DataFrame:
+    """Portfolio, assets and books in one aggregate over the books' figures: grain, snapshot_id, asset_key, property_code (null where a
+    grain has none), the sums, how many books they are of, and the occupancy."""
+    keys = ["snapshot_id", "asset_key", "property_code"]
+    sets = [["snapshot_id", *held] for held in GRAINS.values()]
+    return M.property_snapshot_kpi(at(T, snapshot_id)).groupingSets(sets, *keys).agg(
+        _grain(GRAINS, keys).alias("grain"), *[F.sum(c).alias(c) for c in KPI_SUMS], F.count(F.lit(1)).alias("books"),
+        percent(F.sum("occupied_units"), F.sum("units")).alias("pct_occupied"))
+
+
+def charge_grains(T: Tables, snapshot_id: int | None = None) -> DataFrame:
+    """What the portfolio and each book bill by category, in one aggregate."""
+    keys = ["snapshot_id", "property_code", "category"]
+    sets = [["snapshot_id", *held] for held in CHARGE_GRAINS.values()]
+    return _coded(M.charge_mix(at(T, snapshot_id)), T).groupingSets(sets, *keys).agg(
+        _grain(CHARGE_GRAINS, keys).alias("grain"), F.sum("line_count").alias("line_count"), F.sum("amount").alias("amount"))
+
+
 def status_mix(T: Tables, snapshot_id: int | None = None) -> DataFrame:
     return at(T, snapshot_id).lease.groupBy("snapshot_id", F.col("occupancy_status").alias("status")).agg(
         F.count(F.lit(1)).alias("n")

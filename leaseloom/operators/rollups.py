@@ -15,7 +15,6 @@ from leaseloom.functions.scalars import is_occupied
 from leaseloom.tables import Tables
 
 BOOK = ["snapshot_id", "property_id"]
-LEASE = ["snapshot_id", "lease_id"]  # lease-grain joins name the snapshot too, which prunes partitions
 
 
 def only(df: DataFrame, snapshot_id: int | None) -> DataFrame:
@@ -150,7 +149,7 @@ def lease_charge_rollup(T: Tables, lines: Column | None = None) -> DataFrame:
     codes = T.charge_code.filter(category.isin("rent", "concession")).select("charge_code", "category")
     return (
         billed.join(codes, "charge_code")
-        .groupBy(*LEASE)
+        .groupBy(*T.lease_key)
         .agg(
             sum_if(category == "rent", "amount").alias("rent_amount"),
             sum_if(category == "concession", "amount").alias("concession_amount"),

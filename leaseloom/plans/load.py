@@ -141,9 +141,10 @@ def load_reports(
         for name, df in facts.items()})
     T = known.with_frames(**dims, **stored)
     T = T.with_frames(**_rolled_up(store, T, snapshots, touched[RENT_ROLL]))
-    found = cut(_findings(T, parsed.issues, available_issues, unknown, files, snapshots))
-    refreshed(store, T, dict.fromkeys(MARTS, _stale(known.property, dims["property"], T, snapshots)))
-    return ledger.close(T, inventory, files, headers.select("dataset", "file_name").distinct(), found)
+    done = sinks.side_by_side({
+        "findings": lambda: cut(_findings(T, parsed.issues, available_issues, unknown, files, snapshots)),
+        "marts": lambda: refreshed(store, T, dict.fromkeys(MARTS, _stale(known.property, dims["property"], T, snapshots)))})
+    return ledger.close(T, inventory, files, headers.select("dataset", "file_name").distinct(), done["findings"])
 
 
 def _rolled_up(store: Store, T: Tables, snapshots: list[int], touched: DataFrame) -> dict[str, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,12 @@ from leaseloom.operators import ledger as L
 from leaseloom.operators import marts as M
 from leaseloom.operators import reads as R
 from leaseloom.operators import rules as V
+from leaseloom.operators.scan import cut
+from leaseloom.operators.similar import nearest_names, postings
 from leaseloom.plans import driver_tables as D
 from leaseloom.plans.catalog import Context, register
 from leaseloom.plans.reviews import apply_review
+from leaseloom.sources.bucketed import co_located
 from leaseloom.sources.folders import shared_folder
 
 _KPI = ("units:i occupied_units:i notice_units:i vacant_units:i non_revenue_units:i future_leases:i "
@@ -115,6 +120,17 @@ register("r13_property_loss_to_lease", "snapshot_id:i property_code:s units:i ma
          lambda c: R.property_loss_to_lease(c.T), "SELECT * FROM book_ltl JOIN prop USING (property_id)")
 _UNIT = ("property_code:s unit_code:s unit_type_code:s unit_sqft:i occupancy_status:s section:s resident_id:s display_name:s market_rent:d "
          "charges_total:d balance:d move_in:t lease_expiration:t move_out:t")
+_GRAIN_SUMS = "units occupied_units notice_units vacant_units non_revenue_units future_leases market_rent lease_charges square_feet balance".split()
+_SUMMED = ", ".join(f"sum({c}) AS {c}" for c in _GRAIN_SUMS) + ", count(*) AS books, round(100.0 * sum(occupied_units) / nullif(sum(units), 0), 2) AS pct_occupied FROM kpi GROUP BY ALL"
+register("r2_book_grains", "grain:s snapshot_id:i asset_key:s property_code:s units:i occupied_units:i notice_units:i vacant_units:i non_revenue_units:i future_leases:i"
+         " market_rent:d lease_charges:d square_feet:i balance:d books:i pct_occupied:d", lambda c: R.book_grains(c.T),
+         f"SELECT 'portfolio' AS grain, snapshot_id, NULL AS asset_key, NULL AS property_code, {_SUMMED} UNION ALL SELECT 'asset', snapshot_id, asset_key, NULL, {_SUMMED}"
+         f" UNION ALL SELECT 'book', snapshot_id, asset_key, property_code, {_SUMMED}")
+register("r6_charge_grains", "grain:s snapshot_id:i property_code:s category:s line_count:i amount:d", lambda c: R.charge_grains(c.T),
+         "SELECT 'portfolio' AS grain, snapshot_id, NULL AS property_code, category, sum(line_count) AS line_count, sum(amount) AS amount FROM mix GROUP BY ALL"
+         " UNION ALL SELECT 'book', snapshot_id, property_code, category, sum(line_count), sum(amount) FROM mix JOIN prop USING (property_id) GROUP BY ALL")
+register("m4_loss_to_lease_co_located", "snapshot_id:i property_id:i unit_code:s market_rent:d contract_rent:d concessions:d loss_to_lease:d",
+         lambda c: M.loss_to_lease(co_located(c.T, f"m4_{uuid.uuid4().hex[:12]}", 8)), "SELECT * FROM ltl")
 register("r14_unit_search", f"snapshot_id:i {_UNIT} lease_id:i total:i", lambda c: R.unit_search(c.T, limit=1000, offset=500),
          "SELECT *, status AS occupancy_status, (SELECT count(*) FROM lease) AS total FROM units_of"
          " ORDER BY snapshot_id, property_code, unit_code, section, lease_id LIMIT 1000 OFFSET 500")

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from leaseloom.operators import evidence as E
 from leaseloom.operators import payload as P
 from leaseloom.operators import pieces
+from leaseloom.operators.digests import digest_tree, stale_books
 from leaseloom.plans import driver_tables as D
 from leaseloom.plans.catalog import Context, register
 from leaseloom.plans.queries_marts import _INSIGHT_SQL, _RUNS_SQL
 from leaseloom.plans.reviews import import_insights
 from leaseloom.sources import sinks
+from leaseloom.sources.documents import stored_payload_paths
 from leaseloom.sources.folders import shared_folder
 from leaseloom.sources.grids import insight_source
 from leaseloom.sources.versions import Store, replace_snapshot_insights
@@ -371,6 +373,37 @@ register("i15_generation_skip", "snapshot_id:i model:s",
                  F.when(F.col("n") > 4, "succeeded").otherwise("failed").alias("status"))),
          "SELECT snapshot_id, quadrant AS model FROM matrix WHERE plottable AND quadrant <> 'leaking' GROUP BY 1, 2 HAVING count(*) > 4")
 
+# ---- the digest tree: a row's figures, its book, branch, section and snapshot --------
+_BOOK_OF = {"portfolio": "''", "assets": "asset_key", "data_quality": "rule"}
+_TREE = (
+    "WITH " + _PATHS + ",\nnamed AS ("
+    + " UNION ALL ".join(f"SELECT snapshot_id, {no} AS section_no, '{name}' AS section, {'0' if name == 'portfolio' else 'i'} AS i, {_BOOK_OF.get(name, 'property_code')} AS book FROM sec_{name}"
+                         for no, name in enumerate(SECTION_SQL, start=1))
+    + "),\nrowdig AS (SELECT n.snapshot_id, n.section, n.book, n.i, sha256(string_agg(regexp_replace(path, '^\\$\\.[a-z_]+(\\[[0-9]+\\])?\\.', '') || '=' || value, chr(10) ORDER BY col_no, sub)) AS digest"
+    " FROM named n JOIN path p ON p.snapshot_id = n.snapshot_id AND p.section_no = n.section_no AND p.i = n.i GROUP BY 1, 2, 3, 4),\n"
+    "bookdig AS (SELECT snapshot_id, section, substring(sha256(book), 1, 3) AS branch, book, sha256(string_agg('=' || digest, chr(10) ORDER BY digest)) AS digest FROM rowdig GROUP BY 1, 2, 3, 4),\n"
+    "branchdig AS (SELECT snapshot_id, section, branch, sha256(string_agg(book || '=' || digest, chr(10) ORDER BY book || '=' || digest)) AS digest FROM bookdig GROUP BY 1, 2, 3),\n"
+    "sectiondig AS (SELECT snapshot_id, section, sha256(string_agg(branch || '=' || digest, chr(10) ORDER BY branch)) AS digest FROM branchdig GROUP BY 1, 2)\n---\n"
+    "SELECT snapshot_id, 'book' AS level, section, branch, book, digest FROM bookdig UNION ALL SELECT snapshot_id, 'branch', section, branch, NULL, digest FROM branchdig"
+    " UNION ALL SELECT snapshot_id, 'section', section, NULL, NULL, digest FROM sectiondig"
+    " UNION ALL SELECT snapshot_id, 'snapshot', NULL, NULL, NULL, sha256(string_agg(section || '=' || digest, chr(10) ORDER BY section || '=' || digest)) FROM sectiondig GROUP BY 1")
+register("i14_digest_tree", "snapshot_id:i level:s section:s branch:s book:s digest:s", lambda c: digest_tree(c.sections), _TREE)
+
+
+def _moved_sections(c: Context) -> dict[str, DataFrame]:
+    """The payload after the rent of every affordable book went up, one book lost its ladder of 1997, and the portfolio of 1996 a count."""
+    rent = F.when(F.col("property_code").endswith("a"), F.col("market_rent") + 1).otherwise(F.col("market_rent")).cast("decimal(38,2)")
+    return c.sections | {
+        "properties": c.sections["properties"].withColumn("market_rent", rent),
+        "expirations": c.sections["expirations"].filter("not (snapshot_id = 1997 and property_code = '100r')"),
+        "portfolio": c.sections["portfolio"].withColumn("property_count", F.col("property_count") + (F.col("snapshot_id") == 1996).cast("int"))}
+
+
+register("i14_stale_books", "snapshot_id:i section:s book:s change:s", lambda c: stale_books(digest_tree(c.sections), digest_tree(_moved_sections(c))),
+         "WITH " + _PATHS + "\n---\nSELECT snapshot_id, 'properties' AS section, property_code AS book, 'changed' AS change FROM sec_properties WHERE property_code LIKE '%a'"
+         " UNION ALL SELECT DISTINCT snapshot_id, 'expirations', property_code, 'removed' FROM sec_expirations WHERE snapshot_id = 1997 AND property_code = '100r'"
+         " UNION ALL SELECT snapshot_id, 'portfolio', '', 'changed' FROM sec_portfolio WHERE snapshot_id = 1996")
+
 # ---- artifacts and exports ---------------------------------------------------
 
 
@@ -386,6 +419,16 @@ register("s5_payload_export", "snapshot_id:i section:s n:i", _exported_payload,
          "WITH " + _PATHS + "\n---\n" + " UNION ALL ".join(f"SELECT snapshot_id, '{n}' AS section, count(*) AS n FROM sec_{n} GROUP BY 1" for n in SECTION_SQL))
 
 
+def _stored_paths(c: Context) -> DataFrame:
+    out = shared_folder(c.spark)
+    sinks.payload_export({n: c.sections[n] for n in P.SECTION_ORDER}, out)
+    return stored_payload_paths(c.spark, out)
+
+
+register("i7_stored_payload_paths", "snapshot_id:i path:s value:s", _stored_paths,
+         "WITH " + _PATHS + f"\n---\nSELECT * FROM path WHERE section_no BETWEEN 1 AND {len(SECTION_SQL)}")
+
+
 def _artifacts(c: Context) -> str:
     """One artifact file per finding; some with a wrong version, hash or key."""
     n = F.col("insight_id")

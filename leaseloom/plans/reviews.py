@@ -61,6 +61,6 @@ def apply_review(T: Tables, changes: DataFrame, out: str) -> tuple[Tables, DataF
     else:
         stale = dict.fromkeys(BY_CATEGORY, sorted(r.snapshot_id for r in T.snapshot.select("snapshot_id").collect()))
     T = T.with_frames(charge_code=store.put("charge_code", codes), audit=history)
-    mix = refreshed(store, T, stale)["charge_mix"]
+    refreshed(store, T, stale)
     store.commit()
-    return T, mix
+    return T, store.read("mart/charge_mix")

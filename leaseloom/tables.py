@@ -37,6 +37,8 @@ class Tables:
     book_expirations: DataFrame | None = None
     book_dates: DataFrame | None = None
     book_repeats: DataFrame | None = None
+    # what leases and their lines meet on; a lease's id is its own in all snapshots, and the snapshot lets whole folders be passed over
+    lease_key: tuple[str, ...] = ("snapshot_id", "lease_id")
 
     def with_frames(self, **frames: DataFrame) -> "Tables":
         """The bundle with these frames. Aggregates of facts that change are dropped, unless they come along."""
