@@ -20,6 +20,27 @@ def test_slices_of_a_batch_are_read_from_their_place():
     assert len(parts) > 3 and np.array_equal(np.concatenate(parts), Q.text_counts(*A.utf8(pa.array(TEXTS))))
 
 
+def test_base_rules_and_trees_against_plain_statements():
+    texts = [*TEXTS, "one two three four five six seven eight nine ten", "a b c d e f g h i", ("x y z w v " * 2 + "q r s t u ") * 2, "r s t u v w " * 3]
+    counts = Q.text_counts(*A.utf8(pa.array(texts)))
+    for t, failed in zip(texts, Q.base_failed(counts).tolist(), strict=True):
+        n_words, *_, n_repeat = brute.text_counts(t)
+        assert failed == (n_words < 10 or 100 * n_repeat > 20 * n_words)
+    r = np.random.default_rng(2)
+    x, y = r.random((500, 3)), (r.random(500) < 0.4).astype(float)
+    forest = train(x, y, falling=(0,))
+
+    def walk(row):
+        total = forest.bias
+        for node in forest.roots.tolist():
+            while forest.feature[node] >= 0:
+                node = forest.left[node] if row[forest.feature[node]] <= forest.threshold[node] else forest.right[node]
+            total += forest.value[node]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(forest.score(x[:200]), [walk(row) for row in x[:200]], atol=1e-12)
+
+
 def test_trees_learn_and_never_rise_with_a_falling_feature():
     r = np.random.default_rng(5)
     x = r.random((4000, 3))

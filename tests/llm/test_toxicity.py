@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pyarrow as pa
 
@@ -21,6 +23,69 @@ def test_label_model_finds_accuracies_and_discounts_echoes():
     assert ((model.posterior(votes) > 0.5) == toxic).mean() > 0.99
 
 
+def plain_label_model(votes, voters, rounds=60):
+    """The same estimates text by text: no patterns, no arrays."""
+    lexical = [k < 2 * T.LEXICONS + 2 for k in range(voters)]
+    fires = [[0.02 if x else 0.1 for x in lexical], [0.5 if x else 0.15 for x in lexical]]
+    share, weight = 0.1, [1.0] * voters
+    bits = [[v >> k & 1 for k in range(voters)] for v in votes]
+
+    def posterior(b):
+        odds = math.log(share / (1 - share))
+        for k in range(voters):
+            odds += weight[k] * (math.log(fires[1][k] / fires[0][k]) if b[k] else math.log((1 - fires[1][k]) / (1 - fires[0][k])))
+        return 1 / (1 + math.exp(-max(-30, min(30, odds))))
+
+    for turn in range(rounds):
+        p = [posterior(b) for b in bits]
+        masses = [[1 - x for x in p], p]
+        sizes = [sum(m) for m in masses]
+        new = [[(sum(m * b[k] for m, b in zip(masses[y], bits, strict=True)) + (0.05, 1.0)[y]) / (sizes[y] + 2) for k in range(voters)] for y in (0, 1)]
+        for k in range(voters):
+            if lexical[k]:
+                new[1][k] = max(new[1][k], new[0][k])
+        if turn == rounds // 2:
+            alike = [[0.0] * voters for _ in range(voters)]
+            for y in (0, 1):
+                cover = [[sum(m * (b[i] - new[y][i]) * (b[j] - new[y][j]) for m, b in zip(masses[y], bits, strict=True)) / max(sizes[y], 1) for j in range(voters)] for i in range(voters)]
+                spread = [math.sqrt(max(cover[i][i], 1e-9)) for i in range(voters)]
+                for i in range(voters):
+                    for j in range(voters):
+                        if spread[i] * spread[j] > 1e-6:
+                            alike[i][j] = max(alike[i][j], cover[i][j] / (spread[i] * spread[j]))
+                        else:
+                            alike[i][j] = max(alike[i][j], 0.0)
+            weight = [1 / (1 + sum(min(1, max(0, alike[i][j])) for j in range(voters) if j != i)) for i in range(voters)]
+        fires, share = new, min(0.5, max(0.001, sizes[1] / len(votes)))
+    return fires, share, weight, [posterior(b) for b in bits]
+
+
+def test_label_model_against_a_plain_statement():
+    r = np.random.default_rng(8)
+    v = 2 * T.LEXICONS + 5
+    toxic = r.random(250) < 0.2
+    votes = np.zeros(250, np.int64)
+    for k in range(v):
+        votes |= (r.random(250) < np.where(toxic, 0.5, 0.05)).astype(np.int64) << k
+    known, counts = np.unique(votes, return_counts=True)
+    model = T.fit_label_model(known, counts.astype(float), v)
+    fires, share, weight, scores = plain_label_model(votes.tolist(), v)
+    assert np.allclose(model.fires, fires, atol=1e-9) and abs(model.share - share) < 1e-9 and np.allclose(model.weight, weight, atol=1e-9)
+    assert np.allclose(model.posterior(votes), scores, atol=1e-9)
+
+
+def test_scores_against_a_plain_statement():
+    r = np.random.default_rng(6)
+    texts = ["you vile thing", "a calm day, a calm day", "", None, "vileness everywhere vile"]
+    weight = np.where(r.random(1 << T.FEATURE_BITS) < 0.5, r.normal(0, 2, 1 << T.FEATURE_BITS), 0)
+    classifier = T.Classifier(weight, -0.4)
+    hashes, _, owner, _ = T.text_features(*A.utf8(pa.array(texts)))
+    for k in range(len(texts)):
+        cells = {int(h) >> (64 - T.FEATURE_BITS) for h, o in zip(hashes.tolist(), owner.tolist(), strict=True) if o == k}
+        want = 1 / (1 + math.exp(-(-0.4 + sum(weight[c] for c in cells))))
+        assert abs(classifier.score(*A.utf8(pa.array(texts)))[k] - want) < 1e-9
+
+
 def test_stems_are_counted_in_characters():
     hashes, kinds, owner, _ = T.text_features(*A.utf8(pa.array(["véquée", "véquaire", "véqu", None])))
     stem = lambda d, k: set(hashes[(owner == d) & (kinds == k)].tolist())
