@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from leaseloom.llm import text_arrays as A
 from leaseloom.llm.staging import Work
@@ -23,6 +22,8 @@ MINED_ROWS, TRAINED_ROWS = 20_000, 10_000
 #: A lexicon entry stands in so many reviewed toxic texts, in such a share of them, and so much likelier (log odds) there than in clean ones;
 #: so many entries at most.
 LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS, LEXICON_ENTRIES = 4, 0.005, 3.0, 20_000
+#: Hashes whose smallest windows must all agree for two texts to count as copies.
+SKETCH_MINIMA = 4
 #: Characters of a stem, of words longer than that.
 STEMS = (4, 5)
 LEXICONS = 4
@@ -30,6 +31,7 @@ LEXICONS = 4
 FEATURE_BITS = 18
 _PIECE = 1 << 20
 _SALT = (0, 0x1F3D5B79, 0x2E4C6A88)
+_STEP = 0x51ED270B3A5C6D17
 _is_start = (np.arange(256) & 0xC0) != 0x80
 _upper = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 
@@ -183,31 +185,51 @@ def fit_classifier(cells: list[np.ndarray], labels: np.ndarray, rounds: int = 15
     return Classifier(weight, float(bias))
 
 
-def _unlike(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row of those whose details have one sketch, the smallest hash of their five-word windows: copies say a thing once."""
+def text_sketches(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A number for each text that copies share: its smallest five-word windows by several hashes together, or the text if it has none.
+    Texts whose windows are alike to a share s have the same one with a chance of s to the power of SKETCH_MINIMA."""
+    w = A.words(data, offsets, A.WORD)
+    first, hashes = A.window_hashes(w, 5)
+    owner = w.owner[first]
+    out = np.zeros(len(offsets) - 1, np.uint64)
+    for k in range(SKETCH_MINIMA):
+        least = np.full(len(out), np.iinfo(np.uint64).max, np.uint64)
+        np.minimum.at(least, owner, A.mix(hashes + np.uint64(k * _STEP % (1 << 64))))
+        out = A.mix(out ^ least)
+    short = np.bincount(owner, minlength=len(out)) == 0
+    out[short] = A.stretch_hashes(A.prefix_hashes(data), offsets[:-1], offsets[1:])[short]
+    return out.view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in A.pieces(batches, "detail", _PIECE):
-            data, offsets = A.utf8(b.column("detail"))
-            w = A.words(data, offsets, A.WORD)
-            first, hashes = A.window_hashes(w, 5)
-            sketch = np.full(b.num_rows, np.iinfo(np.uint64).max, np.uint64)
-            np.minimum.at(sketch, w.owner[first], hashes)
-            # too short for a window: the text itself
-            short = sketch == np.iinfo(np.uint64).max
-            sketch[short] = A.stretch_hashes(A.prefix_hashes(data), offsets[:-1], offsets[1:])[short]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sketch.view(np.int64))], [*b.schema.names, "_sketch"])
 
-    schema = StructType([*rows.schema.fields, StructField("_sketch", LongType())])
-    return rows.mapInArrow(run, schema).dropDuplicates(["_sketch", *keys]).drop("_sketch")
+def _chosen(found: DataFrame, keys: list[str], kept: list[str], rows: int) -> DataFrame:
+    """At most `rows` insights of `found`, those whose ids hash smallest; of insights that agree in `keys` only the first of them counts.
+    The choice hangs on ids and texts alone, so it comes out the same however tasks run, and a group of any size is reduced where it lies."""
+    first = F.min(F.struct(F.xxhash64("insight_id").alias("_turn"), "insight_id", *kept)).alias("first")
+    return found.groupBy(*keys).agg(first).select("first.*").distinct().orderBy("_turn", "insight_id").limit(rows).drop("_turn")
+
+
+def _details(insights: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The chosen insights with their detail; of several rows with one id the smallest detail. `chosen` has a bounded number of rows, a
+    parameter of its caller, so it goes to every task and no detail of another insight moves."""
+    kept = [c for c in chosen.columns if c != "insight_id"]
+    return insights.select("insight_id", "detail").join(F.broadcast(chosen), "insight_id").groupBy("insight_id", *kept).agg(F.min("detail").alias("detail"))
+
+
+def _to_learn(insights: DataFrame) -> DataFrame:
+    return insights.select("insight_id", "detail").filter("insight_id is not null").filter(~held_out(F.col("insight_id")))
 
 
 def mine_voters(insights: DataFrame, reviews: DataFrame, rows: int = MINED_ROWS) -> Voters:
-    """Lexicons from at most `rows` reviewed insights (reviews: insight_id, toxic 0 or 1) that are not held out."""
-    chosen = (
-        reviews.filter("insight_id is not null and toxic is not null").filter(~held_out(F.col("insight_id"))).groupBy("insight_id")
-        .agg(F.max("toxic").cast("int").alias("_toxic")).orderBy(F.xxhash64("insight_id"), "insight_id").limit(rows)
-    )
+    """Lexicons from at most `rows` reviewed insights (reviews: insight_id, toxic 0 or 1) that are not held out. Copies of one label count
+    once, before that bound is applied; an insight with several reviews is toxic if one of them says so."""
+    labels = reviews.filter("insight_id is not null and toxic is not null").groupBy("insight_id").agg(F.max("toxic").cast("int").alias("_toxic"))
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in A.pieces(batches, "detail", _PIECE):
+            yield pa.RecordBatch.from_arrays([b.column("insight_id"), pa.array(text_sketches(*A.utf8(b.column("detail"))))], ["insight_id", "sketch"])
+
+    sketched = _to_learn(insights).mapInArrow(sketches, "insight_id bigint, sketch bigint")
+    chosen = _chosen(sketched.join(labels, "insight_id"), ["sketch", "_toxic"], ["_toxic"], rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in A.pieces(batches, "detail", _PIECE):
@@ -223,7 +245,7 @@ def mine_voters(insights: DataFrame, reviews: DataFrame, rows: int = MINED_ROWS)
 
     with Work(insights.sparkSession) as work:
         # stored: the totals are of the very texts that are counted, without copies and without reviews that have no insight
-        read = work.stored("read", _unlike(insights.join(chosen, "insight_id").select("detail", "_toxic"), ["_toxic"]))
+        read = work.stored("read", _details(insights, chosen))
         counts = read.mapInArrow(run, "feature bigint, stem boolean, toxic bigint, texts bigint").groupBy("feature", "stem").agg(
             F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts"))
         totals = read.agg(F.sum("_toxic").alias("toxic"), F.count("*").alias("texts")).first()
@@ -235,23 +257,30 @@ def mine_voters(insights: DataFrame, reviews: DataFrame, rows: int = MINED_ROWS)
     return Voters(lexicon(False), lexicon(True))
 
 
-def label_votes(insights: DataFrame, voters: Voters) -> LabelModel:
-    """The label model over the votes on all insights; only the distinct patterns of votes come to the driver."""
+def cast_votes(insights: DataFrame, voters: Voters) -> DataFrame:
+    """The votes on every insight, and its sketch: insight_id, votes, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in A.pieces(batches, "detail", _PIECE):
-            known, counts = np.unique(voters.votes(*A.utf8(b.column("detail"))), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(counts)], ["votes", "n"])
+            data, offsets = A.utf8(b.column("detail"))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("insight_id"), pa.array(voters.votes(data, offsets)), pa.array(text_sketches(data, offsets))], ["insight_id", "votes", "sketch"])
+
+    return insights.select("insight_id", "detail").mapInArrow(run, "insight_id bigint, votes bigint, sketch bigint")
 
-    rows = insights.select("detail").mapInArrow(run, "votes bigint, n bigint").groupBy("votes").agg(F.sum("n").alias("n")).collect()
+
+def label_votes(votes: DataFrame, voters: Voters) -> LabelModel:
+    """The label model over the votes on all insights; only the distinct patterns of votes, 2 to the number of voters at most, come to the
+    driver."""
+    rows = votes.groupBy("votes").agg(F.count("*").alias("n")).collect()
     rows.sort()
     return fit_label_model(np.array([r.votes for r in rows], np.int64), np.array([r.n for r in rows], float), voters.count)
 
 
-def train_classifier(insights: DataFrame, voters: Voters, model: LabelModel, rows: int = TRAINED_ROWS) -> Classifier:
-    """A classifier trained on the posterior labels of at most `rows` insights that are not held out."""
-    chosen = insights.select("insight_id").filter("insight_id is not null").filter(~held_out(F.col("insight_id"))).distinct().orderBy(
-        F.xxhash64("insight_id"), "insight_id").limit(rows)
+def train_classifier(insights: DataFrame, votes: DataFrame, voters: Voters, model: LabelModel, rows: int = TRAINED_ROWS) -> Classifier:
+    """A classifier trained on the posterior labels of at most `rows` insights that are not held out. Copies with the same votes count once,
+    before that bound is applied."""
+    chosen = _chosen(votes.filter("insight_id is not null").filter(~held_out(F.col("insight_id"))), ["sketch", "votes"], [], rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in A.pieces(batches, "detail", _PIECE):
@@ -263,19 +292,27 @@ def train_classifier(insights: DataFrame, voters: Voters, model: LabelModel, row
             order = np.argsort(owner * len(owner) + np.arange(len(owner)))
             ends = np.searchsorted(owner[order], np.arange(b.num_rows + 1))
             raw = [cell[order[s:e]].tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("insight_id"), pa.array(model.posterior(voters.votes(data, offsets))), pa.array(raw, pa.binary())],
-                ["insight_id", "label", "cells"])
+            label = pa.array(model.posterior(voters.votes(data, offsets)))
+            yield pa.RecordBatch.from_arrays([b.column("insight_id"), label, pa.array(raw, pa.binary())], ["insight_id", "label", "cells"])
 
-    found = _unlike(insights.select("insight_id", "detail").join(chosen, "insight_id", "left_semi"), []).mapInArrow(
-        run, "insight_id bigint, label double, cells binary").collect()
-    found.sort(key=lambda r: (r.insight_id, bytes(r.cells)))
+    found = _details(insights, chosen).mapInArrow(run, "insight_id bigint, label double, cells binary").collect()
+    found.sort(key=lambda r: r.insight_id)
     return fit_classifier([np.frombuffer(r.cells, "<u4").astype(np.int64) for r in found], np.array([r.label for r in found]))
 
 
-def fit_toxicity(insights: DataFrame, reviews: DataFrame) -> Classifier:
-    voters = mine_voters(insights.select("insight_id", "detail"), reviews)
-    return train_classifier(insights, voters, label_votes(insights, voters))
+def fit_toxicity(insights: DataFrame, reviews: DataFrame, mined_rows: int = MINED_ROWS, trained_rows: int = TRAINED_ROWS) -> Classifier:
+    """A classifier of toxic details, from `insights` (insight_id, detail) and `reviews` (insight_id, toxic 0 or 1; null: no review).
+
+    The lexicons, of at most LEXICON_ENTRIES entries, come from at most `mined_rows` reviewed insights; the label model is fitted on the
+    votes on all insights; the classifier on the posterior labels of at most `trained_rows` of them. Insights that are held out, or have no
+    id, are neither mined nor trained on. A null or empty detail says nothing. Copies of a text count once where their label, or their
+    votes, are the same; of rows with one id the smallest detail speaks. Without insights or reviews every score is that of a text that
+    says nothing. Other columns are never read. The same tables give the same classifier, in whatever order their rows come."""
+    written = insights.select("insight_id", "detail")
+    with Work(insights.sparkSession) as work:
+        voters = mine_voters(written, reviews, mined_rows)
+        votes = work.stored("votes", cast_votes(written, voters))
+        return train_classifier(written, votes, voters, label_votes(votes, voters), trained_rows)
 
 
 def score_toxicity(insights: DataFrame, classifier: Classifier) -> DataFrame:

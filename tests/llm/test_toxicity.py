@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from leaseloom.llm import text_arrays as A
 from leaseloom.llm import toxicity as T
@@ -118,6 +119,46 @@ def test_copies_and_reviews_without_insights_leave_the_lexicons_alone(spark):
     assert len(alone.stems) > 0 and set(alone.stems.tolist()) <= set(heavy.stems.tolist())
 
 
+def test_sketches_tell_variants_apart_and_copies_not():
+    words = [f"w{k}" for k in range(60)]
+    base = " ".join(words)
+    half = " ".join(words[:30] + [f"x{k}" for k in range(30)])
+    found = T.text_sketches(*A.utf8(pa.array([base, base.upper() + " ", half, "a b", "a b", "a c", "", None])))
+    assert found[0] == found[1] and found[3] == found[4] and found[6] == found[7]
+    assert len({found[0], found[3], found[5], found[6]}) == 4
+    # texts alike to a third have one sketch once in 81
+    pair = lambda n: [" ".join(f"{n}w{k}" for k in range(60)), " ".join(f"{n}w{k}" if k < 30 else f"{n}x{k}" for k in range(60))]
+    assert sum(len(set(T.text_sketches(*A.utf8(pa.array(pair(n)))).tolist())) == 1 for n in range(200)) < 15
+
+
+def test_choice_hangs_on_ids_and_texts_alone(spark):
+    """Copies go before the bound is applied, a toxic variant stays beside its clean copies, and the order of rows plays no part."""
+    r = np.random.default_rng(5)
+    copies = [(k, "one calm line that very many people copied word for word") for k in range(2000)]
+    others = [(k, " ".join(f"n{x}" for x in r.integers(0, 400, 12))) for k in range(2000, 2300)]
+    found = spark.createDataFrame([(k, int(k == 7), s) for (k, _), s in zip(copies + others, T.text_sketches(*A.utf8(pa.array(
+        [t for _, t in copies + others]))).tolist(), strict=True)], "insight_id bigint, votes bigint, sketch bigint")
+    ids = lambda df, n: [x.insight_id for x in T._chosen(df, ["sketch", "votes"], ["votes"], n).collect()]
+    every = set(ids(found, 1000))
+    assert 7 in every and len([k for k in every if k < 2000]) == 2 and every >= set(range(2000, 2300))
+    assert set(ids(found, 50)) == set(ids(found.orderBy("votes", F.desc("insight_id")).repartition(7), 50)) and len(ids(found, 50)) == 50
+    insights = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None)], "insight_id bigint, detail string")
+    chosen = spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "insight_id bigint, votes bigint")
+    assert sorted((x.insight_id, x.votes, x.detail) for x in T._details(insights, chosen).collect()) == [(1, 5, "a"), (2, 6, None)]
+
+
+def test_same_classifier_from_any_order_of_rows(spark):
+    r = np.random.default_rng(9)
+    rows = [(k, " ".join(([f"vile{r.integers(12)}", f"scorn{r.integers(12)}"] if k % 8 == 0 else []) + [f"w{x}" for x in r.integers(0, 300, 20)]))
+            for k in range(1500)]
+    rows += [(k + 5000, rows[k][1]) for k in range(0, 1500, 3)] + rows[:40]
+    insights = spark.createDataFrame(rows, "insight_id bigint, detail string")
+    reviews = spark.createDataFrame([(k, int(k % 8 == 0)) for k in range(1500)], "insight_id bigint, toxic int")
+    one = T.fit_toxicity(insights.repartition(3), reviews)
+    two = T.fit_toxicity(insights.repartition(11, "detail").sortWithinPartitions(F.desc("insight_id")), reviews.repartition(5))
+    assert one.bias == two.bias and np.array_equal(one.weight, two.weight) and (one.weight != 0).any()
+
+
 def test_no_reviews(spark):
     insights = spark.createDataFrame([(1, "a b"), (2, None)], "insight_id bigint, detail string")
     classifier = T.fit_toxicity(insights, spark.createDataFrame([], "insight_id bigint, toxic int"))
