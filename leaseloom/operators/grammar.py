@@ -10,6 +10,7 @@ anchor of its own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -49,6 +50,16 @@ def _issues(df: DataFrame, found: list[Column], row: Column) -> DataFrame:
     )
 
 
+def _field_issues(df: DataFrame, rule: str, severity: Column, fields: dict[str, dict[str, Column]], where: Callable[[Column], Column], detail: dict[str, Column], row: Column) -> DataFrame:
+    """One row per field that `where` holds for. The fields travel as an array, so that what is asked of each is compiled once and not
+    field by field. `detail` is added to what is said of every field."""
+    each = F.array(*[F.struct(F.lit(n).alias("field"), *[c.alias(k) for k, c in said.items()]) for n, said in fields.items()])
+    told = lambda x: [p for k in ("field", *next(iter(fields.values()))) if not k.startswith("_") for p in (F.lit(k), x[k].cast("string"))]
+    base = [p for k, v in detail.items() for p in (F.lit(k), v.cast("string"))]
+    return df.withColumns({ROW: row.cast("int"), "_x": F.explode(F.filter(each, where))}).select(
+        FILE, severity.alias("severity"), F.lit(rule).alias("rule"), ROW, F.create_map(*base, *told(F.col("_x"))).alias("detail"))
+
+
 # ---- headers -----------------------------------------------------------------
 
 def _first_rows(grid: DataFrame, n_cols: int, last_row: int) -> DataFrame:
@@ -353,14 +364,15 @@ def summary_groups(rows: DataFrame) -> DataFrame:
 
 def summary_issues(rows: DataFrame) -> DataFrame:
     """Unknown group labels and summary cells that cannot be read."""
-    group = F.col("cls") == "group"
-    unread = lambda i: group & (_text(i) != "") & as_decimal_error(F.col(f"c{i:02d}"))
-    found = [_error("unexpected_summary_group_label", "warning", F.col("cls") == "group_unknown", {"label": _text(1)})]
-    found += [_error("summary_group_coercion", "warning", unread(i), {"field": F.lit(n)}) for n, i in _GROUP_CELLS.items()]
-    found.append(_error("summary_group_coercion", "warning", group & as_int_error(F.col("c11")), {"field": F.lit("unit_count")}))
-    found.append(_error("charge_summary_coercion", "error",
-                        (F.col("cls") == "charge_summary") & as_decimal_error(F.col("c04")), {"charge_code": _text(1)}))
-    return _issues(rows.filter(F.col("cls").isin("group", "group_unknown", "charge_summary")), found, F.col(ROW))
+    found = [_error("unexpected_summary_group_label", "warning", F.col("cls") == "group_unknown", {"label": _text(1)}),
+             _error("charge_summary_coercion", "error", (F.col("cls") == "charge_summary") & as_decimal_error(F.col("c04")), {"charge_code": _text(1)})]
+    groups = rows.filter(F.col("cls") == "group")
+    unread = lambda names, where: _field_issues(
+        groups, "summary_group_coercion", F.lit("warning"), {n: {"_text": F.col(f"c{i:02d}")} for n, i in names.items()}, where, {}, F.col(ROW))
+    return (
+        _issues(rows.filter(F.col("cls").isin("group_unknown", "charge_summary")), found, F.col(ROW))
+        .unionByName(unread(_GROUP_CELLS, lambda x: (strip(x["_text"]) != "") & as_decimal_error(x["_text"])))
+        .unionByName(unread({"unit_count": 11}, lambda x: as_int_error(x["_text"]))))
 
 
 def charge_summary_rows(rows: DataFrame) -> DataFrame:
@@ -402,17 +414,17 @@ _AMOUNTS = ("avg_rent", "pct_occ", "pct_occ_w_nonrev", "pct_leased", "pct_trend"
 
 
 def availability_row(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The data row of each availability report, and the findings about it."""
-    pivot = _identity(_first_rows(grid, S.AVAILABILITY_COLUMNS, 7))
+    """The data row of each availability report, and the findings about it. The checked reports, one row each, are cut, since both are read
+    off them."""
     at = {n: i for i, n in enumerate(S.AVAILABILITY_FIELDS, start=1)}
 
-    def data(name: str) -> Column:
-        return F.element_at("_r6", at[name])
+    def data(name: str, row: str = "_r6") -> Column:
+        return F.element_at(row, at[name])
 
-    unread = F.lit(False)
-    for n in _AMOUNTS:
-        unread = unread | as_decimal_error(data(n))
-    checked = pivot.withColumn(
+    def every(names: tuple[str, ...], parse: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(*[data(n) for n in names]), parse)
+
+    checked = cut(_identity(_first_rows(grid, S.AVAILABILITY_COLUMNS, 7)).withColumn(
         "error",
         F.when(F.col("_rows") < 6, "expected at least 6 rows")
         .when(_head_cell(1) != S.AVAILABILITY_TITLE, "row 1 is not the report title")
@@ -421,23 +433,17 @@ def availability_row(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(_differs(4, S.AVAILABILITY_HEADER_1), "header row 4 changed")
         .when(_differs(5, S.AVAILABILITY_HEADER_2), "header row 5 changed")
         .when(_head_cell(6) != F.col("property_code"), "data row property differs from the title")
-        .when(unread, "data row holds an unreadable amount"))
+        .when(F.exists(F.array(*[data(n) for n in _AMOUNTS]), as_decimal_error), "data row holds an unreadable amount")))
     good = checked.filter(F.col("error").isNull())
-    rows = good.select(
+    rows = good.withColumns({"_whole": every(_COUNTS, lambda c: F.coalesce(as_int(c), F.lit(0))), "_figures": every(_AMOUNTS, as_decimal)}).select(
         FILE, "property_code", "property_name", "as_of_date",
-        *[F.coalesce(as_int(data(n)), F.lit(0)).alias(n) for n in _COUNTS],
-        as_decimal(data("avg_rent")).try_cast(S.MONEY).alias("avg_rent"),
-        *[as_decimal(data(n)).try_cast(S.PERCENT).alias(n) for n in _AMOUNTS if n != "avg_rent"])
-    total = F.element_at("_r7", 2) == "Total"
-    findings = [
-        _error("availability_total_row_differs", "info" if n == "pct_trend" else "warning",
-               total & (data(n) != F.element_at("_r7", at[n])),
-               {"property_code": F.col("property_code"), "field": F.lit(n), "data_row": data(n), "total_row": F.element_at("_r7", at[n])})
-        for n in S.AVAILABILITY_FIELDS[2:]
-    ]
-    coercions = [
-        _error("availability_coercion", "warning", as_int_error(data(n)), {"property_code": F.col("property_code"), "field": F.lit(n)})
-        for n in _COUNTS
-    ]
-    issues = _failures(checked).unionByName(_issues(good, findings, F.lit(7))).unionByName(_issues(good, coercions, F.lit(6)))
-    return rows, issues
+        *[F.element_at("_whole", i).alias(n) for i, n in enumerate(_COUNTS, 1)],
+        *[F.element_at("_figures", i).try_cast(S.MONEY if n == "avg_rent" else S.PERCENT).alias(n) for i, n in enumerate(_AMOUNTS, 1)])
+    whose = {"property_code": F.col("property_code")}
+    differing = _field_issues(
+        good.filter(F.element_at("_r7", 2) == "Total"), "availability_total_row_differs",
+        F.when(F.col("_x.field") == "pct_trend", "info").otherwise("warning"),
+        {n: {"data_row": data(n), "total_row": data(n, "_r7")} for n in S.AVAILABILITY_FIELDS[2:]}, lambda x: x["data_row"] != x["total_row"], whose, F.lit(7))
+    unread = _field_issues(good, "availability_coercion", F.lit("warning"), {n: {"_text": data(n)} for n in _COUNTS},
+                           lambda x: as_int_error(x["_text"]), whose, F.lit(6))
+    return rows, _failures(checked).unionByName(differing).unionByName(unread)
