@@ -13,7 +13,7 @@ from leaseloom.functions.scalars import (
 )
 from leaseloom.operators import marts as M
 from leaseloom.operators.rollups import (
-    BOOK, book_code_charges, book_spine, is_expiring, only,
+    BOOK, book_code_charges, book_files, book_spine, is_expiring, only,
 )
 from leaseloom.tables import BY_SNAPSHOT, Tables
 
@@ -265,7 +265,7 @@ def anomaly_view(T: Tables, snapshot_id: int | None = None, **params: float) ->
 
 def snapshot_runs(T: Tables) -> DataFrame:
     """The runs that loaded each snapshot."""
-    loaded = T.lease.select("snapshot_id", "file_id").distinct()
+    loaded = book_files(T).select("snapshot_id", "file_id").distinct()
     return loaded.join(T.file.select("file_id", "run_id"), "file_id").select("snapshot_id", "run_id").distinct()
 
 

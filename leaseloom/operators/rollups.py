@@ -104,9 +104,16 @@ def book_repeats(T: Tables) -> DataFrame:
     return repeats.groupBy(*BOOK).agg(F.count(F.lit(1)).alias("blocks"))
 
 
+def book_files(T: Tables) -> DataFrame:
+    """The files that the leases of a book came from."""
+    if T.book_files is not None:
+        return T.book_files
+    return T.lease.select(*BOOK, "file_id").distinct()
+
+
 #: The aggregates that a load stores.
 ROLLUPS = {"book_detail": book_detail, "book_code_charges": book_code_charges, "book_expirations": book_expirations,
-           "book_dates": book_dates, "book_repeats": book_repeats}
+           "book_dates": book_dates, "book_repeats": book_repeats, "book_files": book_files}
 
 
 def _dated(T: Tables) -> DataFrame:

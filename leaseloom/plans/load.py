@@ -136,22 +136,27 @@ def load_reports(
     snapshots = sorted(r.snapshot_id for r in book.select("snapshot_id").distinct().collect())
     # a rent roll replaces its book's leases and printed rollups, an availability report its own row
     touched = {d: books[d].select("snapshot_id", "property_id").distinct() for d in S.DATASETS}
+    older = {name for name in ROLLUPS if store.has("lease") and not store.has(name)}
     stored = sinks.side_by_side({
         name: partial(store.replace, name, ledger.counted(name, df), snapshots, touched[AVAILABILITY if name == "availability" else RENT_ROLL])
         for name, df in facts.items()})
     T = known.with_frames(**dims, **stored)
-    T = T.with_frames(**_rolled_up(store, T, snapshots, touched[RENT_ROLL]))
+    T = T.with_frames(**_rolled_up(store, T, snapshots, touched[RENT_ROLL], older))
     done = sinks.side_by_side({
         "findings": lambda: cut(_findings(T, parsed.issues, available_issues, unknown, files, snapshots)),
         "marts": lambda: refreshed(store, T, dict.fromkeys(MARTS, _stale(known.property, dims["property"], T, snapshots)))})
     return ledger.close(T, inventory, files, headers.select("dataset", "file_name").distinct(), done["findings"])
 
 
-def _rolled_up(store: Store, T: Tables, snapshots: list[int], touched: DataFrame) -> dict[str, DataFrame]:
-    """The stored aggregates of the facts, with those of the touched books alone computed anew."""
+def _rolled_up(store: Store, T: Tables, snapshots: list[int], touched: DataFrame, older: set[str]) -> dict[str, DataFrame]:
+    """The stored aggregates of the facts, with those of the touched books alone computed anew. Those in `older`, which the store has not
+    got though it has leases, are computed of all its books."""
     of = lambda df: df.filter(F.col("snapshot_id").isin(*snapshots)).join(touched, ["snapshot_id", "property_id"], "left_semi") if snapshots else df.limit(0)
     books = T.with_frames(lease=of(T.lease), lease_charge=of(T.lease_charge))
-    return sinks.side_by_side({name: partial(store.replace, name, rollup(books), snapshots, touched) for name, rollup in ROLLUPS.items()})
+    every = sorted(r.snapshot_id for r in T.snapshot.select("snapshot_id").collect()) if older else []
+    jobs = {name: partial(store.replace, name, rollup(T), every) if name in older else partial(store.replace, name, rollup(books), snapshots, touched)
+            for name, rollup in ROLLUPS.items()}
+    return sinks.side_by_side(jobs)
 
 
 def _stale(before: DataFrame, now: DataFrame, T: Tables, snapshots: list[int]) -> list[int]:

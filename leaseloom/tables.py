@@ -37,6 +37,7 @@ class Tables:
     book_expirations: DataFrame | None = None
     book_dates: DataFrame | None = None
     book_repeats: DataFrame | None = None
+    book_files: DataFrame | None = None
     # what leases and their lines meet on; a lease's id is its own in all snapshots, and the snapshot lets whole folders be passed over
     lease_key: tuple[str, ...] = ("snapshot_id", "lease_id")
 
@@ -47,6 +48,6 @@ class Tables:
 
 
 #: Stored aggregates, all of them keyed by snapshot and property.
-STORED = ("book_detail", "book_code_charges", "book_expirations", "book_dates", "book_repeats")
+STORED = ("book_detail", "book_code_charges", "book_expirations", "book_dates", "book_repeats", "book_files")
 #: Frames that hold a snapshot each row, so that one snapshot is a filter on all of them.
 BY_SNAPSHOT = ("lease", "lease_charge", "summary_group", "charge_summary", "availability", *STORED)

@@ -142,17 +142,28 @@ def test_reads_take_the_stored_aggregates(year):
     scanned = {
         "totals": R.portfolio_totals(T), "table": R.property_table(T), "assets": R.asset_table(T), "expirations": R.portfolio_expirations(T, 20250228),
         "mix": R.portfolio_charge_mix(T), "matrix": M.property_profitability(T), "bridge": M.revenue_bridge(T), "concentration": M.expiration_concentration(T),
-        # the findings of a snapshot are those of the files its leases came from
-        **{k: df for k, df in payload_sections(T, 20250228).items() if k != "data_quality"}, **{name: rule(T, [20250128]) for name, rule in V.RULES.items()}}
+        "findings": R.issue_summary(T), "detail": R.issue_detail(T, 20250228), "export": R.issue_export(T),
+        **payload_sections(T, 20250228), **{name: rule(T, [20250128]) for name, rule in V.RULES.items()}}
     for name, df in scanned.items():
         assert not folders(df) & {"lease", "lease_charge"}, name
     # and give what the facts give
     bare = T.with_frames(lease=T.lease)
     assert bare.book_detail is None
-    for read in (R.portfolio_totals, R.property_table, R.portfolio_expirations, R.portfolio_charge_mix, M.revenue_bridge):
+    for read in (R.issue_summary, R.portfolio_totals, R.property_table, R.portfolio_expirations, R.portfolio_charge_mix, M.revenue_bridge):
         assert sorted(map(str, read(T).collect())) == sorted(map(str, read(bare).collect())) != []
 
 
+def test_a_store_without_an_aggregate_gets_it_whole(spark):
+    out = shared_folder(spark)
+    load_reports(spark, sheet(spark, {f"{m}.xlsx": roll(m, "900.00") for m in ("01", "02")}), None, out)
+    store = Store(spark, out)
+    del store.tables["book_files"]
+    store.commit()
+    T = load_reports(spark, sheet(spark, {"03.xlsx": roll("03", "700.00")}), None, out).tables
+    assert {(r.snapshot_id, r.file_id) for r in T.book_files.collect()} == {(r.snapshot_id, r.file_id) for r in T.lease.collect()}
+    assert {r.snapshot_id for r in R.issue_summary(T).collect()} == {20250128, 20250228, 20250328}
+
+
 def test_a_reloaded_book_changes_its_own_rows(spark, year):
     out, before = year
     rows = lambda T, name: {str(r) for r in getattr(T, name).collect()}
